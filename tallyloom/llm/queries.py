@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import minhash
+from tallyloom.llm import embedding_dedup, minhash, mixing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +18,20 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op4_mixture_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that a mix at weights 1, 2, 3 takes."""
+    return mixing.mix(_table(spark, sf_dir, "documents")).drop("copies")
+
+
+def op9_int8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate embeddings of one label at cosine 0.93."""
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op4_mixture_schedule": op4_mixture_schedule,
+    "op9_int8_embedding_dedup": op9_int8_embedding_dedup,
 }
 
 ORACLES: dict[str, str] = {}
@@ -50,3 +62,22 @@ SELECT d.doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, r.c AS component_id, d.
 FROM documents d LEFT JOIN sizes z USING (doc_id)
 JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = d.doc_id
 """
+
+ORACLES["op9_int8_embedding_dedup"] = r"""
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+    AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM good a JOIN good b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION
+  SELECT reach.a, links.v FROM reach JOIN links ON links.u = reach.b)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, r.c AS component_id, e.vec_id = r.c AS kept
+FROM embeddings e LEFT JOIN (SELECT u, count(*) AS n FROM links GROUP BY u) n ON n.u = e.vec_id
+JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = e.vec_id
+"""
