@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import embedding_dedup, minhash, mixing
+from tallyloom.llm import embedding_dedup, minhash, mixing, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +28,22 @@ def op9_int8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def tokenizer_path() -> str:
+    """The byte-level BPE vocabulary file of the box."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op10_min_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), limit=1024, end=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op4_mixture_schedule": op4_mixture_schedule,
+    "op10_min_bin_slack_packing": op10_min_bin_slack_packing,
     "op9_int8_embedding_dedup": op9_int8_embedding_dedup,
 }
 
