@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import embedding_dedup, minhash, mixing, packing
+from tallyloom.llm import embedding_dedup, minhash, mixing, packing, superkmer
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op9_int8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op7_superkmer_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words covered by 20-word windows that start earlier elsewhere, removed."""
+    return superkmer.remove_repeats(_table(spark, sf_dir, "documents"), width=20)
+
+
 def tokenizer_path() -> str:
     """The byte-level BPE vocabulary file of the box."""
     import public_tokenizers
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op4_mixture_schedule": op4_mixture_schedule,
     "op10_min_bin_slack_packing": op10_min_bin_slack_packing,
+    "op7_superkmer_substring_dedup": op7_superkmer_substring_dedup,
     "op9_int8_embedding_dedup": op9_int8_embedding_dedup,
 }
 
@@ -94,3 +100,23 @@ SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, r.c AS component_id, e.vec
 FROM embeddings e LEFT JOIN (SELECT u, count(*) AS n FROM links GROUP BY u) n ON n.u = e.vec_id
 JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = e.vec_id
 """
+
+ORACLES["op7_superkmer_substring_dedup"] = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM words WHERE len(w) >= 20)),
+later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM windows)
+  WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM later),
+lists AS (SELECT doc_id, list(j) AS js FROM gone GROUP BY doc_id),
+single AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS j FROM words),
+kept AS (
+  SELECT s.doc_id, string_agg(s.w[s.j], ' ' ORDER BY s.j) AS t
+  FROM single s LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.j = s.j WHERE g.j IS NULL GROUP BY s.doc_id)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(len(l.js), 0)::BIGINT AS n_removed,
+       sha256(coalesce(k.t, '')) AS kept_sha256
+FROM words w LEFT JOIN lists l USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
