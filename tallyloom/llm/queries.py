@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import embedding_dedup, minhash, mixing, packing, superkmer
+from tallyloom.llm import embedding_dedup, minhash, mixing, packing, superkmer, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op9_int8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op6_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as dictionary-compressed WARC records and read back."""
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op7_superkmer_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words covered by 20-word windows that start earlier elsewhere, removed."""
     return superkmer.remove_repeats(_table(spark, sf_dir, "documents"), width=20)
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op4_mixture_schedule": op4_mixture_schedule,
     "op10_min_bin_slack_packing": op10_min_bin_slack_packing,
+    "op6_warc_dictionary": op6_warc_dictionary,
     "op7_superkmer_substring_dedup": op7_superkmer_substring_dedup,
     "op9_int8_embedding_dedup": op9_int8_embedding_dedup,
 }
@@ -120,3 +126,12 @@ SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(len(l.js), 0)::BIGINT AS
        sha256(coalesce(k.t, '')) AS kept_sha256
 FROM words w LEFT JOIN lists l USING (doc_id) LEFT JOIN kept k USING (doc_id)
 """
+
+ORACLES["op6_warc_dictionary"] = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS m FROM p WHERE strlen(html) >= 100 GROUP BY d)
+SELECT p.page_id, strlen(p.html)::BIGINT AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN f.m <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f.m <> p.page_id THEN f.m END AS refers_to
+FROM p LEFT JOIN f USING (d)
+"""
