@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import embedding_dedup, minhash, mixing, packing, superkmer, warc
+from tallyloom.llm import embedding_dedup, licenses, minhash, mixing, packing, permutation_index, superkmer, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,11 +18,22 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op3_permutation_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return permutation_index.search(vectors, vectors.filter("vec_id % 20 = 0"), top=20)
+
+
 def op4_mixture_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that a mix at weights 1, 2, 3 takes."""
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op8_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op9_int8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate embeddings of one label at cosine 0.93."""
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.93)
@@ -52,10 +63,12 @@ def op10_min_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op3_permutation_ann": op3_permutation_ann,
     "op4_mixture_schedule": op4_mixture_schedule,
     "op10_min_bin_slack_packing": op10_min_bin_slack_packing,
     "op6_warc_dictionary": op6_warc_dictionary,
     "op7_superkmer_substring_dedup": op7_superkmer_substring_dedup,
+    "op8_license_diagonals": op8_license_diagonals,
     "op9_int8_embedding_dedup": op9_int8_embedding_dedup,
 }
 
