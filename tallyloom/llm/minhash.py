@@ -10,8 +10,11 @@ confirmed on their full shingle sets.
 
 Copies (equal shingle sets) collapse to one class before banding. Within a bucket
 only links that can join two components are looked for: members are compared with
-the bucket's smallest member, then with its largest, and finally members that are
-still in different components are compared with each other. No cap is set anywhere.
+the bucket's smallest member, then with its largest. Members of buckets that are still
+in different components are compared by tiles: a bucket is cut into blocks of bounded
+size, and each pair of blocks is one task's work, which counts common shingles by bit
+sets and gives a spanning forest of the links it finds, never the pairs. A pair is
+looked at only in the first band that it shares. No cap is set anywhere.
 """
 
 from __future__ import annotations
@@ -25,9 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.graph import components
-from tallyloom.llm.shared import chunks, cut, list_column, small_or_plain
+from tallyloom.llm.shared import chunks, column_bytes, cut, list_column, small_or_plain
 from tallyloom.llm.words import U, mix, scan, shingle_sets
 
+#: Bytes of texts in a block of a bucket, about.
+TILE_BYTES = 1 << 20
 _EMPTY = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -117,6 +122,80 @@ def _verifier(k: int, percent: int):
     return run
 
 
+def _forest(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    root: dict[int, int] = {}
+
+    def top(a: int) -> int:
+        while root.setdefault(a, a) != a:
+            root[a] = root[root[a]]
+            a = root[a]
+        return a
+
+    kept = []
+    for a, b in edges:
+        x, y = top(a), top(b)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            kept.append((a, b))
+    return kept
+
+
+def tile_links(
+    left: tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]], right: tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]],
+    bucket: int, percent: int,
+) -> list[tuple[int, int]]:
+    """Spanning forest of the links between two blocks ``(nodes, components, bands, sets)`` of a bucket."""
+    nodes, parts, bands, sets = left
+    nodes2, parts2, bands2, sets2 = right
+    size, size2 = np.array([len(x) for x in sets]), np.array([len(x) for x in sets2])
+    every = np.concatenate([*sets, *sets2])
+    values, code, count = np.unique(every, return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1  # only shingles that two sets hold can be common
+    width = -(-int((count > 1).sum()) // 8)
+    owner = np.repeat(np.arange(len(sets) + len(sets2)), np.concatenate([size, size2]))
+    held = count[code] > 1
+    column, owner = number[code[held]], owner[held]
+    bits = np.zeros((len(sets) + len(sets2), width), np.uint8)
+    np.bitwise_or.at(bits, (owner, column >> 3), np.left_shift(np.uint8(1), (column & 7).astype(np.uint8)))
+    bits = np.pad(bits, ((0, 0), (0, -width % 8))).view(np.uint64)
+    at = int(np.flatnonzero(bands[0] == bucket)[0])
+    edges: list[tuple[int, int]] = []
+    for i in range(len(sets)):
+        near = parts2 != parts[i]
+        near &= ~(bands2[:, :at] == bands[i, :at]).any(axis=1)
+        near &= 100 * np.minimum(size2, size[i]) >= percent * np.maximum(size2, size[i])
+        j = np.flatnonzero(near)
+        if len(j):
+            both = np.bitwise_count(bits[len(sets) + j] & bits[i]).sum(axis=1, dtype=np.int64)
+            j = j[100 * both >= percent * (size[i] + size2[j] - both)]
+            edges += [(int(nodes[i]), int(nodes2[k])) for k in j]
+        if len(edges) > 1 << 16:
+            edges = _forest(edges)
+    return _forest(edges)
+
+
+def _tiles(k: int, percent: int):
+    def block(rows: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        rows = rows.flatten()
+        nodes, parts, bands, text = (rows.field(i) for i in range(4))
+        flat = bands.flatten().to_numpy().reshape(len(nodes), -1)
+        data, offs = column_bytes(text)
+        shingles, edge = shingle_sets(scan(data, offs, lower=True), k)
+        return nodes.to_numpy(), parts.to_numpy(), flat, np.split(shingles, edge[1:-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                one = batch.slice(r, 1)
+                left = block(one.column(1))
+                right = block(one.column(2)) if one.column(2)[0].is_valid else left
+                found = tile_links(left, right, one.column(0)[0].as_py(), percent)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["u", "v"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
     """Near-duplicate groups: ``doc_id, n_shingles, component_id, kept``, one row per input row.
 
@@ -176,15 +255,22 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     links = cut(links.unionAll(confirmed(again)), "links")
     here = cut(labelled(links), "labelled")
     mixed = here.groupBy("h").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 < c2").select("h")
-    apart = here.join(mixed, "h").filter("node > low and node < high").select("h", "node", "component")
-    rest = (
-        apart.select("h", F.col("node").alias("u"), F.col("component").alias("c"))
-        .join(apart.select("h", F.col("node").alias("v"), F.col("component").alias("d")), "h")
-        .filter("u > v and c <> d")
-        .select("u", "v")
-        .distinct()
+    apart = (
+        here.join(mixed, "h").select("h", "node", "component")
+        .join(texts.withColumnRenamed("doc_id", "node"), "node")
+        .join(classes.select("node", "bands"), "node")
+    )
+    sizes = apart.groupBy("h").agg(F.ceil(F.sum(F.octet_length("text") + 200) / F.lit(TILE_BYTES)).cast("int").alias("blocks"))
+    blocks = (
+        apart.join(sizes, "h").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .groupBy("h", "b", "blocks").agg(F.collect_list(F.struct("node", "component", "bands", "text")).alias("rows"))
     )
-    links = links.unionAll(confirmed(rest))
+    blocks = cut(blocks, "blocks")
+    left = blocks.select("h", "b", "rows", F.explode(F.sequence(F.col("b"), F.col("blocks") - 1)).alias("c"))
+    right = blocks.select("h", F.col("b").alias("c"), F.col("rows").alias("rows2"))
+    tiles = left.join(right, ["h", "c"]).select("h", "rows", F.when(F.col("b") != F.col("c"), F.col("rows2")).alias("rows2"), "b", "c")
+    tiles = tiles.repartition(F.xxhash64("h", "b", "c")).select("h", "rows", "rows2")
+    links = links.unionAll(tiles.mapInArrow(_tiles(words, percent), "u long, v long"))
     found = components(links.unionAll(copies))
     return sketched.select("doc_id", "n_shingles").join(
         found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left"
