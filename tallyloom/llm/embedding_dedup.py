@@ -155,7 +155,7 @@ def near_duplicates(
     right = packed.select("label", "dims", F.col("b").alias("c"), F.col("rows").alias("rows2"))
     pairs = left.join(right, ["label", "dims", "c"]).select("b", "c", "rows", F.when(F.col("b") != F.col("c"), F.col("rows2")).alias("rows2"))
     pairs = pairs.repartition(F.xxhash64("b", "c", F.element_at("rows", 1)["node"]))
-    found = cut(pairs.mapInArrow(_tiles(threshold), "u long, v long, n long"), "tiles")
+    found = cut(pairs.mapInArrow(_tiles(threshold), "u long, v long, n long"), "tiles", batch_rows=16)
     classes = distinct.select("label", "x", "node", "size")
     copies = usable.join(classes, ["label", "x"]).select("id", "node", "size")
     counts = found.filter("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))

@@ -270,7 +270,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     right = blocks.select("h", F.col("b").alias("c"), F.col("rows").alias("rows2"))
     tiles = left.join(right, ["h", "c"]).select("h", "rows", F.when(F.col("b") != F.col("c"), F.col("rows2")).alias("rows2"), "b", "c")
     tiles = tiles.repartition(F.xxhash64("h", "b", "c")).select("h", "rows", "rows2")
-    links = links.unionAll(tiles.mapInArrow(_tiles(words, percent), "u long, v long"))
+    links = links.unionAll(cut(tiles.mapInArrow(_tiles(words, percent), "u long, v long"), "tiles", batch_rows=16))
     found = components(links.unionAll(copies))
     return sketched.select("doc_id", "n_shingles").join(
         found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left"

@@ -147,6 +147,7 @@ def search(
     )
     tasks = cut(blocks, "index").join(packs, "dims").repartition(F.xxhash64("dims", "b", "q")).select("dims", "b", "rows", "asked")
     found = tasks.mapInArrow(_searcher(nearest, min(listed, pivots), top, rerank), "query_id long, vec_id long, score double")
+    found = cut(found, "found", batch_rows=4)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.dropDuplicates(["query_id", "vec_id", "score"]).withColumn("rank", F.row_number().over(order))
     return ranked.filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import embedding_dedup, licenses, minhash, mixing, packing, permutation_index, superkmer, warc
+from tallyloom.llm import embedding_dedup, licenses, minhash, mixing, packing, permutation_index, pu_quality, superkmer, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op2_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_permutation_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every vector whose id is divisible by 20."""
     vectors = _table(spark, sf_dir, "embeddings")
@@ -39,6 +44,11 @@ def op9_int8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    return pu_quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as dictionary-compressed WARC records and read back."""
     return warc.round_trip(_table(spark, sf_dir, "pages"))
@@ -63,9 +73,11 @@ def op10_min_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_counterfactual_toxicity": op2_counterfactual_toxicity,
     "op3_permutation_ann": op3_permutation_ann,
     "op4_mixture_schedule": op4_mixture_schedule,
     "op10_min_bin_slack_packing": op10_min_bin_slack_packing,
+    "op5_pu_quality": op5_pu_quality,
     "op6_warc_dictionary": op6_warc_dictionary,
     "op7_superkmer_substring_dedup": op7_superkmer_substring_dedup,
     "op8_license_diagonals": op8_license_diagonals,

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step handles at once; bounds a worker's memory.
 CHUNK_BYTES = 2 << 20
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of ids that may be broadcast (16 bytes each at most) once counted.
 BROADCAST_ROWS = 200_000
 #: Used only where the session names no checkpoint folder, as in tests.
@@ -38,11 +39,21 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends there."""
+def cut(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: lineage ends there.
+
+    ``batch_rows`` bounds the rows that reach a Python worker at once in this step, for
+    rows that each hold a whole block.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_BATCH_ROWS)
+    try:
+        if batch_rows:
+            spark.conf.set(_BATCH_ROWS, str(batch_rows))
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_BATCH_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
