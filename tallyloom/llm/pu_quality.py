@@ -135,8 +135,13 @@ def _descend(edges: np.ndarray, gradient, steps: int, rate: float, bias: float,
     return w[:-1].reshape(edges.shape[0], -1), float(w[-1])
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, *, steps: int = 400, rate: float = 0.05, l2: float = 1e-4) -> Model:
-    """Model from feature rows of trusted positives and of unlabelled texts."""
+def fit(positive: np.ndarray, unlabelled: np.ndarray, *, steps: int = 800, rate: float = 0.15, l2: float = 0.1) -> Model:
+    """Model from feature rows of trusted positives and of unlabelled texts.
+
+    ``l2`` is divided by the number of rows. The prior comes from a first model that tells the two
+    apart, fitted on every other row and applied to the rest.
+    """
+    l2 /= len(positive) + len(unlabelled)
     edges = np.quantile(np.concatenate([positive, unlabelled]), np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
     bp, bu = _bins(edges, positive), _bins(edges, unlabelled)
     size = edges.shape[0] * (edges.shape[1] + 1)
@@ -151,10 +156,11 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, *, steps: int = 400, rate:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     def apart(w: np.ndarray) -> np.ndarray:
-        return back(bp, (sigmoid(logits(w, bp)) - 1) / len(bp)) + back(bu, sigmoid(logits(w, bu)) / len(bu))
+        p, u = bp[::2], bu[::2]
+        return back(p, (sigmoid(logits(w, p)) - 1) / len(p)) + back(u, sigmoid(logits(w, u)) / len(u))
 
-    rough = Model(edges, *_descend(edges, apart, steps // 2, rate, 0.0, l2), prior=0.5)
-    prior = estimate_prior(rough.logits(positive), rough.logits(unlabelled))
+    rough = Model(edges, *_descend(edges, apart, steps // 2, rate, 0.0, 10 * l2), prior=0.5)
+    prior = estimate_prior(rough.logits(positive[1::2]), rough.logits(unlabelled[1::2]))
 
     def risk(w: np.ndarray) -> np.ndarray:
         zp, zu = logits(w, bp), logits(w, bu)
@@ -201,9 +207,10 @@ def learn(docs: DataFrame, labels: DataFrame, *, label: str = "quality", positiv
     rows = plain.join(wanted, "doc_id").select("positive", "text").mapInArrow(_featurer(), "positive int, x array<double>").toArrow()
     mark = rows.column("positive").to_numpy() == 1
     x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(len(mark), len(FEATURES))
-    order = np.lexsort(x.T)  # the order of rows must not matter
+    order = np.lexsort((*x.T, mark))  # the order in which rows arrive must not matter
+    order = order[np.random.default_rng(0).permutation(len(order))]
     x, mark = x[order], mark[order]
-    if not mark.any() or mark.all():
+    if mark.sum() < 2 or (~mark).sum() < 2:
         none = np.zeros((len(FEATURES), BINS - 1))
         return Model(none, np.zeros((len(FEATURES), BINS)), 0.0, 0.5)
     return fit(x[mark], x[~mark])
