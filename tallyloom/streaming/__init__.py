@@ -1 +1 @@
-"""Streaming of the engine."""
+"""Streaming entry points of the engine."""
