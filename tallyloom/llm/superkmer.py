@@ -8,8 +8,8 @@ In a bucket equal strings collapse again, the windows of the distinct strings ar
 by hash, equal hashes are compared word for word, and all but the first occurrence are
 reported as covered word ranges.
 
-A minimiser with more than ``HEAVY`` distinct strings (a passage repeated in very many
-different surroundings) is not held in one task: its windows are passed on one by one
+Minimisers with more than ``HEAVY`` distinct strings (a passage repeated in very many
+different surroundings; counted by 16 bits of the minimiser) are not held in one task: its windows are passed on one by one
 and their first occurrences found by an aggregation with map-side combining.
 """
 
@@ -32,9 +32,9 @@ MINIMISER = 4
 #: Distinct strings of one minimiser that a task holds.
 HEAVY = 20_000
 #: Bytes of packed strings that a map task gathers before it sends them.
-FLUSH_BYTES = 24 << 20
+FLUSH_BYTES = 32 << 20
 #: Bytes of packed strings aimed at in a bucket.
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 24 << 20
 #: Stands for a null doc_id, which comes after all others.
 _NULL_ID = (1 << 63) - 1
 _POSITION = U((1 << 24) - 1)
@@ -85,12 +85,12 @@ def minimiser_runs(word_hash: np.ndarray, first: np.ndarray, width: int) -> tupl
 
 def _splitter(width: int, buckets: int):
     def flush(held: dict[int, dict[bytes, list]]) -> pa.RecordBatch:
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=6)
         parts, blobs = [], []
         for part, strings in held.items():
             k = np.array([len(strings)], np.int64)
             length = np.fromiter(map(len, strings), np.int64, len(strings))
-            least = np.fromiter((v[0] for v in strings.values()), np.uint64, len(strings))
+            least = np.fromiter((v[0] for v in strings.values()), np.uint16, len(strings))
             count = np.fromiter(((len(v) - 1) // 3 for v in strings.values()), np.int64, len(strings))
             where = np.array([x for v in strings.values() for x in v[1:]], np.int64).reshape(-1, 3).T
             parts.append(part)
@@ -110,7 +110,7 @@ def _splitter(width: int, buckets: int):
             low, high = at[window].tolist(), (at[window + count + width - 1] - 1).tolist()
             part = (mix(least) % U(buckets)).tolist()
             raw = packed.tobytes()
-            for p, m, a, b, i, t, s in zip(part, least.tolist(), low, high, ids, tags, start, strict=True):
+            for p, m, a, b, i, t, s in zip(part, (least >> U(48)).tolist(), low, high, ids, tags, start, strict=True):
                 strings = held.get(p)
                 if strings is None:
                     strings = held[p] = {}
@@ -136,11 +136,11 @@ def _unpack(blob: bytes) -> tuple[list[bytes], list[int], list[int], list[tuple[
     k = int(np.frombuffer(raw, np.int64, 1)[0])
     at = 8
     length = np.frombuffer(raw, np.int64, k, at)
-    least = np.frombuffer(raw, np.uint64, k, at + 8 * k)
-    count = np.frombuffer(raw, np.int64, k, at + 16 * k)
+    least = np.frombuffer(raw, np.uint16, k, at + 8 * k)
+    count = np.frombuffer(raw, np.int64, k, at + 10 * k)
     n = int(count.sum())
-    where = np.frombuffer(raw, np.int64, 3 * n, at + 24 * k).reshape(3, n)
-    at += 24 * k + 24 * n
+    where = np.frombuffer(raw, np.int64, 3 * n, at + 18 * k).reshape(3, n)
+    at += 18 * k + 24 * n
     edge = np.concatenate([[0], np.cumsum(length)]) + at
     strings = [raw[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
     return strings, least.tolist(), count.tolist(), list(zip(*where.tolist(), strict=True))
@@ -328,7 +328,7 @@ def remove_repeats(docs: DataFrame, *, width: int = 20, keep: tuple[str, ...] =
     """
     spark = docs.sparkSession
     plain = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), F.col("text").cast("string").alias("text"),
+        F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").cast("long").alias("tag"), F.col("text").cast("string").alias("text"),
         *[F.col(c) for c in keep if c not in ("doc_id", "text", "tag")],
     )
     total = plain.agg(F.sum(F.octet_length("text"))).head()[0] or 0
