@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyloom.functions.text import once
+
 # How an amount is written, and how a number stands in a line.
 AMOUNT = r"(\d{1,3}(?:[.,]\d{3})+|\d+)(?:[.,](\d{2})(?!\d))?\s*(%)?"
 NUMBER = r"\d{1,3}(?:[.,]\d{3})+|\d+(?:[.,]\d{2}(?!\d))?"
@@ -17,9 +19,17 @@ def parse_clp(text: Column) -> Column:
     ``.`` and ``,`` separate thousands. Two digits after a separator are decimals if the whole
     part has a separator of its own or ``%`` follows; otherwise a cut-off group of thousands.
     """
-    whole_text = F.regexp_extract(text, AMOUNT, 1)
-    whole = F.regexp_replace(whole_text, "[.,]", "").try_cast("double")
-    cents = F.regexp_extract(text, AMOUNT, 2).try_cast("double")
-    decimal = (F.regexp_extract(text, AMOUNT, 3) == "%") | whole_text.rlike("[.,]")
-    value = F.when(cents.isNull(), whole).when(decimal, whole + cents / 100).otherwise(whole * 1000 + cents * 10)
-    return F.when(value <= LIMIT, value)
+
+
+    def value(found: Column) -> Column:
+        groups = F.struct(*[F.regexp_extract(found, AMOUNT, i).alias(f"g{i}") for i in (1, 2, 3)])
+        return once(groups, amount)
+
+    def amount(g: Column) -> Column:
+        whole = F.translate(g["g1"], ".,", "").try_cast("double")
+        cents = g["g2"].try_cast("double")
+        decimal = (g["g3"] == "%") | g["g1"].rlike("[.,]")
+        return F.when(g["g2"] == "", whole).when(decimal, whole + cents / 100).otherwise(whole * 1000 + cents * 10)
+
+    plain = once(F.regexp_extract(text, AMOUNT, 0), value)
+    return once(plain, lambda v: F.when(v <= LIMIT, v))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,6 +13,11 @@ _ACCENTED = "ÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝáàâäãåé
 _PLAIN = "AAAAAAEEEEIIIIOOOOOUUUUNCYaaaaaaeeeeiiiiooooouuuuncyy"
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(text: Column) -> Column:
     """Without white space, of any kind, at both ends."""
     return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
@@ -40,11 +46,16 @@ def tokens(text: Column) -> Column:
 
 
 def round1(x: Column) -> Column:
-    """``x`` in 0..100 to one decimal, ties by the exact binary value, as IEEE doubles round."""
-    twentieths = F.rint(x * 20)
-    odd = F.array(*[F.lit(round(k / 20, 1)) for k in range(1, 2001, 2)])
-    tie = (twentieths / 20 == x) & (F.pmod(twentieths, F.lit(2.0)) == 1) & (twentieths > 0)
-    return F.when(tie, F.get(odd, ((twentieths - 1) / 2).cast("int"))).otherwise(F.bround(x, 1))
+    """``x`` in 0..100 to one decimal; ties go by the exact binary value, even only if that is a tie.
+
+    ``x * 20`` is an odd whole number just for apparent ties. Its exact rest comes from
+    splitting ``x`` into two halves of its digits, whose products by 20 are exact.
+    """
+    scaled = F.rint(x * 20)
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    rest = (high * 20 - scaled) + (x - high) * 20
+    tie = (x * 20 == scaled) & (F.pmod(scaled, F.lit(2.0)) == 1) & (rest != 0)
+    return F.when(tie, (scaled + F.signum(rest)) / 20).otherwise(F.bround(x, 1))
 
 
 def clp(x: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import vocabulary as V
 from tallyloom.functions.money import parse_clp
-from tallyloom.functions.text import SPACE, contains_any, first_contained, strip
+from tallyloom.functions.text import SPACE, contains_any, first_contained, once, strip
 
 
 def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -34,12 +34,12 @@ def first_date(line: Column) -> Column:
 
 def total_line_amount(text: Column) -> Column:
     """Amount after the last colon, else of the whole text."""
-    return F.coalesce(F.when(F.contains(text, F.lit(":")), parse_clp(F.substring_index(text, ":", -1))), parse_clp(text))
+    return once(text, lambda t: F.coalesce(F.when(F.contains(t, F.lit(":")), parse_clp(F.substring_index(t, ":", -1))), parse_clp(t)))
 
 
 def _after(line: Column, upper: Column, label: Column) -> Column:
-    rest = F.substring(line, F.instr(upper, label) + F.length(label), F.length(line))
-    return F.when(strip(rest) != "", total_line_amount(rest))
+    rest = once(label, lambda name: F.substring(line, F.instr(upper, name) + F.length(name), F.length(line)))
+    return F.when(label.isNotNull(), total_line_amount(rest))
 
 
 def is_table_header(upper: Column) -> Column:
