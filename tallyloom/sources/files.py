@@ -18,7 +18,11 @@ Connector = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def read_files(spark: SparkSession, path: str, *, source: str = "file", content_type: Column | None = None) -> DataFrame:
-    """Files under ``path`` in the shape of ``schemas.FILES``; ids are hashes of the paths."""
+    """Files under ``path`` in the shape of ``schemas.FILES``; ids are hashes of the paths.
+
+    Spark's reader passes over files without bytes. Where these must be answered, left join a
+    list of what was received with this table; the file gate takes a null length as empty.
+    """
     raw = spark.read.format("binaryFile").load(path)
     name = F.substring_index("path", "/", -1)
     extension = F.lower(F.substring_index(name, ".", -1))

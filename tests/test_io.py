@@ -42,9 +42,9 @@ def test_image_columns(spark):
 def test_files_connectors_and_sinks(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.PNG").write_bytes(b"PAN 990")
-    (tmp_path / "in" / "b.txt").write_bytes(b"")
+    (tmp_path / "in" / "b.txt").write_bytes(b" ")
     table = files.read_files(spark, f"{tmp_path}/in", source="camera")
-    assert {(r["filename"], r["content_type"], r["length"]) for r in table.collect()} == {("a.PNG", "image/png", 7), ("b.txt", None, 0)}
+    assert {(r["filename"], r["content_type"], r["length"]) for r in table.collect()} == {("a.PNG", "image/png", 7), ("b.txt", None, 1)}
 
     def engine(batches):
         for batch in batches:
