@@ -129,8 +129,8 @@ class Model:
 
 
 def _flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    return owner, np.concatenate(lists).astype(np.int64) if lists else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
+    return owner, np.concatenate(lists).astype(np.int32) if lists else np.zeros(0, np.int32)
 
 
 def fit(
@@ -142,10 +142,12 @@ def fit(
     yes, total = labels.sum(), len(labels)
     n = np.bincount(code, minlength=1 << BITS)
     n1 = np.bincount(code, weights=labels[owner], minlength=1 << BITS)
+    features = np.flatnonzero(n >= LEAST_ROWS)  # all else is done for these alone, which bounds the driver's memory
+    n, n1 = n[features].astype(float), n1[features]
     a, b = (n1 + 0.5) / (yes + 1), (n - n1 + 0.5) / (total - yes + 1)
     apart = np.abs(np.log(a / (1 - a)) - np.log(b / (1 - b))) / np.sqrt(1 / (n1 + 0.5) + 1 / (n - n1 + 0.5))
-    features = np.flatnonzero((n >= LEAST_ROWS) & (apart > LEAST_Z))
-    place = np.full(1 << BITS, -1)
+    features = features[apart > LEAST_Z]
+    place = np.full(1 << BITS, -1, np.int32)
     place[features] = np.arange(len(features))
 
     def chosen(owner: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,7 +186,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int
     given = plain.join(F.broadcast(wanted), "doc_id").select("label", "text")  # bounded by 2 * rows
     kinds = "label int, x array<int>, plus array<int>, minus array<int>"
     table = given.mapInArrow(_featurer(), kinds).toArrow()
-    x = [np.asarray(v, np.int64) for v in table.column("x").to_numpy()]
+    x = [np.asarray(v, np.int32) for v in table.column("x").to_numpy()]
     y = table.column("label").to_numpy().astype(float)
     order = sorted(range(len(y)), key=lambda i: (y[i], x[i].tobytes()))  # the order of rows must not matter
     twins = [
