@@ -32,9 +32,9 @@ MINIMISER = 4
 #: Distinct strings of one minimiser that a task holds.
 HEAVY = 20_000
 #: Bytes of packed strings that a map task gathers before it sends them.
-FLUSH_BYTES = 32 << 20
+FLUSH_BYTES = 24 << 20
 #: Bytes of packed strings aimed at in a bucket.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 16 << 20
 #: Stands for a null doc_id, which comes after all others.
 _NULL_ID = (1 << 63) - 1
 _POSITION = U((1 << 24) - 1)
@@ -85,7 +85,7 @@ def minimiser_runs(word_hash: np.ndarray, first: np.ndarray, width: int) -> tupl
 
 def _splitter(width: int, buckets: int):
     def flush(held: dict[int, dict[bytes, list]]) -> pa.RecordBatch:
-        pack = zstandard.ZstdCompressor(level=6)
+        pack = zstandard.ZstdCompressor(level=3)
         parts, blobs = [], []
         for part, strings in held.items():
             k = np.array([len(strings)], np.int64)
