@@ -125,10 +125,9 @@ def _scanner(k: int, rolling: bool):
 _SCAN = "doc_id long, tag long, n_words long, n_base long, first_word long, last_word long, base array<string>"
 
 
-def verify(words: list[bytes], template: list[bytes], diagonal: int, wide: int) -> float:
-    """Share of the template's words, in order, that stand in the span around a diagonal."""
-    low, high = max(0, diagonal), min(len(words), diagonal + wide + len(template))
-    blocks = SequenceMatcher(None, template, words[low:high], autojunk=False).get_matching_blocks()
+def verify(words: list[bytes], template: list[bytes]) -> float:
+    """Share of the template's words that stand, in order, in a span of words."""
+    blocks = SequenceMatcher(None, template, words, autojunk=False).get_matching_blocks()
     return sum(b.size for b in blocks) / len(template)
 
 
@@ -150,7 +149,7 @@ def _verifier(templates):
                     ids.append(doc)
                     tags.append(tag)
                     template.append(s["template"])
-                    score.append(verify(own, goal, 0, len(own)))
+                    score.append(verify(own, goal))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(template, pa.int32()), pa.array(score, pa.float64())],
                 names=["doc_id", "tag", "template", "share"],
