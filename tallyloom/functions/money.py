@@ -32,4 +32,4 @@ def parse_clp(text: Column) -> Column:
         return F.when(g["g2"] == "", whole).when(decimal, whole + cents / 100).otherwise(whole * 1000 + cents * 10)
 
     plain = once(F.regexp_extract(text, AMOUNT, 0), value)
-    return once(plain, lambda v: F.when(v <= LIMIT, v))
+    return F.when(text.rlike("[0-9]"), once(plain, lambda v: F.when(v <= LIMIT, v)))

@@ -29,7 +29,8 @@ def first_date(line: Column) -> Column:
 
     dates = F.transform(F.regexp_extract_all(line, F.lit(V.DATE), F.lit(0)), dated)
     good = F.filter(dates, lambda d: d.isNotNull() & (d != F.lit(V.RESOLUTION_DATE).cast("date")))
-    return F.when(~F.contains(F.upper(line), F.lit(V.RESOLUTION_WORD)), F.get(good, 0).cast("string"))
+    likely = line.rlike(r"\d[/\-.]\d") & ~F.contains(F.upper(line), F.lit(V.RESOLUTION_WORD))
+    return F.when(likely, F.get(good, 0).cast("string"))
 
 
 def total_line_amount(text: Column) -> Column:
