@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step handles at once; bounds a worker's memory.
 CHUNK_BYTES = 2 << 20
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of ids that may be broadcast (16 bytes each at most) once counted.
 BROADCAST_ROWS = 200_000
@@ -43,17 +44,19 @@ def cut(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there.
 
     ``batch_rows`` bounds the rows that reach a Python worker at once in this step, for
-    rows that each hold a whole block.
+    rows that each hold a whole block. The step's shuffle files are removed when it ends.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    before = spark.conf.get(_BATCH_ROWS)
+    before, cleaned = spark.conf.get(_BATCH_ROWS), spark.conf.get(_CLEAN_UP, "false")
     try:
+        spark.conf.set(_CLEAN_UP, "true")
         if batch_rows:
             spark.conf.set(_BATCH_ROWS, str(batch_rows))
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_BATCH_ROWS, before)
+        spark.conf.set(_CLEAN_UP, cleaned)
     return spark.read.schema(df.schema).parquet(path)
 
 
