@@ -4,7 +4,8 @@ Sources get shares of all words by weight, none more than ``most`` times its own
 words (water filling). A fixed number of slots of equal token length is dealt out:
 slot ``i`` sits at the golden-ratio point ``frac(i * phi)``, which falls into one
 source's interval of the cumulative target shares. The ``r``-th slot of a source takes
-the ``r``-th block of the source's shuffled token line, beginning anew at its end.
+the ``r``-th block of the source's shuffled token line, beginning anew at its end; the
+source ends at its rounded target, so sources smaller than a block get theirs as well.
 Everything is DataFrame expressions. Prefix sums over a source's documents are made in
 two levels (hash ranges within a source, then documents within a range), so a source
 that holds a third of all rows is spread over many tasks.
@@ -118,18 +119,15 @@ def mix(
     parts = keyed(narrow).groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     goals = targets(parts.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights=weights, most=most)
     turns = schedule(goals, slots=slots).groupBy("place").agg(F.count(F.lit(1)).alias("turns"))
-    block = F.greatest(F.lit(1.0), F.col("total") / F.lit(float(slots)))
-    plan = goals.join(turns, "place", "left").withColumn("block", block)
-    plan = plan.withColumn("line", F.ceil(F.col("source_size") / F.col("block")).cast("long"))
-    plan = plan.withColumn("turns", F.coalesce("turns", F.lit(0)))
-    # With fewer words than slots a block is one word and the schedule is cut to the words there are.
-    plan = plan.withColumn("turns", F.when(F.col("total") < slots, F.round(F.col("turns") * F.col("total") / F.lit(float(slots)))).otherwise(F.col("turns")).cast("long"))
-    plan = plan.withColumn("turns", F.least(F.col("turns"), F.col("line") * most))
-    line = F.greatest(F.col("line"), F.lit(1))
+    plan = goals.join(turns, "place", "left").withColumn("turns", F.coalesce("turns", F.lit(0)))
+    # With fewer words than slots a block is one word and the schedule is cut to the words there are; else the
+    # last block of a source is cut, or followed by more, so that its words are its rounded target.
+    dealt = F.when(F.col("total") < slots, F.round(F.col("turns") * F.col("total") / F.lit(float(slots)))).otherwise(F.round("target"))
+    plan = plan.withColumn("words", F.least(dealt.cast("long"), F.col("source_size") * most))
+    line = F.greatest(F.col("source_size"), F.lit(1))
     plan = plan.select(
         "source", "source_size", "target",
-        F.floor(F.col("turns") / line).cast("long").alias("rounds"),
-        F.least(F.col("source_size"), F.ceil((F.col("turns") % line) * F.col("block")).cast("long")).alias("again"),
+        F.floor(F.col("words") / line).cast("long").alias("rounds"), (F.col("words") % line).alias("again"),
     )
     ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     places = parts.withColumn("ahead", F.coalesce(F.sum("part_size").over(ahead), F.lit(0)))

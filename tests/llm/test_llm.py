@@ -152,6 +152,22 @@ def test_mixing(docs, rows):
     assert mixing.mix(empty(docs)).count() == 0
 
 
+def test_mixing_meets_targets_of_sources_smaller_than_a_block(spark):
+    sizes = {"a": [300] * 40, "b": [3], "c": [700, 5, 295] * 20, "d": [40, 1], "e": [150], "f": [500] * 30}
+    data = [(s, "w " * n) for s, listed in sizes.items() for n in listed]
+    docs = spark.createDataFrame([(i, t, s) for i, (s, t) in enumerate(data)], "doc_id long, text string, source string")
+    slots = 64
+    assert sum(map(sum, sizes.values())) / slots > 3 * sum(sizes["e"])
+    per = {}
+    for r in mixing.mix(docs, slots=slots, keep=("source",)).collect():
+        assert 0 <= r["taken"] <= 3 * r["size"] and (r["copies"] > 0) >= (r["taken"] > 0)
+        per.setdefault(r["source"], []).append(r)
+    for s, found in per.items():
+        assert sum(r["taken"] for r in found) == round(found[0]["target"]), s
+    for s in "bde":
+        assert all(r["taken"] == 3 * r["size"] for r in per[s])
+
+
 def test_packing(docs, rows):
     from tokenizers import Tokenizer
 
