@@ -315,6 +315,27 @@ def test_permutation_index(spark):
     assert permutation_index.search(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_packing_takes_added_tokens_in_texts_as_single_ids(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    end = "<|endoftext|>"
+    texts = [f"x {end} y", end, end + end, f"a{end}b c", f"  {end}  \n{end} ", f"it's {end}'s 12 <|endoftext|", f"{end[:-1]}{end}>", "plain  text ", ""]
+    texts += [f"some words {end} and others " * 30]
+    wanted = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert wanted[0] == [87, 220, 50256, 331]
+    encoder = packing.Encoder(tokenizer_path(), added=True)
+    assert [np.frombuffer(raw, "<u4").tolist() for raw in encoder.encode(texts)] == wanted
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r["doc_id"], r["start"]): (r["length"], r["ids_crc32"]) for r in packing.pack(docs, tokenizer_path(), limit=64).collect()}
+    for i, ids in enumerate(wanted):
+        ids = [*ids, 2]
+        edges = [0, *range(len(ids) % 64 or 64, len(ids) + 1, 64)]
+        for a, b in zip(edges, edges[1:]):
+            assert found.pop((i, a)) == (b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes()))
+    assert not found
+
+
 def labelled(spark, n=900):
     rng = random.Random(9)
     docs, labels = [], []
