@@ -6,6 +6,7 @@ slot ``i`` sits at the golden-ratio point ``frac(i * phi)``, which falls into on
 source's interval of the cumulative target shares. The ``r``-th slot of a source takes
 the ``r``-th block of the source's shuffled token line, beginning anew at its end; the
 source ends at its rounded target, so sources smaller than a block get theirs as well.
+:func:`mix` gives what is taken in closed form, without joining blocks to slots: no order.
 Everything is DataFrame expressions. Prefix sums over a source's documents are made in
 two levels (hash ranges within a source, then documents within a range), so a source
 that holds a third of all rows is spread over many tasks.
