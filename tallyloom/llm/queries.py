@@ -31,7 +31,7 @@ def op3_permutation_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixture_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that a mix at weights 1, 2, 3 takes."""
-    return mixing.mix(_table(spark, sf_dir, "documents")).drop("copies")
+    return mixing.mix(_table(spark, sf_dir, "documents")).drop("parts")
 
 
 def op8_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,23 +171,11 @@ r AS (
   SELECT *, (total - coalesce(sum(lim) OVER (ORDER BY lim / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
             / sum(weight) OVER (ORDER BY lim / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 g AS (SELECT *, least(lim, max(CASE WHEN level <= lim / weight THEN level END) OVER () * weight) AS target FROM r),
-h AS (SELECT *, sum(target) OVER (ORDER BY place) / total AS high FROM g),
-spans AS (SELECT *, coalesce(lag(high) OVER (ORDER BY place), 0) AS low FROM h),
-open_spans AS (
-  SELECT place, low, CASE WHEN place = max(place) OVER () THEN 2.0 ELSE high END AS high FROM spans WHERE high > low),
-slots AS (SELECT i * 0.6180339887498949::DOUBLE - floor(i * 0.6180339887498949::DOUBLE) AS u FROM range(1048576) t(i)),
-turns AS (SELECT place, count(*) AS n FROM slots JOIN open_spans ON u >= low AND u < high GROUP BY place),
-p AS (
-  SELECT spans.*, greatest(1.0, total / 1048576) AS block, ceil(ss / greatest(1.0, total / 1048576))::BIGINT AS line,
-         (CASE WHEN total < 1048576 THEN round(coalesce(n, 0) * total / 1048576) ELSE coalesce(n, 0) END)::BIGINT AS n
-  FROM spans LEFT JOIN turns USING (place)),
-q AS (
-  SELECT *, least(n, 3 * line) // greatest(line, 1) AS rounds,
-         least(ss, ceil((least(n, 3 * line) % greatest(line, 1)) * block)::BIGINT) AS again FROM p),
+t AS (SELECT *, least(CAST(round(target) AS BIGINT), 3 * ss) AS words FROM g),
 d AS (
   SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5('17/' || doc_id), doc_id, size
                                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead FROM sized)
-SELECT d.doc_id, d.size, q.ss AS source_size, q.target,
-       (q.rounds * d.size + greatest(0, least(d.size, q.again - d.ahead)))::BIGINT AS taken
-FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+SELECT d.doc_id, d.size, t.ss AS source_size, t.target,
+       (t.words // greatest(t.ss, 1) * d.size + greatest(0, least(d.size, t.words % greatest(t.ss, 1) - d.ahead)))::BIGINT AS taken
+FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 """

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step handles at once; bounds a worker's memory.
@@ -16,13 +16,18 @@ _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of ids that may be broadcast (16 bytes each at most) once counted.
 BROADCAST_ROWS = 200_000
-#: Used only where the session names no checkpoint folder, as in tests.
+#: Used only where the session names no checkpoint folder and runs in one local process, as in tests.
 OWN_CHECKPOINTS = "/tmp/checkpoints/tallyloom"
+#: Keys that may be called hot at most, and rows of one key that a task always takes.
+HOT_KEYS, HOT_ROWS = 4096, 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share."""
-    return spark.conf.get("spark.checkpoint.dir", None) or OWN_CHECKPOINTS
+    """Folder that driver and executors share: ``spark.checkpoint.dir``, which a cluster must name."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return named or OWN_CHECKPOINTS
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -34,10 +39,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Remove a path made by :func:`fresh_path`."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def forget(*tables: DataFrame) -> None:
+    """Remove tables written by :func:`cut` that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(table.cut_path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def cut(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
@@ -57,7 +64,26 @@ def cut(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     finally:
         spark.conf.set(_BATCH_ROWS, before)
         spark.conf.set(_CLEAN_UP, cleaned)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.cut_path = path
+    return table
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], salt: Column) -> DataFrame:
+    """Inner join of ``rows`` with ``facts``, which has one row a key and in ``n`` the rows of that key, on ``keys``.
+
+    A key is hot if it has more than ``HOT_ROWS`` rows and more than one in ``HOT_KEYS`` of all.
+    So there are fewer than ``HOT_KEYS`` of them, whatever the input, and their list is broadcast;
+    their rows are dealt out by the hash of ``salt`` over tasks of about that many rows each.
+    """
+    total = facts.agg(F.sum("n")).head()[0] or 0
+    share = max(HOT_ROWS, -(-total // HOT_KEYS))
+    salts = F.ceil(F.col("n") / share).cast("int")
+    hot = facts.filter(F.col("n") > share).select(*keys, salts.alias("_salts"))
+    dealt = F.pmod(F.xxhash64(salt), F.coalesce("_salts", F.lit(1))).cast("int")
+    left = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", dealt).drop("_salts")
+    right = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
+    return left.join(right, [*keys, "_salt"]).drop("_salt")
 
 
 def small_or_plain(ids: DataFrame) -> DataFrame:

@@ -152,27 +152,67 @@ def test_mixing(docs, rows):
     assert mixing.mix(empty(docs)).count() == 0
 
 
-def test_mixing_meets_targets_of_sources_smaller_than_a_block(spark):
-    sizes = {"a": [300] * 40, "b": [3], "c": [700, 5, 295] * 20, "d": [40, 1], "e": [150], "f": [500] * 30}
+def mixed_table(spark, sizes):
     data = [(s, "w " * n) for s, listed in sizes.items() for n in listed]
-    docs = spark.createDataFrame([(i, t, s) for i, (s, t) in enumerate(data)], "doc_id long, text string, source string")
-    slots = 64
-    assert sum(map(sum, sizes.values())) / slots > 3 * sum(sizes["e"])
+    return spark.createDataFrame([(i, t, s, "z", "z") for i, (s, t) in enumerate(data)], "doc_id long, text string, source string, place string, part string")
+
+
+@pytest.mark.parametrize("block", [7, 64, 1024, 100_000])
+def test_mixing_gives_every_source_its_target_at_any_block_length(spark, block):
+    sizes = {"a": [300] * 40, "b": [3], "c": [700, 5, 295] * 20, "d": [40, 1], "e": [150], "f": [500] * 30, "g": [0, 0]}
+    docs = mixed_table(spark, sizes)
     per = {}
-    for r in mixing.mix(docs, slots=slots, keep=("source",)).collect():
-        assert 0 <= r["taken"] <= 3 * r["size"] and (r["copies"] > 0) >= (r["taken"] > 0)
+    for r in mixing.mix(docs, block=block, keep=("source", "place", "part")).collect():
+        assert 0 <= r["taken"] <= 3 * r["size"] and r["taken"] == sum(p["words"] for p in r["parts"])
+        assert [p["lap"] for p in r["parts"]] == list(range(len(r["parts"]))) and (r["place"], r["part"]) == ("z", "z")
+        assert all(p["words"] == r["size"] for p in r["parts"][:-1])
         per.setdefault(r["source"], []).append(r)
     for s, found in per.items():
         assert sum(r["taken"] for r in found) == round(found[0]["target"]), s
     for s in "bde":
         assert all(r["taken"] == 3 * r["size"] for r in per[s])
+    whole = {r["doc_id"]: r["taken"] for r in mixing.mix(docs, block=1).collect()} if block == 7 else {}
+    assert not whole or whole == {r["doc_id"]: r["taken"] for found in per.values() for r in found}  # blocks never change what is taken
+
+
+def test_mixing_takes_small_sources_three_times(spark):
+    docs = mixed_table(spark, {"a": [1000] * 100, "b": [40], "c": [60, 40], "d": [1000] * 100})
+    taken = {}
+    for r in mixing.mix(docs, keep=("source",)).collect():
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+    assert (taken["b"], taken["c"], sum(taken.values())) == (120, 300, 200_140)
+
+
+def test_schedule_ranks_slots_evenly(spark):
+    sources = spark.createDataFrame([("a", 60_000), ("b", 9_000), ("c", 30_000), ("d", 7)], "source string, source_size long")
+    plan = mixing.plan_sources(sources, block=10).withColumn("block", F.lit(10))
+    goals = {r["place"]: r for r in plan.collect()}
+    slots = sorted(mixing.schedule(plan).collect())
+    every = sum(g["need"] for g in goals.values())
+    assert len(slots) == every and len({s["slot"] for s in slots}) == every
+    seen = dict.fromkeys(goals, 0)
+    for s in slots:
+        g, turn = goals[s["place"]], seen[s["place"]]
+        assert (s["block"], s["lap"]) == (turn % g["blocks"], turn // g["blocks"])
+        seen[s["place"]] += 1
+        if s["slot"] < every // 2:  # any part of the schedule is mixed like the whole
+            assert all(abs(seen[p] - (s["slot"] + 1) * goals[p]["need"] / every) <= 12 for p in seen)
+    assert seen == {p: g["need"] for p, g in goals.items()}
+
+
+def test_mixing_of_texts_without_words(spark):
+    docs = mixed_table(spark, {"a": [0, 0], "b": [0]})
+    found = mixing.mix(docs).collect()
+    assert len(found) == 3 and all((r["size"], r["target"], r["taken"], r["parts"]) == (0, 0.0, 0, []) for r in found)
+    copies = mixing.mixed_copies(mixed_table(spark, {"a": [5, 3], "b": [200]}), keep=("source",))
+    assert {(r["text"].split().__len__(), r["lap"]) for r in copies.filter("source = 'a'").collect()} >= {(5, 0), (3, 0)}
+    assert copies.filter("cut").filter("text like '% '").count() == 0
 
 
 def test_packing(docs, rows):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path())
-    tokenizer.encode_special_tokens = True
     odd = ["  a  b\n c ", "x <|endoftext|> y", "tab\t end ", "it's 12  3", "a\n b", "ä  ö"]
     encoder = packing.Encoder(tokenizer_path())
     for text, raw in zip(odd + [t or "" for _, t in rows], encoder.encode(odd + [t or "" for _, t in rows]), strict=True):
@@ -324,7 +364,7 @@ def test_packing_takes_added_tokens_in_texts_as_single_ids(spark):
     texts += [f"some words {end} and others " * 30]
     wanted = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert wanted[0] == [87, 220, 50256, 331]
-    encoder = packing.Encoder(tokenizer_path(), added=True)
+    encoder = packing.Encoder(tokenizer_path())
     assert [np.frombuffer(raw, "<u4").tolist() for raw in encoder.encode(texts)] == wanted
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {(r["doc_id"], r["start"]): (r["length"], r["ids_crc32"]) for r in packing.pack(docs, tokenizer_path(), limit=64).collect()}
