@@ -42,22 +42,21 @@ class Encoder:
     """Token ids, as little-endian unsigned 32-bit bytes, of a byte-level BPE vocabulary.
 
     The ids are those of the ``tokenizers`` library for the same file, no special tokens
-    added (tested). With ``added``, a text is first split at the file's added tokens, which
-    get their own ids, as the library does by default; else their strings are ordinary
-    text. Words not met before are encoded with the file's merge ranks by ``tiktoken``,
-    which is several times faster.
+    added (tested): a text is first split at the file's added tokens, which get their own ids.
+    Words not met before are encoded with the file's merge ranks by ``tiktoken``, which is
+    several times faster.
     Pre-tokenisation never joins a space to the character before it, so a text is cut
     before each space that begins a word and the words' ids are remembered. Texts with
     a space before other white space, or at the end, are encoded whole.
     """
 
-    def __init__(self, path: str, *, added: bool = False) -> None:
+    def __init__(self, path: str) -> None:
         import tiktoken
 
         with open(path, encoding="utf-8") as file:
             declared = json.load(file)
         vocabulary = declared["model"]["vocab"]
-        tokens = declared.get("added_tokens", []) if added else []
+        tokens = declared.get("added_tokens", [])
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens):
             raise ValueError("added tokens that take white space or whole words only are not supported")
         self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in tokens}
@@ -101,7 +100,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text."""
         for text in texts:
-            if not any(t in text for t in self.added):
+            if not any(t in text for t in self.added):  # also where the file declares none
                 yield self._ordinary(text)
                 continue
             parts = self.at_added.split(text)  # every second part is an added token
@@ -110,7 +109,7 @@ class Encoder:
 
 def _cutter(path: str, limit: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, added=True)
+        encoder = Encoder(path)
         stop = array("I", [end]).tobytes()
         assert sys.byteorder == "little"
         for whole in batches:
