@@ -39,10 +39,16 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    mixed = mixing.mix(docs, keep=COLUMNS[1:])
-    times = F.array_repeat(F.lit(0), F.col("copies"))
-    return mixed.withColumn("copy", F.explode(times)).select(*COLUMNS)
+    """The mix: each document as often as laps of its source's blocks take it.
+
+    A copy that a source's target cuts keeps the words taken, and ``n_chars`` counts them; all
+    else is as it was. Null and empty texts have no words to take and go, so does an empty
+    table. Repeated rows are documents of their own; null ids and sources are ordinary.
+    """
+    mixed = mixing.mixed_copies(docs, keep=COLUMNS[2:])
+    whole = docs.select(*COLUMNS).schema["n_chars"].dataType
+    length = F.when(F.col("cut"), F.length("text")).otherwise(F.col("n_chars")).cast(whole)
+    return mixed.withColumn("n_chars", length).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
