@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.shared import cut
+from tallyloom.llm.shared import cut, forget, spread_join
 
 
 def _is_star_forest(edges: DataFrame) -> bool:
@@ -18,13 +18,14 @@ def _is_star_forest(edges: DataFrame) -> bool:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
+    near = spread_join(both.filter("v > u"), least, ["u"], F.col("v"))
+    return near.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = spread_join(edges, least, ["u"], F.col("v")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -33,14 +34,18 @@ def components(links: DataFrame) -> DataFrame:
 
     ``links`` has long columns ``u`` and ``v`` in any order; self links and nulls are
     ignored, and an empty table gives an empty table. Large-star and small-star steps
-    alternate until the graph is a forest of stars; each step ends in a written table.
+    alternate until the graph is a forest of stars; each step ends in a written table, and the
+    one before is removed. The neighbours of a node of very many links are dealt out over tasks.
     """
     edges = (
         links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
     edges = cut(edges, "links")
     while not _is_star_forest(edges):
-        edges = cut(_small_star(_large_star(edges)), "stars")
+        wide = cut(_large_star(edges), "stars")
+        forget(edges)
+        edges = cut(_small_star(wide), "stars")
+        forget(wide)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -10,11 +10,13 @@ confirmed on their full shingle sets.
 
 Copies (equal shingle sets) collapse to one class before banding. Within a bucket
 only links that can join two components are looked for: members are compared with
-the bucket's smallest member, then with its largest. Members of buckets that are still
-in different components are compared by tiles: a bucket is cut into blocks of bounded
+the bucket's smallest member, then with its largest. In buckets whose members are still in
+different components, those outside the largest component of the bucket are compared with each
+other and with the largest one's members, by tiles: both are cut into blocks of bounded
 size, and each pair of blocks is one task's work, which counts common shingles by bit
 sets and gives a spanning forest of the links it finds, never the pairs. A pair is
-looked at only in the first band that it shares. No cap is set anywhere.
+looked at only in the first band that it shares. No cap is set anywhere; the members of a
+bucket, and those compared with one member, are dealt out over tasks.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.graph import components
-from tallyloom.llm.shared import chunks, column_bytes, cut, list_column, small_or_plain
+from tallyloom.llm.shared import chunks, column_bytes, cut, forget, list_column, small_or_plain, spread_join
 from tallyloom.llm.words import U, mix, scan, shingle_sets
 
 #: Bytes of texts in a block of a bucket, about.
@@ -88,12 +90,13 @@ def _sketcher(k: int, rows: int, bands: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
+                    part.column(1),
                     pa.array(size, pa.int64()),
                     pa.array(k1.view(np.int64)),
                     pa.array(k2.view(np.int64)),
                     list_column(table[some].reshape(-1).view(np.int64), np.concatenate([[0], np.cumsum(held)]), pa.int64()),
                 ],
-                names=["doc_id", "n_shingles", "k1", "k2", "bands"],
+                names=["doc_id", "tag", "n_shingles", "k1", "k2", "bands"],
             )
 
     return run
@@ -206,37 +209,38 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     ``component_id`` is the smallest ``doc_id`` reachable, itself included.
 
     Null, empty and blank texts have no shingles and link with nothing. Rows that share
-    a ``doc_id`` are one document of the graph, whatever their texts. A null ``doc_id``
-    takes no part: its component is null and it is kept. An empty table gives no rows.
+    a ``doc_id`` are one document of the graph, with the links of each of its texts. A null
+    ``doc_id`` takes no part: its component is null and it is kept. An empty table gives no rows.
     """
     rows, bands = banding(percent / 100)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = cut(
-        plain.mapInArrow(_sketcher(words, rows, bands), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"),
-        "sketches",
+    plain = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), F.col("text").cast("string").alias("text")
     )
+    kinds = "doc_id long, tag long, n_shingles long, k1 long, k2 long, bands array<long>"
+    sketched = cut(plain.mapInArrow(_sketcher(words, rows, bands), kinds), "sketches")
     usable = sketched.filter("n_shingles > 0 and doc_id is not null")
-    classes = cut(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "classes")
-    copies = (
-        usable.select("k1", "k2", "doc_id")
-        .join(classes.select("k1", "k2", "node"), ["k1", "k2"])
-        .filter("doc_id <> node")
-        .select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-    )
-    entries = classes.select("node", F.explode("bands").alias("h"))
-    ends = entries.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    shared = cut(entries.join(ends, "h").distinct(), "buckets")
-    members = shared.select(F.col("node").alias("doc_id")).distinct()
-    texts = cut(
-        plain.join(small_or_plain(members), "doc_id")
-        .groupBy("doc_id").agg(F.min("text").alias("text")),
-        "texts",
+    # Classes have numbers of their own; ``tag`` tells the texts of one doc_id apart.
+    classes = usable.groupBy("k1", "k2").agg(
+        F.min(F.struct("doc_id", "tag")).alias("least"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")
     )
+    classes = classes.select("k1", "k2", "n", "least.doc_id", "least.tag", "bands", F.monotonically_increasing_id().alias("node"))
+    classes = cut(classes, "classes")
+    first_of = classes.select("k1", "k2", "n", F.col("doc_id").alias("v"))
+    copies = spread_join(usable.select("k1", "k2", F.col("doc_id").alias("u")), first_of, ["k1", "k2"], F.col("u"))
+    copies = copies.filter("u <> v").select("u", "v")
+    entries = cut(classes.select("node", F.explode("bands").alias("h")), "entries")
+    ends = entries.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n"))
+    ends = cut(ends.filter("low < high"), "ends")
+    shared = cut(spread_join(entries, ends, ["h"], F.col("node")).drop("n"), "buckets")
+    forget(entries)
+    members = shared.select("node").distinct().join(classes.select("node", "doc_id", "tag"), "node")
+    texts = cut(plain.join(small_or_plain(members), ["doc_id", "tag"]).select("node", "text").dropDuplicates(["node"]), "texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        x = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a"))
-        y = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b"))
-        joined = pairs.join(x, "u").join(y, "v").select("u", "v", "a", "b")
+        x = texts.toDF("u", "a")
+        per_v = pairs.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        y = per_v.join(texts.toDF("v", "b"), "v")
+        joined = spread_join(pairs.join(x, "u"), y, ["v"], F.col("u")).select("u", "v", "a", "b")
         return joined.mapInArrow(_verifier(words, percent), "u long, v long")
 
     def labelled(links: DataFrame) -> DataFrame:
@@ -245,33 +249,52 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
             "h", "node", "low", "high", F.coalesce("component", "node").alias("component")
         )
 
-    links = cut(confirmed(shared.filter("node > low").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct()), "links")
+    first = cut(shared.filter("node > low").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct(), "pairs")
+    links = cut(confirmed(first), "confirmed")
     here = cut(labelled(links), "labelled")
-    tops = here.filter("node = high").select("h", F.col("component").alias("top")).distinct()
-    again = (
-        here.join(tops, "h").filter("node < high and node > low and component <> top")
-        .select(F.col("node").alias("u"), F.col("high").alias("v")).distinct()
-    )
-    links = cut(links.unionAll(confirmed(again)), "links")
+    tops = here.filter("node = high").select("h", F.col("component").alias("top"))
+    tops = tops.join(ends.select("h", "n"), "h")
+    again = spread_join(here, tops, ["h"], F.col("node")).filter("node < high and node > low and component <> top")
+    again = cut(again.select(F.col("node").alias("u"), F.col("high").alias("v")).distinct(), "pairs")
+    links = cut(links.unionAll(confirmed(again)), "confirmed")
+    forget(here)
     here = cut(labelled(links), "labelled")
-    mixed = here.groupBy("h").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 < c2").select("h")
+    # The largest component of each bucket that holds several; its own members need no more links.
+    parts = here.groupBy("h", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy("h").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"))
+    mixed = mixed.filter("parts > 1").select("h", "main", "n")
+    apart = spread_join(here, mixed, ["h"], F.col("node"))
     apart = (
-        here.join(mixed, "h").select("h", "node", "component")
-        .join(texts.withColumnRenamed("doc_id", "node"), "node")
-        .join(classes.select("node", "bands"), "node")
+        apart.select("h", "node", "component", (F.col("component") == F.col("main")).alias("in_main"))
+        .join(texts, "node").join(classes.select("node", "bands"), "node")
+    )
+    apart = cut(apart, "apart")
+    size = F.octet_length("text") + 200
+    sizes = apart.groupBy("h").agg(
+        F.ceil(F.sum(F.when(F.col("in_main"), size)) / TILE_BYTES).cast("int").alias("mains"),
+        F.ceil(F.sum(F.when(~F.col("in_main"), size)) / TILE_BYTES).cast("int").alias("others"), F.count(F.lit(1)).alias("n"),
+    )
+    dealt = spread_join(apart, sizes, ["h"], F.col("node")).withColumn(
+        "b", F.pmod(F.xxhash64("node"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
     )
-    sizes = apart.groupBy("h").agg(F.ceil(F.sum(F.octet_length("text") + 200) / F.lit(TILE_BYTES)).cast("int").alias("blocks"))
-    blocks = (
-        apart.join(sizes, "h").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .groupBy("h", "b", "blocks").agg(F.collect_list(F.struct("node", "component", "bands", "text")).alias("rows"))
+    row = F.struct("node", "component", "bands", "text")
+    blocks = cut(dealt.groupBy("h", "in_main", "b", "mains", "others").agg(F.collect_list(row).alias("rows")), "blocks")
+    forget(apart)
+    with_others = F.sequence(F.col("b"), F.col("others") - 1)
+    with_main = F.sequence(F.lit(0), F.col("mains") - 1)
+    left = blocks.filter("not in_main")
+    pairs = left.select("h", "b", "rows", F.lit(False).alias("in_main"), F.explode(with_others).alias("c")).unionAll(
+        left.select("h", "b", "rows", F.lit(True), F.explode(with_main))
     )
-    blocks = cut(blocks, "blocks")
-    left = blocks.select("h", "b", "rows", F.explode(F.sequence(F.col("b"), F.col("blocks") - 1)).alias("c"))
-    right = blocks.select("h", F.col("b").alias("c"), F.col("rows").alias("rows2"))
-    tiles = left.join(right, ["h", "c"]).select("h", "rows", F.when(F.col("b") != F.col("c"), F.col("rows2")).alias("rows2"), "b", "c")
-    tiles = tiles.repartition(F.xxhash64("h", "b", "c")).select("h", "rows", "rows2")
+    right = blocks.select("h", "in_main", F.col("b").alias("c"), F.col("rows").alias("rows2"))
+    same = (F.col("b") == F.col("c")) & ~F.col("in_main")
+    tiles = pairs.join(right, ["h", "in_main", "c"]).select("h", "rows", F.when(~same, F.col("rows2")).alias("rows2"), "b", "c", "in_main")
+    tiles = tiles.repartition(F.xxhash64("h", "in_main", "b", "c")).select("h", "rows", "rows2")
     links = links.unionAll(cut(tiles.mapInArrow(_tiles(words, percent), "u long, v long"), "tiles", batch_rows=16))
-    found = components(links.unionAll(copies))
+    ids = classes.select("node", "doc_id")
+    linked = links.join(ids.toDF("u", "a"), "u").join(ids.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    found = components(linked.unionAll(copies))
+    forget(shared, blocks)
     return sketched.select("doc_id", "n_shingles").join(
         found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left"
     ).select(

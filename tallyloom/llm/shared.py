@@ -69,8 +69,8 @@ def cut(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     return table
 
 
-def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], salt: Column) -> DataFrame:
-    """Inner join of ``rows`` with ``facts``, which has one row a key and in ``n`` the rows of that key, on ``keys``.
+def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], salt: Column, how: str = "inner") -> DataFrame:
+    """Join of ``rows`` with ``facts``, which has one row a key and in ``n`` the rows of that key, on ``keys``.
 
     A key is hot if it has more than ``HOT_ROWS`` rows and more than one in ``HOT_KEYS`` of all.
     So there are fewer than ``HOT_KEYS`` of them, whatever the input, and their list is broadcast;
@@ -83,7 +83,7 @@ def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], salt: Column
     dealt = F.pmod(F.xxhash64(salt), F.coalesce("_salts", F.lit(1))).cast("int")
     left = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", dealt).drop("_salts")
     right = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
-    return left.join(right, [*keys, "_salt"]).drop("_salt")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
 def small_or_plain(ids: DataFrame) -> DataFrame:
