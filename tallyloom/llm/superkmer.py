@@ -9,8 +9,12 @@ by hash, equal hashes are compared word for word, and all but the first occurren
 reported as covered word ranges.
 
 Minimisers with more than ``HEAVY`` distinct strings (a passage repeated in very many
-different surroundings; counted by 16 bits of the minimiser) are not held in one task: its windows are passed on one by one
-and their first occurrences found by an aggregation with map-side combining.
+different surroundings; counted by 16 bits of the minimiser) are not held in one task: the
+words of each of their windows become a row of their own, and the first occurrence of equal
+ones is found by an aggregation with map-side combining. All other occurrences are cut.
+
+There are ``PARTITIONS`` shuffle partitions at most; beyond that a partition holds several
+buckets, sorted, and its task works on one after another.
 """
 
 from __future__ import annotations
@@ -35,9 +39,12 @@ HEAVY = 20_000
 FLUSH_BYTES = 32 << 20
 #: Bytes of packed strings aimed at in a bucket.
 BUCKET_BYTES = 24 << 20
+#: Shuffle partitions that hold the buckets, at most.
+PARTITIONS = 1 << 15
 #: Stands for a null doc_id, which comes after all others.
 _NULL_ID = (1 << 63) - 1
-_POSITION = U((1 << 24) - 1)
+#: Bits of a position in a slice of words; longer texts are worked on slice by slice.
+_POSITION_BITS = 24
 
 
 def spaced_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,15 +65,27 @@ def spaced_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nda
     return packed, at, words
 
 
-def minimiser_runs(word_hash: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows and minimiser of each run of windows that share its occurrence."""
+def minimiser_runs(word_hash: np.ndarray, first: np.ndarray, width: int, bits: int = _POSITION_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows and minimiser of each run of windows that share its occurrence.
+
+    Slices overlap by ``width - 1`` words, so each window is whole in one; a run ends with its slice.
+    """
+    step = (1 << bits) - width + 1
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    for at in range(0, max(len(word_hash) - width + 1, 0), step):
+        part = word_hash[at : at + step + width - 1]
+        window, count, least = _slice_runs(part, np.clip(first - at, 0, len(part)), width, bits)
+        found.append((window + at, count, least))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _slice_runs(word_hash: np.ndarray, first: np.ndarray, width: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     none = np.zeros(0, np.int64)
     short = min(MINIMISER, width)
     g = grams(word_hash, short)
     span = width - short + 1
-    if len(g) < span:
-        return none, none, np.zeros(0, np.uint64)
-    least = (g & ~_POSITION) | np.arange(len(g), dtype=np.uint64)
+    low = U((1 << bits) - 1)
+    least = (g & ~low) | np.arange(len(g), dtype=np.uint64)
     done = 1
     while done < span:
         step = min(done, span - done)
@@ -76,26 +95,29 @@ def minimiser_runs(word_hash: np.ndarray, first: np.ndarray, width: int) -> tupl
     window = np.flatnonzero(np.arange(len(least)) + width <= last)
     if not len(window):
         return none, none, np.zeros(0, np.uint64)
-    place = (least[window] & _POSITION).astype(np.int64)
+    place = (least[window] & low).astype(np.int64)
     opens = np.ones(len(window), bool)
     opens[1:] = (place[1:] != place[:-1]) | (np.diff(window) != 1)
     at = np.flatnonzero(opens)
     return window[at], np.diff(np.append(at, len(window))), g[place[at]]
 
 
-def _splitter(width: int, buckets: int):
+def _splitter(width: int, parts: int, buckets: int):
     def flush(held: dict[int, dict[bytes, list]]) -> pa.RecordBatch:
         pack = zstandard.ZstdCompressor(level=6)
-        parts, blobs = [], []
-        for part, strings in held.items():
+        listed, blobs = [], []
+        for bucket, strings in held.items():
             k = np.array([len(strings)], np.int64)
             length = np.fromiter(map(len, strings), np.int64, len(strings))
             least = np.fromiter((v[0] for v in strings.values()), np.uint16, len(strings))
             count = np.fromiter(((len(v) - 1) // 3 for v in strings.values()), np.int64, len(strings))
             where = np.array([x for v in strings.values() for x in v[1:]], np.int64).reshape(-1, 3).T
-            parts.append(part)
+            listed.append(bucket)
             blobs.append(pack.compress(b"".join([k.tobytes(), length.tobytes(), least.tobytes(), count.tobytes(), np.ascontiguousarray(where).tobytes(), *strings])))
-        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
+        bucket = np.array(listed, np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array((bucket % parts).astype(np.int32)), pa.array(bucket // parts), pa.array(blobs, pa.binary())], names=["part", "sub", "blob"]
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, dict[bytes, list]] = {}
@@ -161,22 +183,20 @@ def window_hashes(word_hash: np.ndarray, width: int, base: int) -> np.ndarray:
     return out
 
 
-_ONE, _TWO = 0xB5297A4D3F84D5B5, 0x8EBC6AF09C88C6E3
-_OUT = "kind int, doc_id long, tag long, a long, b long, h1 long, h2 long"
+_BASE = 0xB5297A4D3F84D5B5
+_OUT = "kind int, doc_id long, tag long, a long, b long, words string"
 
 
 def _counter(width: int, heavy: int):
-    schema = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("doc_id", "tag", "a", "b", "h1", "h2"))])
+    schema = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("doc_id", "tag", "a", "b")), ("words", pa.string())])
 
-    def rows(kind: int, ids, tags, a, b, h1=None, h2=None) -> pa.RecordBatch:
-        n = len(ids)
-        zero = np.zeros(n, np.int64)
+    def rows(kind: int, ids, tags, a, b, words: list[bytes] | None = None) -> pa.RecordBatch:
         given = [np.asarray(x, np.int64) for x in (ids, tags, a, b)]
-        h = [zero if x is None else x.view(np.int64) for x in (h1, h2)]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *(pa.array(x) for x in (*given, *h))], schema=schema)
+        text = pa.nulls(len(ids), pa.string()) if words is None else pa.array(words, pa.binary()).cast(pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), kind, np.int32)), *(pa.array(x) for x in given), text], schema=schema)
 
     def spread(strings: list[bytes], first: list[tuple[int, int, int]], limit: int = 4 << 20) -> Iterator[tuple]:
-        """Windows of strings, in parts: string index, offset in it, word bytes' ends, the two hashes."""
+        """Windows of strings, in parts: string index, offset in it, where their bytes begin and end, hash."""
         at = 0
         while at < len(strings):
             to, size = at, 0
@@ -192,20 +212,23 @@ def _counter(width: int, heavy: int):
             owner = np.repeat(np.arange(at, to), windows)
             offset = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
             place = words.first[:-1][owner - at] + offset
-            yield owner, offset, words.start[place] - offs[owner - at], words.end[place + width - 1] - offs[owner - at], window_hashes(words.hash, width, _ONE)[place], window_hashes(words.hash, width, _TWO)[place]
+            yield owner, offset, words.start[place] - offs[owner - at], words.end[place + width - 1] - offs[owner - at], window_hashes(words.hash, width, _BASE)[place]
             at = to
 
     def pass_on(strings: list[bytes], first: list[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
-        for owner, offset, _, _, h1, h2 in spread(strings, first):
+        for owner, offset, low, high, _ in spread(strings, first, 1 << 20):
             where = np.array(first, np.int64)[owner]
             start = where[:, 2] + offset
-            yield rows(1, where[:, 0], where[:, 1], start, start + width, h1, h2)
+            words = [strings[o][a:b] for o, a, b in zip(owner.tolist(), low.tolist(), high.tolist(), strict=True)]
+            for at in range(0, len(words), 10_000):
+                one = slice(at, at + 10_000)
+                yield rows(1, where[one, 0], where[one, 1], start[one], start[one] + width, words[one])
 
     def resolve(strings: list[bytes], first: list[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
         parts = list(spread(strings, first))
         if not parts:
             return
-        owner, offset, low, high, h1, _ = (np.concatenate(x) for x in zip(*parts, strict=True))
+        owner, offset, low, high, h1 = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
         order = np.argsort(h1, kind="stable")
         same = np.flatnonzero(h1[order][1:] == h1[order][:-1])
@@ -242,8 +265,12 @@ def _counter(width: int, heavy: int):
         least_of: dict[bytes, int] = {}
         per_least: Counter[int] = Counter()
         passed: set[int] = set()
+        here: int | None = None
         for batch in batches:
-            for blob in batch.column(1):
+            for sub, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if sub != here:  # buckets come one after another
+                    yield from resolve(list(known), list(known.values()))
+                    known, least_of, per_least, passed, here = {}, {}, Counter(), set(), sub
                 strings, leasts, counts, where = _unpack(blob.as_py())
                 gone: list[tuple[int, int, int, int]] = []
                 direct: dict[bytes, tuple[int, int, int]] = {}
@@ -312,7 +339,10 @@ def _applier(with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, *, width: int = 20, keep: tuple[str, ...] = (), with_text: bool = False, heavy: int = HEAVY) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, *, width: int = 20, keep: tuple[str, ...] = (), with_text: bool = False, heavy: int = HEAVY,
+    bucket_bytes: int = BUCKET_BYTES, partitions: int = PARTITIONS,
+) -> DataFrame:
     """Removes every word covered by a window that also starts earlier: ``doc_id, n_words, n_removed, kept_sha256``.
 
     ``docs`` needs ``doc_id`` and ``text``; columns named in ``keep`` are carried along, others
@@ -328,16 +358,21 @@ def remove_repeats(docs: DataFrame, *, width: int = 20, keep: tuple[str, ...] =
     """
     spark = docs.sparkSession
     plain = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").cast("long").alias("tag"), F.col("text").cast("string").alias("text"),
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), F.col("text").cast("string").alias("text"),
         *[F.col(c) for c in keep if c not in ("doc_id", "text", "tag")],
     )
     total = plain.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * total // BUCKET_BYTES)
-    packed = plain.select("doc_id", "tag", "text").mapInArrow(_splitter(width, buckets), "part int, blob binary")
-    found = cut(packed.repartitionById(buckets, F.col("part")).mapInArrow(_counter(width, heavy), _OUT), "repeats")
-    passed = found.filter("kind = 1").select("h1", "h2", F.struct("doc_id", "tag", "a").alias("at"))
-    firsts = passed.groupBy("h1", "h2").agg(F.min("at").alias("first"))
-    later = passed.join(firsts, ["h1", "h2"]).filter("at <> first").select("at.doc_id", "at.tag", "at.a", (F.col("at.a") + width).alias("b"))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * total // bucket_bytes)
+    parts = min(buckets, partitions)
+    buckets = -(-buckets // parts) * parts
+    packed = plain.select("doc_id", "tag", "text").mapInArrow(_splitter(width, parts, buckets), "part int, sub long, blob binary")
+    placed = packed.repartitionById(parts, F.col("part"))
+    if buckets > parts:
+        placed = placed.sortWithinPartitions("sub")
+    found = cut(placed.select("sub", "blob").mapInArrow(_counter(width, heavy), _OUT), "repeats")
+    passed = found.filter("kind = 1").select("doc_id", "tag", "a", "b", "words")
+    firsts = passed.groupBy("words").agg(F.min(F.struct("doc_id", "tag", "a")).alias("at")).select("at.*")
+    later = passed.drop("words").join(firsts, ["doc_id", "tag", "a"], "left_anti")
     ranges = found.filter("kind = 0").select("doc_id", "tag", "a", "b").unionAll(later)
     cuts = ranges.groupBy(F.when(F.col("doc_id") != _NULL_ID, F.col("doc_id")).alias("of"), F.col("tag").alias("of_tag")).agg(
         F.collect_set(F.struct("a", "b")).alias("cuts")
