@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.graph import components
-from tallyloom.llm.shared import cut
+from tallyloom.llm.shared import cut, spread_join
 
 #: Distinct vectors in a block at most, about.
 BLOCK = 2048
@@ -52,8 +52,14 @@ def int8_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of 2 that bring them near 1, so that squares neither overflow nor vanish; cosines stay, to the bit."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def tile_links(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of rows of ``x`` and ``y`` with a double-precision cosine of ``threshold`` at least."""
+    x, y = scaled(x), scaled(y)
     lx, ly = np.sqrt((x * x).sum(axis=1)), np.sqrt((y * y).sum(axis=1))
     cx, sx, nx, ex = quantise(x / lx[:, None])
     cy, sy, ny, ey = quantise(y / ly[:, None])
@@ -141,30 +147,40 @@ def near_duplicates(
     vectors count as separate rows linked with each other; an id with several different
     vectors is one node of the graph and gets the sum of its vectors' links. Other
     columns are ignored. An empty table gives no rows.
+
+    Equal vectors of a label, by two 64-bit hashes, are one class with a number of its own.
     """
     plain = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("x"), F.col(label).alias("label"))
     usable = plain.filter(F.col("id").isNotNull() & F.col("label").isNotNull() & _valid("x"))
-    distinct = cut(usable.groupBy("label", "x").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("size")), "distinct")
-    per_label = distinct.groupBy("label", F.size("x").alias("dims")).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
-    tagged = distinct.withColumn("dims", F.size("x")).join(per_label, ["label", "dims"])
-    tagged = tagged.withColumn("b", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
+    keyed = usable.select("id", "label", "x", F.xxhash64("label", "x").alias("k1"), F.xxhash64(F.lit(7), "x", "label").alias("k2"))
+    classes = keyed.groupBy("k1", "k2").agg(
+        F.first("label").alias("label"), F.first("x").alias("x"), F.min("id").alias("node"), F.count(F.lit(1)).alias("size")
+    )
+    classes = cut(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    per_label = classes.groupBy("label", F.size("x").alias("dims")).agg(F.count(F.lit(1)).alias("n"))
+    per_label = per_label.withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int"))
+    tagged = spread_join(classes.withColumn("dims", F.size("x")), per_label, ["label", "dims"], F.col("cls")).drop("n")
+    tagged = tagged.withColumn("b", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     packed = cut(
-        tagged.groupBy("label", "dims", "b", "blocks").agg(F.collect_list(F.struct("node", "size", "x")).alias("rows")), "blocks"
+        tagged.groupBy("label", "dims", "b", "blocks").agg(F.collect_list(F.struct("cls", "size", "x")).alias("rows")), "blocks"
     )
     left = packed.select("label", "dims", "b", "rows", F.explode(F.sequence(F.col("b"), F.col("blocks") - 1)).alias("c"))
     right = packed.select("label", "dims", F.col("b").alias("c"), F.col("rows").alias("rows2"))
     pairs = left.join(right, ["label", "dims", "c"]).select("b", "c", "rows", F.when(F.col("b") != F.col("c"), F.col("rows2")).alias("rows2"))
-    pairs = pairs.repartition(F.xxhash64("b", "c", F.element_at("rows", 1)["node"]))
+    pairs = pairs.repartition(F.xxhash64("b", "c", F.element_at("rows", 1)["cls"]))
     found = cut(pairs.mapInArrow(_tiles(threshold), "u long, v long, n long"), "tiles", batch_rows=16)
-    classes = distinct.select("label", "x", "node", "size")
-    copies = usable.join(classes, ["label", "x"]).select("id", "node", "size")
-    counts = found.filter("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
-    links = found.filter("v is not null").select("u", "v").unionAll(
+    counts = found.filter("v is null").groupBy(F.col("u").alias("cls")).agg(F.sum("n").alias("links"))
+    known = classes.join(counts, "cls", "left").select(
+        "k1", "k2", "cls", "node", F.col("size").alias("n"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links")
+    )
+    copies = cut(spread_join(keyed.select("id", "k1", "k2"), known, ["k1", "k2"], F.col("id")).select("id", "cls", "node", "links"), "copies")
+    ends = classes.select("cls", "node")
+    tree = found.filter("v is not null").select("u", "v").join(ends.toDF("u", "a"), "u").join(ends.toDF("v", "b"), "v")
+    links = tree.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(
         copies.filter("id <> node").select(F.col("id").alias("u"), F.col("node").alias("v"))
     )
     reach = components(links)
-    own = copies.join(counts, "node", "left").select("id", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n"))
-    own = own.distinct().groupBy("id").agg(F.sum("n").alias("n"))
+    own = copies.select("id", "cls", "links").distinct().groupBy("id").agg(F.sum("links").alias("n"))
     out = plain.select("id").join(own, "id", "left").join(reach.withColumnRenamed("node", "id"), "id", "left")
     component = F.coalesce("component", "id")
     return out.select(
