@@ -1,10 +1,11 @@
 """WARC archives of web pages as Zstandard with an embedded dictionary.
 
-A dictionary is built from a bounded sample of the records to be archived. Each file
-begins with a skippable frame that holds the dictionary; each record is one frame of its
-own. Files are written by Spark's text writer, so any file system that Spark writes works
-and a lost executor only repeats its tasks: a row is one frame, and the line separator is
-an empty skippable frame, which decoders pass over.
+A dictionary is built from a bounded sample of the records to be archived, headers and all.
+Each file begins with a skippable frame that holds the dictionary, then a warcinfo record;
+each record is one frame of its own. Files are written by Spark's text writer, so any file
+system that Spark writes works and a lost executor only repeats its tasks: a row is one
+frame, and the line separator is an empty skippable frame, which decoders pass over. When
+the job is done its files are renamed to ``*.warc.zst``.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,15 +21,16 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.shared import cut, fresh_path
+from tallyloom.llm.shared import cut, fresh_path, spread_join
 
 # Fixed values of the formats.
 DICTIONARY_FRAME = 0x184D2A5D
 SEPARATOR = struct.pack("<II", 0x184D2A50, 0).decode("ascii")
 FRAME_MAGIC = 0xFD2FB528
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Records of which the dictionary is built, and bytes of each that count.
-SAMPLE_RECORDS, SAMPLE_BYTES = 400, 16_384
+#: Records of which the dictionary is built, and payload bytes that they have at most; this bounds the sample.
+SAMPLE_RECORDS, SAMPLE_BYTES = 400, 32_768
+SOFTWARE = "tallyloom"
 DICTIONARY_BYTES = 65_536
 #: Shorter payloads are never revisits.
 LEAST_REVISIT = 100
@@ -40,72 +43,116 @@ def _plain(pages: DataFrame) -> DataFrame:
 
 
 def roles(digests: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """``page_id, payload_digest, first_id, rows``: the response of each page's payload (null: none is shared)."""
-    firsts = (
-        digests.filter(F.col("payload_bytes") >= least).groupBy("payload_digest")
-        .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    """``page_id, payload_digest, rows, first_id, first_url``: the response of each page's payload (null: none is shared)."""
+    each = digests.groupBy("page_id", "payload_digest").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("url").alias("url"), F.max("payload_bytes").alias("payload_bytes")
     )
-    each = digests.groupBy("page_id", "payload_digest").agg(F.count(F.lit(1)).alias("rows"))
-    return each.join(firsts, "payload_digest", "left")
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
+    shared = F.when((F.max("payload_bytes") >= least) & (F.sum("rows") > 1), first)
+    firsts = each.groupBy("payload_digest").agg(F.count(F.lit(1)).alias("n"), shared.alias("first"))
+    firsts = firsts.select("payload_digest", "n", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
+    return spread_join(each.drop("url", "payload_bytes"), firsts, ["payload_digest"], F.col("page_id")).drop("n")
 
 
-def build_dictionary(plain: DataFrame, digests: DataFrame, records: int = SAMPLE_RECORDS) -> bytes:
-    """Zstandard dictionary from the pages of the ``records`` smallest digests; empty if there are too few."""
-    some = digests.filter("payload_bytes > 0").groupBy("payload_digest").agg(F.min("page_id").alias("page_id"))
-    ids = [r["page_id"] for r in some.filter("page_id is not null").orderBy("payload_digest").limit(records).collect()]
+def build_dictionary(plain: DataFrame, digests: DataFrame, date: str, records: int = SAMPLE_RECORDS) -> bytes:
+    """Zstandard dictionary from response records: those of the ``records`` smallest digests of pages of ``SAMPLE_BYTES`` at most.
+
+    Empty if there are fewer than 8.
+    """
+    small = digests.filter(f"payload_bytes > 0 and payload_bytes <= {SAMPLE_BYTES} and page_id is not null")
+    some = small.groupBy("payload_digest").agg(F.min("page_id").alias("page_id"))
+    ids = [r["page_id"] for r in some.orderBy("payload_digest").limit(records).collect()]
     if len(ids) < 8:
         return b""
-    part = F.substring(F.col("html").cast("binary"), 1, SAMPLE_BYTES)
-    sample = plain.filter(F.col("page_id").isin(ids)).groupBy("page_id").agg(F.min(part).alias("part")).orderBy("page_id").collect()
+    pages = plain.filter(F.col("page_id").isin(ids) & (F.col("payload_bytes") <= SAMPLE_BYTES))
+    pages = pages.groupBy("page_id").agg(F.min(F.struct("payload_digest", "url", "html")).alias("page")).orderBy("page_id").collect()
+    sample = [_record("response", r["page_id"], r["page"]["url"], r["page"]["html"].encode(), r["page"]["payload_digest"], date) for r in pages]
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, [bytes(r["part"]) for r in sample]).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, sample).as_bytes()
     except zstandard.ZstdError:
         return b""
 
 
-def _record(kind: str, page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers: int | None, date: str) -> bytes:
-    name = uuid.UUID(hashlib.sha256(f"{page_id}/{url}/{digest}/{kind}".encode()).hexdigest()[:32])
-    block = b""
-    if kind == "response":
-        block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Date: {date}"]
+def record_id(*parts: object) -> str:
+    """Record id that follows from its parts, so a repeated task gives a record the same one."""
+    return f"<urn:uuid:{uuid.UUID(hashlib.sha256(repr(parts).encode()).hexdigest()[:32])}>"
+
+
+def _uri(url: str) -> str:
+    return "".join(c if c > " " else f"%{ord(c):02X}" for c in url)
+
+
+def _assemble(head: list[str], block: bytes) -> bytes:
+    return "\r\n".join(["WARC/1.1", *head, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def _info(date: str, name: object) -> bytes:
+    block = f"software: {SOFTWARE}\r\nformat: WARC File Format 1.1\r\n".encode()
+    return _assemble(["WARC-Type: warcinfo", f"WARC-Record-ID: {record_id('info', name)}", f"WARC-Date: {date}", "Content-Type: application/warc-fields"], block)
+
+
+def _record(
+    kind: str, page_id: int | None, url: str | None, payload: bytes, digest: str, date: str, nth: int = 0,
+    size: int | None = None, refers: int | None = None, refers_url: str | None = None,
+) -> bytes:
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload) if size is None else size}\r\n\r\n".encode()
+    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, digest, nth)}", f"WARC-Date: {date}"]
     if url is not None:
-        head.append("WARC-Target-URI: " + "".join(c if c > " " else f"%{ord(c):02X}" for c in url))
+        head.append(f"WARC-Target-URI: {_uri(url)}")
     head.append(f"WARC-Payload-Digest: sha256:{digest}")
-    head.append(f"X-Payload-Length: {size}")
     if page_id is not None:
         head.append(f"X-Page-Id: {page_id}")
     if kind == "revisit":
-        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"X-Refers-To-Page-Id: {refers}"]
-    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(refers, digest, 0)}", f"WARC-Refers-To-Date: {date}"]
+        if refers_url is not None:
+            head.append(f"WARC-Refers-To-Target-URI: {_uri(refers_url)}")
+        head.append(f"X-Refers-To-Page-Id: {refers}")
+    head.append("Content-Type: application/http; msgtype=response")
+    return _assemble(head, block + payload)
 
 
 def _framer(dictionary: bytes, date: str, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         pack = zstandard.ZstdCompressor(level=level, dict_data=data, write_checksum=True)
-        opened = not dictionary
-        met: set[tuple[int | None, str]] = set()
+        opened = False
+        met: Counter[tuple[int | None, str]] = Counter()  # rows that repeat a page, of which there are few
+        first_row: set[tuple[int, str]] = set()
         for batch in batches:
             frames = []
-            if not opened:
-                frames.append(struct.pack("<II", DICTIONARY_FRAME, len(dictionary)) + dictionary)
-                opened = True
-            for page_id, url, html, size, digest, first, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                refers = first if first != page_id else None
-                if first is not None and refers is None and n > 1:  # repeated rows of one page
-                    refers = first if (page_id, digest) in met else None
-                    met.add((page_id, digest))
-                kind = "response" if refers is None else "revisit"
-                payload = html.encode() if kind == "response" else b""
-                frames.append(pack.compress(_record(kind, page_id, url, payload, size, digest, refers, date)))
+            for page_id, url, html, size, digest, rows, first, first_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not opened:  # one task writes one file
+                    if dictionary:
+                        frames.append(struct.pack("<II", DICTIONARY_FRAME, len(dictionary)) + dictionary)
+                    frames.append(pack.compress(_info(date, (page_id, digest))))
+                    opened = True
+                response = first is None or first == page_id and (rows == 1 or url == first_url and (page_id, digest) not in first_row)
+                nth = 0
+                if rows > 1:
+                    if first is not None and response:
+                        first_row.add((page_id, digest))
+                    else:
+                        nth = met[page_id, digest] = met[page_id, digest] + 1
+                payload = html.encode() if response else b""
+                about = (page_id, url, payload, digest, date, nth, size)
+                frames.append(pack.compress(_record("response", *about) if response else _record("revisit", *about, first, first_url)))
             for at in range(0, len(frames), 500):
                 yield pa.RecordBatch.from_arrays([pa.array(frames[at : at + 500], pa.binary())], names=["frame"])
 
     return run
 
 
+def _name_files(spark: SparkSession, path: str) -> None:
+    """Renames the files of a finished job; only names pass through the driver."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in store.listStatus(folder):
+        file = status.getPath()
+        name = file.getName()
+        if name.startswith("part-") and name.endswith(".txt"):
+            store.rename(file, spark._jvm.org.apache.hadoop.fs.Path(folder, name[: -len(".txt")] + ".warc.zst"))
+
+
 def write_archives(pages: DataFrame, path: str, *, date: str = "2024-01-01T00:00:00Z", level: int = 9, least: int = LEAST_REVISIT) -> None:
     """Writes one record per page to dictionary-compressed archives in folder ``path``.
 
@@ -117,18 +164,20 @@ def write_archives(pages: DataFrame, path: str, *, date: str = "2024-01-01T00:00
     A null html is an empty payload, a null url leaves the target out. Rows that repeat a page
     with the same payload of that size revisit it, from the second on. A null ``page_id`` comes
     after all others: it is a response only if no other page has its payload. An empty
-    table writes no records.
+    table writes no records. With fewer than 8 pages to build it from there is no dictionary.
     """
     plain = _plain(pages)
-    digests = cut(plain.select("page_id", "payload_bytes", "payload_digest"), "digests")
-    dictionary = build_dictionary(plain, digests)
+    digests = cut(plain.select("page_id", "url", "payload_bytes", "payload_digest"), "digests")
+    dictionary = build_dictionary(plain, digests, date)
     whole = plain.hint("merge").join(
         roles(digests, least).withColumnsRenamed({"page_id": "of", "payload_digest": "of_digest"}),
         F.col("page_id").eqNullSafe(F.col("of")) & (F.col("payload_digest") == F.col("of_digest")),
     )
-    columns = ["page_id", "url", "html", "payload_bytes", "payload_digest", "first_id", "rows"]
+    columns = ["page_id", "url", "html", "payload_bytes", "payload_digest", "rows", "first_id", "first_url"]
     frames = whole.select(*columns).mapInArrow(_framer(dictionary, date, level), "frame binary")
-    frames.select(F.col("frame").cast("string").alias("frame")).write.option("lineSep", SEPARATOR).text(path)
+    writer = frames.select(F.col("frame").cast("string").alias("frame")).write.option("lineSep", SEPARATOR)
+    writer.option("maxRecordsPerFile", 0).text(path)  # each file needs its dictionary
+    _name_files(pages.sparkSession, path)
 
 
 def iter_frames(content: bytes) -> Iterator[tuple[int, int, int]]:
@@ -183,16 +232,18 @@ def _reader(with_payload: bool):
                 size = 0
                 for headers, block in parse_archive(batch.column(0)[r].as_py()):
                     kind = headers["WARC-Type"]
+                    if kind == "warcinfo":
+                        continue
                     page = int(headers["X-Page-Id"]) if "X-Page-Id" in headers else None
-                    payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
+                    http, _, payload = block.partition(b"\r\n\r\n")
                     stated = headers["WARC-Payload-Digest"].partition(":")[2]
-                    if payload is None:
-                        row = (page, headers.get("WARC-Target-URI"), int(headers["X-Payload-Length"]), stated, kind, int(headers["X-Refers-To-Page-Id"]))
-                    else:
-                        digest = hashlib.sha256(payload).hexdigest()
-                        if digest != stated:
-                            raise ValueError(f"page {page}: payload does not match its digest")
-                        row = (page, headers.get("WARC-Target-URI"), len(payload), digest, kind, None)
+                    refers, length = None, len(payload)
+                    if kind == "revisit":
+                        payload, refers = None, int(headers["X-Refers-To-Page-Id"])
+                        length = int(http.rpartition(b"Content-Length: ")[2])
+                    elif hashlib.sha256(payload).hexdigest() != stated:
+                        raise ValueError(f"page {page}: payload does not match its digest")
+                    row = (page, headers.get("WARC-Target-URI"), length, stated, kind, refers)
                     rows.append((*row, payload) if with_payload else row)
                     size += len(block)
                     if len(rows) >= 5000 or with_payload and size > 8 << 20:
@@ -210,9 +261,12 @@ def _reader(with_payload: bool):
 
 
 def read_archives(spark: SparkSession, path: str, *, with_payload: bool = False) -> DataFrame:
-    """Records of the archives in ``path``; every response's payload is checked against its digest."""
+    """Records of the archives in ``path``, warcinfo left out; every response's payload is checked against its digest.
+
+    Archives reach a Python worker one at a time, so the records are written to a table of their own.
+    """
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(_reader(with_payload), _READ + ", payload binary" * with_payload)
+    return cut(files.mapInArrow(_reader(with_payload), _READ + ", payload binary" * with_payload), "records", batch_rows=1)
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:

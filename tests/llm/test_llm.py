@@ -92,6 +92,33 @@ def test_minhash(docs, rows, k, percent, tile, monkeypatch):
     assert minhash.near_duplicates(empty(docs)).count() == 0
 
 
+def test_minhash_takes_every_text_of_a_repeated_id(spark):
+    a, b = words_of(random.Random(1), 60, 10**6), words_of(random.Random(2), 60, 10**6)
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (9, " ".join([*b, "more"])), (11, " ".join(["less", *a])), (12, "alone"), (5, None)]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(5, 5), (5, 5), (5, 5), (9, 5), (11, 5), (12, 12)]
+
+
+@pytest.mark.parametrize("tile", [1 << 20, 3000])
+def test_minhash_finds_strays_of_a_large_group(spark, tile, monkeypatch):
+    """Chains of near copies share buckets with a group that their ends are no copies of."""
+    monkeypatch.setattr(minhash, "TILE_BYTES", tile)
+    rng = random.Random(3)
+    base = words_of(rng, 80, 10**6)
+    docs = []
+    for i in range(60):
+        own = list(base)
+        for j in range(rng.randrange(0, 14)):
+            own[rng.randrange(80)] = f"y{i}_{j}"
+        docs.append((i, " ".join(own)))
+    sets = {i: shingles(t, 5) for i, t in docs}
+    links = [(x, y) for x in sets for y in sets if x < y and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])]
+    want = reach(list(sets), links)
+    assert 5 < len(set(want.values())) < 60
+    found = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == want
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 63, 400).astype(np.uint64)
@@ -117,8 +144,8 @@ def test_superkmer(docs, rows):
     for key, w in words.items():
         kept = [x for j, x in enumerate(w) if j not in gone[key]]
         want[key[0]] = (len(w), len(gone[key]), hashlib.sha256(" ".join(kept).encode()).hexdigest())
-    for heavy in (superkmer.HEAVY, 2):
-        found = superkmer.remove_repeats(docs, width=width, heavy=heavy).collect()
+    for options in ({}, {"heavy": 2}, {"bucket_bytes": 500, "partitions": 3}, {"bucket_bytes": 500, "partitions": 3, "heavy": 2}):
+        found = superkmer.remove_repeats(docs, width=width, **options).collect()
         assert len(found) == len(rows)
         for r in found:
             assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == want[r["doc_id"] if r["doc_id"] is not None else 10**9]
@@ -127,6 +154,40 @@ def test_superkmer(docs, rows):
     assert superkmer.remove_repeats(empty(docs)).count() == 0
 
 
+def test_minimisers_of_long_texts_do_not_depend_on_the_place():
+    rng = np.random.default_rng(6)
+    words = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
+    text = np.concatenate([words[:900], words, words[100:600]])
+    first = np.array([0, 900, 900, len(text)])
+
+    def windows(bits):
+        least = {}
+        for at, count, g in zip(*superkmer.minimiser_runs(text, first, 20, bits), strict=True):
+            least |= dict.fromkeys(range(at, at + count), g)
+        return least
+
+    whole = windows(24)
+    assert sorted(whole) == [i for i in range(len(text) - 19) if not 880 < i < 900]
+    assert windows(9) == windows(6) == whole  # slices of 512 and 64 words
+    assert all(whole[i] == whole[900 + i] for i in range(881)) and all(whole[3900 + i] == whole[1000 + i] for i in range(481))
+
+
+def test_long_texts_and_words(spark):
+    """Texts over a step's bytes, words over a hash block: whole results, none cut."""
+    rng = random.Random(8)
+    base = words_of(rng, 400_000, 10**6)
+    huge, other = "x" * (3 << 19), "x" * ((3 << 19) - 1) + "y"
+    texts = [" ".join(base), " ".join(base[:390_000] + words_of(rng, 20, 10**6)), f"{huge} a b c {huge}", f"{other} a b c {huge}", " ".join([huge, *base[5:45]])]
+    assert len(texts[0]) > 2 << 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in superkmer.remove_repeats(docs).collect()}
+    assert [(found[i]["n_words"], found[i]["n_removed"]) for i in range(5)] == [(400_000, 0), (390_020, 390_000), (5, 0), (5, 0), (41, 40)]
+    assert found[4]["kept_sha256"] == hashlib.sha256(huge.encode()).hexdigest()
+    groups = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs).collect()}
+    sets = [shingles(t, 5) for t in texts]
+    assert groups == {i: (len(sets[i]), 0 if i == 1 else i) for i in range(5)}
+
+
 def test_mixing(docs, rows):
     found = mixing.mix(docs, keep=("source",)).collect()
     assert len(found) == len(rows)
@@ -278,6 +339,43 @@ def test_warc(spark):
     assert warc.round_trip(table.limit(0)).count() == 0
 
 
+def test_warc_is_standard(spark):
+    long = "<p>" + "página " * 40
+    pages = [(3, "http://a x", long), (1, "http://b", long), (None, "http://n", long), (None, "http://m", "other " * 30), (4, "u", "tiny"), (4, "u", "tiny")]
+    pages += [(100 + i, f"http://p/{i}", f"<html>{i} " + "texto " * 50) for i in range(30)]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 5)  # must not leave files without a dictionary
+    path = warc.fresh_path(spark, "standard")
+    try:
+        warc.write_archives(table, path)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    files = [r for r in spark.read.format("binaryFile").load(path).collect() if r["length"] > 20]
+    assert all(r["path"].endswith(".warc.zst") for r in files)
+    every = []
+    for r in files:
+        records = list(warc.parse_archive(bytes(r["content"])))
+        assert next(warc.iter_frames(bytes(r["content"])))[0] == warc.DICTIONARY_FRAME
+        assert records[0][0]["WARC-Type"] == "warcinfo" and all(h["WARC-Type"] != "warcinfo" for h, _ in records[1:])
+        every += records
+    by_page = {h.get("X-Page-Id"): h for h, _ in every if h["WARC-Type"] != "warcinfo"}
+    revisit, response = by_page["3"], by_page["1"]
+    assert revisit["WARC-Type"] == "revisit" and revisit["WARC-Refers-To"] == response["WARC-Record-ID"]
+    assert (revisit["WARC-Refers-To-Target-URI"], revisit["WARC-Target-URI"]) == ("http://b", "http://a%20x")
+    assert len({h["WARC-Record-ID"] for h, _ in every}) == len(every)
+    back = sorted((r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.read_archives(spark, path).filter("page_id is null").collect())
+    assert back == [("response", None, 180), ("revisit", 1, len(long.encode()))]
+    few = warc.round_trip(spark.createDataFrame(pages[:3], "page_id long, url string, html string")).collect()  # too few for a dictionary
+    assert sorted((r["page_id"] or 0, r["record_type"]) for r in few) == [(0, "revisit"), (1, "response"), (3, "revisit")]
+
+
+def test_dictionary_is_of_records(spark):
+    pages = [(i, f"http://host/{i}", f"<html>{i} " + f"texto {i} " * 50) for i in range(60)]
+    plain = warc._plain(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    raw = warc.build_dictionary(plain, plain, "2024-01-01T00:00:00Z")
+    assert b"WARC-Record-ID" in raw or b"WARC-Payload-Digest" in raw or b"Content-Type: text/html" in raw
+
+
 def test_licenses(spark):
     texts = [
         "This is under the MIT License. GNU General-Public license! x gnu general public LICENSE", None, "", "cc by cc by-nc", "apache\nlicense apache licenses",
@@ -321,6 +419,18 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.near_duplicates(vectors(spark, rows).limit(0)).count() == 0
 
 
+def test_embedding_links_of_repeated_ids_and_extreme_lengths(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(3, a, 1), (3, b, 1), (7, b, 1), (10, [1.0, 0.05, 0.0], 1), (None, a, 1)]
+    found = {(r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(vectors(spark, rows)).collect()}
+    assert found == {(3, 2, 3), (7, 1, 3), (10, 1, 3), (None, 0, None)}
+    wide = spark.createDataFrame(
+        [(1, [1e200, 1e200], 0), (2, [1e-200, 1.1e-200], 0), (3, [5e-324, 0.0], 0), (4, [1e308, 0.0], 0), (5, [-0.0, 3.0], 0), (6, [0.0, 3.0], 0)],
+        "vec_id long, embedding array<double>, label int",
+    )
+    assert {r["vec_id"]: r["component_id"] for r in embedding_dedup.near_duplicates(wide).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5}
+
+
 def test_quantisation_bound():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(50, 1500))
@@ -355,6 +465,21 @@ def test_permutation_index(spark):
     assert permutation_index.search(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_permutation_index_of_vectors_of_mixed_lengths(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(9000, 24)) * np.exp(rng.normal(size=(9000, 1)))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(None, [1.0] * 24)], "vec_id long, embedding array<double>")
+    found = permutation_index.search(table, table.filter("vec_id % 200 = 0 or vec_id is null"), top=20).collect()
+    got, hits = {}, 0
+    for r in found:
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert set(got) == set(range(0, 9000, 200))
+    for q, ids in got.items():
+        order = np.argsort(-(x @ x[q]), kind="stable")
+        hits += len(ids & set([i for i in order if i != q][:20]))
+    assert hits / 20 / len(got) >= 0.9
+
+
 def test_packing_takes_added_tokens_in_texts_as_single_ids(spark):
     from tokenizers import Tokenizer
 
