@@ -12,7 +12,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tallyloom.config import Settings
 from tallyloom.operators.attempts import best_attempt as select_attempt
@@ -38,5 +37,4 @@ def parse_text(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def score(fields: DataFrame, words: DataFrame, settings: Settings | None = None) -> DataFrame:
     """Fields with confidences, checks and the general confidence; the words' mean stands in where no field has one."""
-    runs = words.groupBy("doc_id").agg(F.avg("conf").alias("mean_conf"))
-    return score_fields(fields, words, runs, settings=settings)
+    return score_fields(fields, words, settings=settings)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.money import parse_clp
-from tallyloom.operators import attempts, confidence, fields, pipeline, products, state, ted, validation, words
+from tallyloom.operators import attempts, checks, confidence, fields, pipeline, products, state, ted, validation, words
 from tallyloom.sources import render
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,7 +29,7 @@ def query(sql: str | None = None):
 
 _ITEMS = """
 items AS (
-  SELECT l_orderkey AS k, l_suppkey AS supp, upper(p_name) AS name, CAST(l_quantity AS BIGINT) AS qty,
+  SELECT l_orderkey AS k, l_suppkey AS supp, l_partkey AS part, upper(p_name) AS name, CAST(l_quantity AS BIGINT) AS qty,
          CAST(trunc(l_extendedprice) AS BIGINT) // CAST(l_quantity AS BIGINT) AS unit,
          row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
                             l_shipdate, l_discount, l_tax, l_returnflag, l_linestatus) AS n
@@ -41,7 +41,8 @@ truth AS (
          CASE WHEN o_orderkey % 11 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS fecha,
          CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'Efectivo' WHEN '2' THEN 'Débito' WHEN '3' THEN 'Crédito'
               WHEN '4' THEN 'Transferencia' END AS metodo_pago,
-         CASE WHEN o_orderkey % 7 <> 5 THEN CAST(s.total AS DOUBLE) END AS total,
+         CASE o_orderkey % 13 WHEN 3 THEN 1 WHEN 5 THEN 2 WHEN 7 THEN -30 WHEN 9 THEN -1 ELSE 0 END AS off, s.total + off AS stated,
+         CASE WHEN o_orderkey % 7 <> 5 THEN CAST(stated AS DOUBLE) END AS total,
          lpad(CAST(o_orderkey AS VARCHAR), CAST(greatest(6, length(CAST(o_orderkey AS VARCHAR))) AS INTEGER), '0') AS folio, s.total AS sum, s.n AS n
   FROM orders JOIN sums s ON s.k = o_orderkey JOIN items i ON i.k = o_orderkey AND i.n = 1 JOIN supplier ON s_suppkey = i.supp)
 """
@@ -140,8 +141,8 @@ scores AS (SELECT doc_id, 0 AS attempt, psm, coalesce(sum(CASE WHEN conf >= 40 A
 
 
 def _document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = render.read(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(*[F.lit(p) for p in (6, 4, 3, 11)])).alias("psm"), "text")
-    rows = rows.select("doc_id", F.lit(0).alias("attempt"), "psm", F.posexplode(F.regexp_extract_all("text", F.lit(r"([^\s]+)"), F.lit(1))).alias("word_no", "text"))
+    texts = render.read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^\s]+"), F.lit(0))).alias("word_no", "text"))
+    rows = texts.select("doc_id", F.lit(0).alias("attempt"), "word_no", "text", F.explode(F.array(*[F.lit(p) for p in (6, 4, 3, 11)])).alias("psm"))
     return rows.withColumn("conf", ((F.col("doc_id") * 7 + F.col("word_no") * 13 + F.col("psm") * 29) % 130 - 10).cast("double"))
 
 
@@ -161,98 +162,141 @@ def best_psm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.best_runs(words.run_scores(words.clean_words(_document_words(spark, sf_dir)))).select("doc_id", "attempt", "psm", "score")
 
 
-_LINES_SQL = """
+def _peso(x: str) -> str:
+    return f"replace(format('{{:,}}', CAST({x} AS BIGINT)), ',', '.')"
+
+
+# Every line of every receipt, its words with a confidence in each of three attempts, and the confidences of the values.
+_LINES_SQL = f"""
 lines AS (
-  SELECT k, 0 AS part, 0 AS n, comercio AS line FROM truth
-  UNION ALL SELECT k, 1, 0, 'RUT 76.543.210-5' FROM truth
-  UNION ALL SELECT k, 2, 0, 'BOLETA ELECTRONICA N ' || folio FROM truth
-  UNION ALL SELECT k, 3, 0, 'RESOLUC. EX. SII 80 DEL 22-08-2014' FROM truth WHERE k % 3 = 0
-  UNION ALL SELECT k, 4, 0, 'FECHA: ' || fecha[9:10] || '/' || fecha[6:7] || '/' || fecha[1:4] FROM truth WHERE fecha IS NOT NULL
-  UNION ALL SELECT k, 9, 0, 'FORMA DE PAGO: ' || CASE metodo_pago WHEN 'Efectivo' THEN 'EFECTIVO' WHEN 'Débito' THEN 'TARJETA DEBITO'
+  SELECT k, 0 AS p, 0 AS n, 0 AS j, comercio AS line FROM truth
+  UNION ALL SELECT k, 1, 0, 0, 'RUT 76.543.210-5' FROM truth
+  UNION ALL SELECT k, 2, 0, 0, 'BOLETA ELECTRONICA N ' || folio FROM truth
+  UNION ALL SELECT k, 3, 0, 0, 'RESOLUC. EX. SII 80 DEL 22-08-2014' FROM truth WHERE k % 3 = 0
+  UNION ALL SELECT k, 4, 0, 0, 'FECHA: ' || fecha[9:10] || '/' || fecha[6:7] || '/' || fecha[1:4] FROM truth WHERE fecha IS NOT NULL
+  UNION ALL SELECT k, 5, n, 0, CASE k % 5 WHEN 1 THEN qty || ' ' || name || '    $' || {_peso('unit')} WHEN 2 THEN qty || '    ' || {_peso('unit')} || '    ' || {_peso('qty * unit')}
+      WHEN 3 THEN name ELSE name || '    ' || qty || '    ' || {_peso('unit')} END FROM items
+  UNION ALL SELECT k, 5, n, 1, CASE k % 5 WHEN 2 THEN '780' || lpad(CAST(part AS VARCHAR), 6, '0') || ' ' || name ELSE CAST(qty AS VARCHAR) END FROM items WHERE k % 5 IN (2, 3)
+  UNION ALL SELECT k, 5, n, 2, {_peso('unit')} FROM items WHERE k % 5 = 3
+  UNION ALL SELECT k, 6, 0, 0, CASE k % 7 WHEN 0 THEN 'TOTAL    $ ' || {_peso('stated')} WHEN 1 THEN 'SUBTOTAL $: ' || {_peso('sum + 7')} WHEN 2 THEN 'TOTAL AFECTO 100'
+      WHEN 3 THEN 'TOTAL' WHEN 4 THEN 'TOTAL $ ' || {_peso('sum + 5')} ELSE 'SUBTOTAL: ' || {_peso('stated')} END FROM truth WHERE k % 7 <> 5
+  UNION ALL SELECT k, 6, 0, 1, CASE k % 7 WHEN 1 THEN 'TOTAL $: ' || {_peso('stated')} WHEN 2 THEN 'TOTAL IVA 19' WHEN 3 THEN '$ ' || {_peso('stated')} ELSE 'TOTAL FINAL' END
+      FROM truth WHERE k % 7 IN (1, 2, 3, 4)
+  UNION ALL SELECT k, 6, 0, 2, CASE k % 7 WHEN 2 THEN 'TOTAL ' || {_peso('stated')} ELSE '$ ' || {_peso('stated')} END FROM truth WHERE k % 7 IN (2, 4)
+  UNION ALL SELECT k, 9, 0, 0, 'FORMA DE PAGO: ' || CASE metodo_pago WHEN 'Efectivo' THEN 'EFECTIVO' WHEN 'Débito' THEN CASE WHEN k % 2 = 0 THEN 'TARJETA DÉBITO' ELSE 'TARJETA DEBITO' END
       WHEN 'Crédito' THEN 'TARJETA DE CREDITO' ELSE 'TRANSFERENCIA' END FROM truth WHERE metodo_pago IS NOT NULL
-  UNION ALL SELECT k, 10, 0, 'GRACIAS POR SU COMPRA' FROM truth)
+  UNION ALL SELECT k, 10, 0, 0, 'GRACIAS POR SU COMPRA' FROM truth)
 """
 
 
 @query(f"WITH {_ITEMS}, {_LINES_SQL} SELECT k AS doc_id, line FROM lines")
 def row_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines rebuilt from shuffled words and boxes, those around the products and totals left out."""
+    """All lines rebuilt from words and boxes, spaces between columns included."""
     lines = render.receipt_lines(spark, sf_dir)
-    rebuilt = words.words_to_lines(render.page_words(lines, F.lit(90.0)))
-    fixed = "^(SUPPLIER|RUT |BOLETA |RESOLUC|FECHA|FORMA|GRACIAS)"
-    return rebuilt.filter(F.col("line").rlike(fixed)).select("doc_id", "line")
+    return words.words_to_lines(render.page_words(lines, F.lit(90.0))).select("doc_id", "line")
 
 
 @query(
-    f"""WITH {_ITEMS} SELECT k AS doc_id, CAST(sum(length(line)) AS BIGINT) AS n_chars, count(*) AS n_lines FROM (
-  WITH {_LINES_SQL} SELECT * FROM lines) GROUP BY k"""
+    f"""WITH {_ITEMS}, {_LINES_SQL} SELECT k AS doc_id, row_number() OVER (PARTITION BY k ORDER BY p, n, j) - 1 AS line_no, length(line) AS n_chars,
+length(line) - length(replace(line, ' ', '')) AS n_spaces FROM lines"""
 )
 def row_cluster_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines and characters of the rebuilt fixed lines."""
-    return row_cluster(spark, sf_dir).groupBy("doc_id").agg(F.sum(F.length("line")).cast("long").alias("n_chars"), F.count(F.lit(1)).alias("n_lines"))
-
-
-_CONF = "CAST(20 + (k * 37) % 80 AS DOUBLE)"
+    """Place, characters and spaces of the rebuilt lines."""
+    lines = words.words_to_lines(render.page_words(render.receipt_lines(spark, sf_dir), F.lit(90.0)))
+    spaces = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
+    return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.length("line").cast("long").alias("n_chars"), spaces.cast("long").alias("n_spaces"))
+
+
+def _round1(x: str) -> str:
+    """SQL of a double to one decimal as its exact binary value has it."""
+    high = f"({x} * 134217729.0 - ({x} * 134217729.0 - {x}))"
+    scaled = f"round_even({x} * 20, 0)"
+    rest = f"(({high} * 20 - {scaled}) + ({x} - {high}) * 20)"
+    return f"(CASE WHEN {x} * 20 = {scaled} AND {scaled} % 2 = 1 AND {rest} <> 0 THEN ({scaled} + sign({rest})) / 20 ELSE round_even({x}, 1) END)"
+
+
+_TOKEN = "upper(trim(strip_accents({}), '.,:;-$()'))"
+_AMOUNT = r"(\d{1,3}(?:[.,]\d{3})+|\d+)(?:[.,](\d{2})(?:[^\d]|$))?"
+_SCORES_SQL = rf"""
+numbered AS (SELECT k, line, row_number() OVER (PARTITION BY k ORDER BY p, n, j) - 1 AS ln FROM lines),
+parts AS (SELECT k, ln, string_split(line, ' ') AS t FROM numbered),
+pieces AS (SELECT k, ln, unnest(t) AS text, generate_subscripts(t, 1) - 1 AS i FROM parts),
+read AS (SELECT k, ln, i, {_TOKEN.format('text')} AS token, regexp_replace(text, '\D', '', 'g') AS digits,
+  regexp_extract(text, '{_AMOUNT}', 1) AS whole, regexp_extract(text, '{_AMOUNT}', 2) AS cents FROM pieces WHERE text <> ''),
+told AS (SELECT k, attempt, token, digits, CAST(least(99, 10 + (k * 37 + attempt * 31) % 80 + (ln * 17 + i * 13 + k) % 30) AS DOUBLE) AS conf,
+  CASE WHEN whole = '' THEN NULL WHEN cents = '' THEN CAST(replace(replace(whole, '.', ''), ',', '') AS DOUBLE) END AS amount
+  FROM read, (VALUES (0), (1), (2)) t(attempt)),
+methods AS (SELECT * FROM (VALUES ('Efectivo', 'EFECTIVO'), ('Débito', 'DEBITO'), ('Débito', 'REDCOMPRA'), ('Débito', 'DEBIT'), ('Crédito', 'CREDITO'),
+  ('Crédito', 'CREDIT'), ('Transferencia', 'TRANSFERENCIA')) m(metodo_pago, token)),
+m_tokens AS (SELECT DISTINCT k, {_TOKEN.format('t')} AS token FROM (SELECT k, unnest(string_split(comercio, ' ')) AS t FROM truth)),
+p_tokens AS (SELECT DISTINCT k, n, {_TOKEN.format('t')} AS token FROM (SELECT k, n, unnest(string_split(name, ' ')) AS t FROM items)),
+c1 AS (SELECT k, attempt, sum(conf) / count(*) AS c FROM told JOIN m_tokens USING (k, token) GROUP BY ALL),
+c2 AS (SELECT k, attempt, sum(conf) / count(*) AS c FROM told JOIN truth USING (k) WHERE contains(digits, fecha[9:10]) AND contains(digits, fecha[6:7])
+  AND (contains(digits, fecha[1:4]) OR contains(digits, fecha[3:4])) GROUP BY ALL),
+c3 AS (SELECT k, attempt, sum(conf) / count(*) AS c FROM told JOIN truth USING (k) JOIN methods USING (metodo_pago, token) GROUP BY ALL),
+c4 AS (SELECT k, attempt, sum(conf) / count(*) AS c FROM told JOIN truth USING (k) WHERE amount = total GROUP BY ALL),
+c5 AS (SELECT k, attempt, n, sum(conf) / count(*) AS c FROM told JOIN p_tokens USING (k, token) GROUP BY ALL),
+product_conf AS (SELECT k, attempt, n, {_round1('c')} AS c FROM c5),
+c6 AS (SELECT k, attempt, list_reduce(list(c ORDER BY n), lambda a, b: a + b) / count(*) AS c, count(*) FILTER (WHERE c < 50) AS weak FROM product_conf GROUP BY ALL),
+means AS (SELECT k, attempt, sum(conf) / count(*) AS mean_conf FROM told GROUP BY ALL),
+confs AS (SELECT truth.*, means.attempt, mean_conf, {_round1('c1.c')} AS c_comercio, {_round1('c2.c')} AS c_fecha, {_round1('c3.c')} AS c_metodo_pago,
+  {_round1('c4.c')} AS c_total, {_round1('c6.c')} AS c_productos, weak
+  FROM truth JOIN means USING (k) LEFT JOIN c1 USING (k, attempt) LEFT JOIN c2 USING (k, attempt) LEFT JOIN c3 USING (k, attempt)
+  LEFT JOIN c4 USING (k, attempt) LEFT JOIN c6 USING (k, attempt)),
+rated AS (SELECT *, (least(80, (CASE WHEN fecha IS NULL THEN 5 ELSE 0 END) + (CASE WHEN total IS NULL THEN 30 ELSE 0 END) + (CASE WHEN abs(total - sum) > 1 THEN 40 ELSE 0 END)
+  + (CASE WHEN c_comercio < 50 THEN 5 ELSE 0 END) + (CASE WHEN c_fecha < 50 THEN 5 ELSE 0 END) + (CASE WHEN c_metodo_pago < 50 THEN 3 ELSE 0 END)
+  + (CASE WHEN c_total < 50 THEN 25 ELSE 0 END) + 5 * coalesce(weak, 0)))::DOUBLE AS penalizacion,
+  coalesce(c_comercio * 1, 0) + coalesce(c_fecha * 1, 0) + coalesce(c_metodo_pago * 0.3::DOUBLE, 0) + coalesce(c_productos * 1, 0) + coalesce(c_total * 3, 0) AS up,
+  0.0::DOUBLE + (CASE WHEN c_comercio IS NULL THEN 0 ELSE 1 END) + (CASE WHEN c_fecha IS NULL THEN 0 ELSE 1 END) + (CASE WHEN c_metodo_pago IS NULL THEN 0 ELSE 0.3::DOUBLE END)
+  + (CASE WHEN c_productos IS NULL THEN 0 ELSE 1 END) + (CASE WHEN c_total IS NULL THEN 0 ELSE 3 END) AS down FROM confs),
+based AS (SELECT *, greatest(0, least(100, CASE WHEN down > 0 THEN up / down ELSE mean_conf END - penalizacion)) AS base FROM rated),
+scored AS (SELECT *, {_round1('base')} AS general, CASE WHEN total IS NOT NULL THEN abs(off) <= 1 END AS balanced FROM based)
+"""
+_FIRST = f"WITH {_ITEMS}, {_LINES_SQL}, {_SCORES_SQL}, s0 AS (SELECT * FROM scored WHERE attempt = 0)"
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = render.receipt_lines(spark, sf_dir)
-    told = render.page_words(lines, render.attempt_confidence(F.lit(0)))
-    read = products.parse_receipts(lines)
-    runs = told.groupBy("doc_id").agg(F.avg("conf").alias("mean_conf"))
-    return pipeline.score_fields(read, told, runs)
+    told = render.page_words(lines, render.word_confidence(F.lit(0)))
+    return pipeline.score_fields(products.parse_receipts(lines), told)
 
 
-@query(
-    f"""WITH {_ITEMS} SELECT k AS doc_id, {_CONF} AS c_comercio, CASE WHEN fecha IS NOT NULL THEN {_CONF} END AS c_fecha,
-CASE WHEN metodo_pago IS NOT NULL THEN {_CONF} END AS c_metodo_pago, CASE WHEN total IS NOT NULL THEN {_CONF} END AS c_total FROM truth"""
-)
+@query(f"{_FIRST} SELECT k AS doc_id, c_comercio, c_fecha, c_metodo_pago, c_total FROM s0")
 def conf_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confidence of merchant, date, method and total."""
     lines = render.receipt_lines(spark, sf_dir)
-    told = render.page_words(lines, render.attempt_confidence(F.lit(0)))
+    told = render.page_words(lines, render.word_confidence(F.lit(0)))
     return confidence.field_confidence(fields.parse_fields(lines), told)
 
 
 @query(
-    f"""WITH {_ITEMS} SELECT i.k AS doc_id, i.n AS product_no, {_CONF.replace('k ', 'i.k ')} AS confianza,
-CASE WHEN {_CONF.replace('k ', 'i.k ')} < 50 THEN 'Artículo ' || i.n ELSE name END AS nombre FROM items i"""
+    f"""{_FIRST} SELECT i.k AS doc_id, i.n AS product_no, c AS confianza, CASE WHEN c < 50 THEN 'Artículo ' || i.n ELSE name END AS nombre
+FROM items i JOIN product_conf p ON p.k = i.k AND p.n = i.n AND p.attempt = 0"""
 )
 def conf_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confidence of products, weak ones renamed."""
     lines = render.receipt_lines(spark, sf_dir)
-    told = render.page_words(lines, render.attempt_confidence(F.lit(0)))
+    told = render.page_words(lines, render.word_confidence(F.lit(0)))
     found = confidence.product_confidence(products.parse_receipts(lines), told).select("doc_id", F.posexplode("productos").alias("i", "p"))
     return found.select("doc_id", (F.col("i") + 1).cast("long").alias("product_no"), "p.confianza", "p.nombre")
 
 
-@query(
-    f"""WITH {_ITEMS} SELECT k AS doc_id, CASE WHEN total IS NOT NULL THEN true END AS suma_coincide,
-CASE WHEN total IS NOT NULL THEN 0.0::DOUBLE END AS diferencia FROM truth"""
-)
+@query(f"WITH {_ITEMS} SELECT k AS doc_id, abs(sum - total) <= 1 AS suma_coincide, sum - total AS diferencia FROM truth")
 def balance_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether products add up to the total."""
+    """Whether products add up to the total, exactly, within a peso, or not."""
     return _scored(spark, sf_dir).select("doc_id", "suma_coincide", "diferencia")
 
 
-_PENALTY = f"""least(80.0, (CASE WHEN fecha IS NULL THEN 5 ELSE 0 END) + (CASE WHEN total IS NULL THEN 30 ELSE 0 END) +
-  CASE WHEN {_CONF} < 50 THEN 5 + (CASE WHEN fecha IS NOT NULL THEN 5 ELSE 0 END) + (CASE WHEN metodo_pago IS NOT NULL THEN 3 ELSE 0 END) +
-  (CASE WHEN total IS NOT NULL THEN 25 ELSE 0 END) + 5 * n ELSE 0 END)::DOUBLE"""
-
-
-@query(
-    f"""WITH {_ITEMS} SELECT k AS doc_id, {_PENALTY} AS penalizacion,
-concat_ws(',', CASE WHEN fecha IS NULL THEN 'fecha' END, CASE WHEN total IS NULL THEN 'total' END) AS faltantes FROM truth"""
-)
+@query(f"{_FIRST} SELECT k AS doc_id, penalizacion, concat_ws(',', CASE WHEN fecha IS NULL THEN 'fecha' END, CASE WHEN total IS NULL THEN 'total' END) AS faltantes FROM s0")
 def penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Penalties and missing fields."""
     return _scored(spark, sf_dir).select("doc_id", "penalizacion", F.array_join("campos_faltantes", ",").alias("faltantes"))
 
 
-@query(f"WITH {_ITEMS} SELECT k AS doc_id, round(greatest(0.0, {_CONF} - {_PENALTY}), 1)::DOUBLE AS confianza_general FROM truth")
+@query(f"{_FIRST} SELECT k AS doc_id, c_productos, mean_conf, general AS confianza_general FROM s0")
 def general_conf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted confidence after penalties."""
-    return _scored(spark, sf_dir).select("doc_id", "confianza_general")
+    return _scored(spark, sf_dir).select("doc_id", "c_productos", "mean_conf", "confianza_general")
 
 
 _ATTEMPTS_SQL = """
@@ -298,14 +342,11 @@ def blur_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attempts.pages_sharp_enough(pages)
 
 
-_STATE_SQL = """CASE WHEN {conf} < 40 THEN 'IMAGE_UNREADABLE' WHEN total IS NULL THEN 'INCOMPLETE_RECEIPT' WHEN general < 70 THEN 'LOW_CONFIDENCE'
-WHEN fecha IS NULL OR metodo_pago IS NULL THEN 'PARTIAL_SUCCESS' ELSE 'SUCCESS' END"""
+_STATE_SQL = """CASE WHEN mean_conf < 40 THEN 'IMAGE_UNREADABLE' WHEN total IS NULL THEN 'INCOMPLETE_RECEIPT' WHEN general < 70 THEN 'LOW_CONFIDENCE'
+WHEN fecha IS NULL OR metodo_pago IS NULL OR NOT balanced THEN 'PARTIAL_SUCCESS' ELSE 'SUCCESS' END"""
 
 
-@query(
-    f"""WITH {_ITEMS}, g AS (SELECT *, round(greatest(0.0, {_CONF} - {_PENALTY}), 1) AS general FROM truth)
-SELECT k AS doc_id, {_STATE_SQL.format(conf=_CONF)} AS estado, coalesce(metodo_pago, 'Sin especificar') AS metodo_pago FROM g"""
-)
+@query(f"{_FIRST} SELECT k AS doc_id, {_STATE_SQL} AS estado, coalesce(metodo_pago, 'Sin especificar') AS metodo_pago FROM s0")
 def final_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """States and display defaults of receipts read once."""
     rows = _scored(spark, sf_dir).withColumns(
@@ -315,14 +356,11 @@ def final_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_ITEMS},
-c AS (SELECT *, attempt, CAST(20 + (k * 37 + attempt * 31) % 80 AS DOUBLE) AS conf FROM truth, (VALUES (0), (1), (2)) t(attempt)),
-g AS (SELECT *, {_PENALTY.replace(_CONF, 'conf')} AS pen FROM c),
-s AS (SELECT *, round(greatest(0.0, conf - pen), 1) AS general FROM g),
-t AS (SELECT *, min(CASE WHEN general >= 70 AND fecha IS NOT NULL AND total IS NOT NULL THEN attempt END) OVER (PARTITION BY k) AS stop FROM s),
+    f"""WITH {_ITEMS}, {_LINES_SQL}, {_SCORES_SQL},
+t AS (SELECT *, min(CASE WHEN general >= 70 AND fecha IS NOT NULL AND total IS NOT NULL THEN attempt END) OVER (PARTITION BY k) AS stop FROM scored),
 b AS (SELECT * FROM t WHERE attempt <= coalesce(stop, 2)
       QUALIFY row_number() OVER (PARTITION BY k ORDER BY general DESC, attempt) = 1)
-SELECT k AS doc_id, CAST(attempt AS INT) AS attempt, general AS confianza_general, {_STATE_SQL.format(conf='conf')} AS estado FROM b"""
+SELECT k AS doc_id, CAST(attempt AS INT) AS attempt, CAST(coalesce(stop, 2) + 1 AS INT) AS attempts_made, folio, general AS confianza_general, {_STATE_SQL} AS estado FROM b"""
 )
 def scan_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole dataflow from words of three attempts to responses; engine scores never stop the reading here."""
@@ -330,7 +368,7 @@ def scan_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     settings = Settings(good_score=1e12)
     out = pipeline.scan(render.receipt_words(spark, sf_dir), settings=settings, audit=True)
-    return out.select("doc_id", "attempt", "confianza_general", "estado")
+    return out.select("doc_id", "attempt", "attempts_made", "folio", "confianza_general", "estado")
 
 
 _STAMP_SQL = """t AS (SELECT o_orderkey AS k, o_orderkey % 4 AS r, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders WHERE o_orderkey % 3 = 0)"""
@@ -347,16 +385,16 @@ def ted_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_ITEMS} SELECT k AS doc_id, CASE WHEN k % 3 = 0 AND k % 4 <> 1 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE fecha END AS fecha,
+    f"""{_FIRST} SELECT k AS doc_id, CASE WHEN k % 3 = 0 AND k % 4 <> 1 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE fecha END AS fecha,
 CASE WHEN k % 3 = 0 AND k % 4 > 1 THEN CAST(k * 10 + 1 AS DOUBLE) ELSE total END AS total,
-CASE WHEN k % 3 = 0 AND k % 4 > 1 THEN 100.0 WHEN total IS NOT NULL THEN {_CONF} END::DOUBLE AS c_total,
-CASE WHEN k % 3 = 0 AND k % 4 > 1 THEN abs(sum - (k * 10 + 1)) <= 1 WHEN total IS NOT NULL THEN true END AS suma_coincide,
-(k % 3 = 0 AND k % 4 <> 1) AS timbre_decodificado FROM truth JOIN orders ON o_orderkey = k"""
+CASE WHEN k % 3 = 0 AND k % 4 <> 1 THEN 100.0::DOUBLE ELSE c_fecha END AS c_fecha, CASE WHEN k % 3 = 0 AND k % 4 > 1 THEN 100.0::DOUBLE ELSE c_total END AS c_total,
+CASE WHEN k % 3 = 0 AND k % 4 > 1 THEN abs(sum - (k * 10 + 1)) <= 1 ELSE balanced END AS suma_coincide,
+(k % 3 = 0 AND k % 4 <> 1) AS timbre_decodificado FROM s0 JOIN orders ON o_orderkey = k"""
 )
 def ted_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates and totals overridden by stamps."""
     best = _scored(spark, sf_dir).withColumns({"attempt": F.lit(0), "limit_reached": F.lit(None).cast("string")})
-    return ted.enrich(best, render.stamps(spark, sf_dir)).select("doc_id", "fecha", "total", "c_total", "suma_coincide", "timbre_decodificado")
+    return ted.enrich(best, render.stamps(spark, sf_dir)).select("doc_id", "fecha", "total", "c_fecha", "c_total", "suma_coincide", "timbre_decodificado")
 
 
 @query(r"SELECT page_id, nullif(trim(regexp_extract(html, '(?i)<title>([^<]*)', 1)), '') AS title FROM pages")
@@ -384,3 +422,126 @@ def file_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     checked = validation.check_files(files)
     return validation.rejections(checked).join(checked.select("doc_id", "reason"), "doc_id").select("doc_id", "reason", "estado", "confianza_general")
+
+
+def _clp(x: str) -> str:
+    return f"'$' || replace(format('{{:,}}', CAST(round_even({x}, 0) AS BIGINT)), ',', '.')"
+
+
+_CHECKS_SQL = f"""
+r AS (SELECT o_orderkey AS k, CASE k % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'TIENDA ' || k % 3 END AS comercio, CASE WHEN k % 5 <> 0 THEN '2024-01-02' END AS fecha,
+  CASE WHEN k % 3 <> 0 THEN 'Efectivo' END AS metodo_pago,
+  CASE k % 6 WHEN 0 THEN NULL WHEN 1 THEN 0.0 WHEN 2 THEN -1500.0 WHEN 3 THEN 3000.5 ELSE 1000.0 * (k % 7) + k % 4 END::DOUBLE AS total,
+  k % 8 = 0 AS bare, (k % 3)::DOUBLE AS q1, (1000 * (k % 4 - 1))::DOUBLE AS p1, (k % 90 + 10)::DOUBLE AS c1,
+  CASE WHEN k % 9 <> 0 THEN 2.0::DOUBLE END AS q2, 500.5::DOUBLE AS p2, CASE WHEN k % 10 <> 0 THEN 45.0::DOUBLE END AS c2,
+  CASE WHEN k % 11 <> 0 THEN (k % 100)::DOUBLE END AS c_comercio, (k % 70)::DOUBLE AS c_fecha, (k % 60)::DOUBLE AS c_metodo_pago, (k % 80)::DOUBLE AS c_total FROM orders),
+s AS (SELECT *, CASE WHEN NOT bare AND total IS NOT NULL THEN q1 * p1 + q2 * p2 END AS sum FROM r),
+d AS (SELECT *, round_even(sum - total, 2) AS diferencia FROM s)
+SELECT k AS doc_id, diferencia, abs(diferencia) <= 1 AS suma_coincide,
+concat_ws('|', CASE WHEN coalesce(comercio, '') = '' THEN 'No se pudo identificar el comercio.' END, CASE WHEN fecha IS NULL THEN 'No se pudo identificar la fecha.' END,
+  CASE WHEN total IS NULL THEN 'No se pudo identificar el total.' END, CASE WHEN bare THEN 'No se identificó ningún producto.' END,
+  CASE WHEN abs(diferencia) > 1 THEN 'La suma de los productos (' || {_clp('sum')} || ') no coincide con el total declarado (' || {_clp('total')} || ').' END,
+  CASE WHEN total <= 0 THEN 'El total identificado no es un monto válido (debe ser mayor a cero).' END,
+  CASE WHEN NOT bare AND p1 <= 0 THEN 'El producto ''Pan'' tiene un precio inválido.' END, CASE WHEN NOT bare AND q1 <= 0 THEN 'El producto ''Pan'' tiene una cantidad inválida.' END,
+  CASE WHEN comercio <> '' AND c_comercio < 50 THEN 'El comercio identificado (''' || comercio || ''') podría no ser exacto.' END,
+  CASE WHEN fecha IS NOT NULL AND c_fecha < 50 THEN 'La fecha identificada (' || fecha || ') podría no ser exacta.' END,
+  CASE WHEN metodo_pago IS NOT NULL AND c_metodo_pago < 50 THEN 'El método de pago identificado (''' || metodo_pago || ''') podría no ser exacto.' END,
+  CASE WHEN total IS NOT NULL AND c_total < 50 THEN 'El total identificado (' || {_clp('total')} || ') podría no ser exacto.' END,
+  CASE WHEN NOT bare AND c1 < 50 THEN 'El producto ''Pan'' podría no estar bien identificado.' END,
+  CASE WHEN NOT bare AND c2 < 50 THEN 'El producto ''Té'' podría no estar bien identificado.' END) AS advertencias,
+least(80, (CASE WHEN coalesce(comercio, '') = '' THEN 5 ELSE 0 END) + (CASE WHEN fecha IS NULL THEN 5 ELSE 0 END) + (CASE WHEN total IS NULL THEN 30 ELSE 0 END)
+  + (CASE WHEN bare THEN 5 ELSE 0 END) + (CASE WHEN abs(diferencia) > 1 THEN 40 ELSE 0 END) + (CASE WHEN total <= 0 THEN 10 ELSE 0 END)
+  + (CASE WHEN NOT bare AND p1 <= 0 THEN 10 ELSE 0 END) + (CASE WHEN NOT bare AND q1 <= 0 THEN 10 ELSE 0 END) + (CASE WHEN comercio <> '' AND c_comercio < 50 THEN 5 ELSE 0 END)
+  + (CASE WHEN fecha IS NOT NULL AND c_fecha < 50 THEN 5 ELSE 0 END) + (CASE WHEN metodo_pago IS NOT NULL AND c_metodo_pago < 50 THEN 3 ELSE 0 END)
+  + (CASE WHEN total IS NOT NULL AND c_total < 50 THEN 25 ELSE 0 END) + (CASE WHEN NOT bare AND c1 < 50 THEN 5 ELSE 0 END) + (CASE WHEN NOT bare AND c2 < 50 THEN 5 ELSE 0 END))::DOUBLE AS penalizacion
+FROM d"""
+
+
+def _product(name: str, quantity, price, conf):
+    parts = (F.lit(name), quantity, price, conf)
+    return F.struct(*[p.alias(n) for p, n in zip(parts, ("nombre", "cantidad", "precio_unitario", "confianza"), strict=True)])
+
+
+@query("WITH " + _CHECKS_SQL)
+def check_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every warning text and penalty, with missing, invalid, unbalanced and unsure values."""
+    k, null = F.col("o_orderkey"), F.lit(None).cast("double")
+    first = _product("Pan", (k % 3).cast("double"), (1000 * (k % 4 - 1)).cast("double"), (k % 90 + 10).cast("double"))
+    second = _product("Té", F.when(k % 9 != 0, 2.0), F.lit(500.5), F.when(k % 10 != 0, 45.0))
+    some = F.array(first, second)
+    rows = render.read(spark, sf_dir, "orders").select(
+        k.alias("doc_id"), F.when(k % 4 == 1, "").when(k % 4 > 1, F.concat(F.lit("TIENDA "), (k % 3).cast("string"))).alias("comercio"),
+        F.when(k % 5 != 0, "2024-01-02").alias("fecha"), F.when(k % 3 != 0, "Efectivo").alias("metodo_pago"),
+        F.when(k % 6 == 0, null).when(k % 6 == 1, 0.0).when(k % 6 == 2, -1500.0).when(k % 6 == 3, 3000.5).otherwise(1000.0 * (k % 7) + k % 4).alias("total"),
+        F.when(k % 8 == 0, F.slice(some, 1, 0)).otherwise(some).alias("productos"), F.when(k % 11 != 0, (k % 100).cast("double")).alias("c_comercio"),
+        (k % 70).cast("double").alias("c_fecha"), (k % 60).cast("double").alias("c_metodo_pago"), (k % 80).cast("double").alias("c_total"),
+    )
+    return checks.check(rows).select("doc_id", "diferencia", "suma_coincide", F.array_join("advertencias", "|").alias("advertencias"), "penalizacion")
+
+
+_HINTS = {
+    "camera": "Intenta mejorar la iluminación, acercar la cámara y encuadrar la boleta completa dentro del recuadro.",
+    "file": "Intenta subir una imagen de mayor resolución o verifica que el archivo corresponda efectivamente a una boleta.",
+}
+_BODIES_SQL = f"""
+r AS (SELECT o_orderkey AS k, k % 7 AS kind, k % 40 < 15 AS blurred, k % 9 = 0 AS late, k % 11 = 0 AS failed, k % 2 = 0 AS camera, k % 5 = 0 AS stamped FROM orders),
+u AS (SELECT *, NOT blurred AND NOT late AND NOT failed AS seen, stamped AND seen AS over, CASE WHEN kind = 3 THEN 30.0 ELSE 90.0 END::DOUBLE AS c,
+  CASE WHEN kind = 6 THEN 30.0 ELSE 80.0 END::DOUBLE AS mean_conf FROM r),
+f AS (SELECT *, CASE WHEN seen AND kind <> 0 THEN 'TIENDA' END AS comercio, CASE WHEN over THEN '2024-05-06' WHEN seen AND kind <> 0 THEN '2024-01-02' END AS fecha,
+  CASE WHEN seen AND kind NOT IN (0, 4) THEN 'Efectivo' END AS metodo_pago, CASE WHEN over THEN 1200.0 WHEN seen AND kind NOT IN (0, 1) THEN 1000.0 END::DOUBLE AS total,
+  seen AND kind NOT IN (0, 2) AS goods FROM u),
+g AS (SELECT *, CASE WHEN comercio IS NOT NULL THEN c END AS c1, CASE WHEN over THEN 100.0::DOUBLE WHEN fecha IS NOT NULL THEN c END AS c2, CASE WHEN metodo_pago IS NOT NULL THEN c END AS c3,
+  CASE WHEN goods THEN c END AS c4, CASE WHEN over THEN 100.0::DOUBLE WHEN total IS NOT NULL THEN c END AS c5, goods AND total <> 1000 AS off FROM f),
+h AS (SELECT *, list_filter([CASE WHEN comercio IS NULL THEN 'No se pudo identificar el comercio.' END, CASE WHEN fecha IS NULL THEN 'No se pudo identificar la fecha.' END,
+    CASE WHEN total IS NULL THEN 'No se pudo identificar el total.' END, CASE WHEN NOT goods THEN 'No se identificó ningún producto.' END,
+    CASE WHEN off THEN 'La suma de los productos ($1.000) no coincide con el total declarado ($1.200).' END,
+    CASE WHEN c1 < 50 THEN 'El comercio identificado (''TIENDA'') podría no ser exacto.' END, CASE WHEN c2 < 50 THEN 'La fecha identificada (2024-01-02) podría no ser exacta.' END,
+    CASE WHEN c3 < 50 THEN 'El método de pago identificado (''Efectivo'') podría no ser exacto.' END, CASE WHEN c5 < 50 THEN 'El total identificado ($1.000) podría no ser exacto.' END,
+    CASE WHEN c4 < 50 THEN 'El producto ''Pan'' podría no estar bien identificado.' END], lambda x: x IS NOT NULL) AS told,
+  least(80, (CASE WHEN comercio IS NULL THEN 5 ELSE 0 END) + (CASE WHEN fecha IS NULL THEN 5 ELSE 0 END) + (CASE WHEN total IS NULL THEN 30 ELSE 0 END) + (CASE WHEN goods THEN 0 ELSE 5 END)
+    + (CASE WHEN off THEN 40 ELSE 0 END) + (CASE WHEN c1 < 50 THEN 5 ELSE 0 END) + (CASE WHEN c2 < 50 THEN 5 ELSE 0 END) + (CASE WHEN c3 < 50 THEN 3 ELSE 0 END)
+    + (CASE WHEN c5 < 50 THEN 25 ELSE 0 END) + (CASE WHEN c4 < 50 THEN 5 ELSE 0 END)) AS penalty,
+  (coalesce(c1, 0) + coalesce(c2, 0) + coalesce(c3 * 0.3::DOUBLE, 0) + coalesce(c4, 0) + coalesce(c5 * 3, 0))
+    / nullif(CASE WHEN c1 IS NULL THEN 0 ELSE 1 END + CASE WHEN c2 IS NULL THEN 0 ELSE 1 END + CASE WHEN c3 IS NULL THEN 0 ELSE 0.3::DOUBLE END + CASE WHEN c4 IS NULL THEN 0 ELSE 1 END
+      + CASE WHEN c5 IS NULL THEN 0 ELSE 3 END, 0) AS mean FROM g),
+b AS (SELECT *, greatest(0, least(100, coalesce(mean, mean_conf) - penalty)) AS base FROM h),
+e AS (SELECT *, {_round1('base')} AS general, CASE WHEN camera THEN '{_HINTS["camera"]}' ELSE '{_HINTS["file"]}' END AS tip,
+  CASE WHEN camera THEN 'Intenta capturar la boleta completa, incluyendo la parte inferior con el total.' ELSE 'Verifica que la imagen incluya la boleta completa, incluyendo la parte inferior con el total.' END AS whole,
+  CASE WHEN blurred THEN 1 WHEN late THEN 2 WHEN failed THEN 3 WHEN mean_conf < 40 THEN 4 WHEN comercio IS NULL AND fecha IS NULL AND total IS NULL AND NOT goods THEN 5
+    WHEN total IS NULL THEN 6 WHEN NOT goods THEN 7 WHEN general < 70 THEN 8 WHEN metodo_pago IS NULL OR fecha IS NULL OR comercio IS NULL OR off THEN 9 ELSE 10 END AS place FROM b)
+SELECT k AS doc_id, CAST(to_json(struct_pack(
+  estado := ['IMAGE_UNREADABLE', 'IMAGE_UNREADABLE', NULL, 'IMAGE_UNREADABLE', 'NO_RECEIPT_DETECTED', 'INCOMPLETE_RECEIPT', 'INCOMPLETE_RECEIPT', 'LOW_CONFIDENCE', 'PARTIAL_SUCCESS', 'SUCCESS'][place],
+  mensaje := CASE place WHEN 1 THEN 'La imagen está demasiado borrosa o no tiene suficiente definición para ser leída. ' || tip
+    WHEN 2 THEN 'El procesamiento de la imagen demoró más de lo esperado y se detuvo antes de completarse. ' || tip WHEN 4 THEN 'No fue posible leer el contenido de la imagen. ' || tip
+    WHEN 5 THEN 'No se detectó una boleta en la imagen. ' || tip WHEN 6 THEN 'La boleta parece estar incompleta: no se pudo identificar el total. ' || whole
+    WHEN 7 THEN 'La boleta parece estar incompleta: no se pudo identificar ningún producto. ' || whole
+    WHEN 8 THEN 'La boleta se procesó, pero con confianza baja. Se recomienda revisar los datos manualmente.'
+    WHEN 9 THEN 'Se reconocieron los datos principales de la boleta, pero algunos detalles no pudieron confirmarse con certeza.' WHEN 10 THEN 'Boleta procesada correctamente.' END,
+  confianza_general := CASE WHEN blurred THEN 0.0::DOUBLE WHEN seen THEN general END,
+  confianza_por_campo := CASE WHEN seen THEN struct_pack(comercio := c1, fecha := c2, metodo_pago := c3, productos := c4, total := c5) END,
+  advertencias := CASE WHEN blurred THEN ['El procesamiento se detuvo por baja nitidez de la imagen.'] WHEN late THEN ['El procesamiento se detuvo por exceder el tiempo máximo permitido.'] WHEN seen THEN told END,
+  datos := CASE WHEN seen THEN struct_pack(comercio := coalesce(comercio, 'Sin título'), fecha := fecha, metodo_pago := coalesce(metodo_pago, 'Sin especificar'),
+    productos := CASE WHEN goods THEN [struct_pack(nombre := 'Pan', cantidad := 2.0::DOUBLE, precio_unitario := 500.0::DOUBLE, confianza := c)] ELSE [] END, total := total) END)) AS VARCHAR) AS body
+FROM e"""
+
+
+@query("WITH " + _BODIES_SQL)
+def response_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole responses as JSON text: blurred, late, failed, unreadable, empty, incomplete, weak, partial and whole documents, some with stamps."""
+    k = F.col("o_orderkey")
+    kind = k % 7
+    c = F.when(kind == 3, 30.0).otherwise(90.0)
+    goods = F.array(_product("Pan", F.lit(2.0), F.lit(500.0), c))
+    rows = render.read(spark, sf_dir, "orders").select(
+        k.alias("doc_id"), F.lit(0).alias("attempt"), F.when(kind != 0, "TIENDA").alias("comercio"), F.when(kind != 0, "2024-01-02").alias("fecha"),
+        F.when(~kind.isin(0, 4), "Efectivo").alias("metodo_pago"), F.when(~kind.isin(0, 1), 1000.0).alias("total"),
+        F.when(kind.isin(0, 2), F.slice(goods, 1, 0)).otherwise(goods).alias("productos"), F.when(kind != 0, c).alias("c_comercio"), F.when(kind != 0, c).alias("c_fecha"),
+        F.when(~kind.isin(0, 4), c).alias("c_metodo_pago"), F.when(~kind.isin(0, 2), c).alias("c_productos"), F.when(~kind.isin(0, 1), c).alias("c_total"),
+        F.when(kind == 6, 30.0).otherwise(80.0).alias("mean_conf"), F.lit(0.0).alias("score"), (k % 40).cast("double").alias("nitidez"),
+        F.when(k % 9 == 0, 300.0).otherwise(0.0).alias("elapsed_s"), (k % 11 == 0).alias("failed"),
+    )
+    text = "<FE>2024-05-06</FE><MNT>1200</MNT>"
+    printed = rows.filter("doc_id % 5 = 0").select("doc_id", F.lit(text).alias("ted_text")).withColumn("ted_text", F.explode(F.array("ted_text", F.lit("sin datos"))))
+    best = ted.enrich(attempts.best_attempt(checks.evaluate(rows)), printed)
+    source = F.when(F.col("doc_id") % 2 == 0, "camera").otherwise("file")
+    return pipeline.to_json(state.respond(state.classify(best.withColumn("source", source))))

@@ -31,6 +31,11 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(item)).alias("items"))
 
 
+def stated_off(key: Column) -> Column:
+    """By how much a receipt's stated total is off the sum of its items."""
+    return F.when(key % 13 == 3, 1).when(key % 13 == 5, 2).when(key % 13 == 7, -30).when(key % 13 == 9, -1).otherwise(0)
+
+
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, lines``: the text lines of each order's receipt."""
     orders = read(spark, sf_dir, "orders").join(order_lines(spark, sf_dir), F.col("o_orderkey") == F.col("doc_id"))
@@ -51,7 +56,7 @@ def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.when(key % 5 == 0, columns).when(key % 5 == 1, leading).when(key % 5 == 2, coded).when(key % 5 == 3, split).otherwise(columns)
 
     total = F.aggregate("items", F.lit(0).cast("long"), lambda a, p: a + p["qty"] * p["unit"])
-    shown = thousands(total)
+    shown = thousands(total + stated_off(key))
     totals = (
         F.when(key % 7 == 0, F.array(F.concat(F.lit("TOTAL    $ "), shown)))
         .when(key % 7 == 1, F.array(F.concat(F.lit("SUBTOTAL $: "), thousands(total + 7)), F.concat(F.lit("TOTAL $: "), shown)))
@@ -62,7 +67,7 @@ def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.array(F.concat(F.lit("SUBTOTAL: "), shown)))
     )
     method = F.get(
-        F.array(F.lit("EFECTIVO"), F.lit("TARJETA DEBITO"), F.lit("TARJETA DE CREDITO"), F.lit("TRANSFERENCIA"), F.lit(None).cast("string")),
+        F.array(F.lit("EFECTIVO"), F.when(key % 2 == 0, "TARJETA DÉBITO").otherwise("TARJETA DEBITO"), F.lit("TARJETA DE CREDITO"), F.lit("TRANSFERENCIA"), F.lit(None).cast("string")),
         F.substring("o_orderpriority", 1, 1).cast("int") - 1,
     )
     none = F.lit(None).cast("string")
@@ -99,16 +104,17 @@ def page_words(lines: DataFrame, confidence: Column) -> DataFrame:
     return words.withColumn("conf", confidence.cast("double")).withColumns({"line_num": F.col("line_no").cast("int"), "block_num": F.lit(1)})
 
 
-def attempt_confidence(attempt: Column) -> Column:
-    """Confidence of all words of a receipt in an attempt: 20 to 99, by key."""
-    return 20 + (F.col("doc_id") * 37 + attempt * 31) % 80
+def word_confidence(attempt: Column) -> Column:
+    """Confidence of a word in an attempt, 10 to 99: a level of the receipt, and an own part of each word."""
+    own = (F.col("line_no") * 17 + (F.col("word_no") - F.col("line_no") * 1000) * 13 + F.col("doc_id")) % 30
+    return F.least(F.lit(99), 10 + (F.col("doc_id") * 37 + attempt * 31) % 80 + own)
 
 
 def receipt_words(spark: SparkSession, sf_dir: str, attempts: int = 3) -> DataFrame:
     """The table of recognised words of all receipts, each read ``attempts`` times in two segmentation modes."""
     tries = F.explode(F.array(*[F.struct(F.lit(a).alias("attempt"), F.lit(p).alias("psm")) for a in range(attempts) for p in (6, 4)])).alias("t")
     base = page_words(receipt_lines(spark, sf_dir), F.lit(0.0)).drop("conf").select("*", tries)
-    conf = attempt_confidence(F.col("t.attempt")) - F.when(F.col("t.psm") == 4, 5).otherwise(0)
+    conf = word_confidence(F.col("t.attempt")) - F.when(F.col("t.psm") == 4, 5).otherwise(0)
     return base.select(
         "doc_id", "t.attempt", "t.psm", "word_no", "text", conf.cast("double").alias("conf"), "x", "y", "w", "h", "line_num", "block_num"
     )

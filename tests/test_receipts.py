@@ -135,9 +135,8 @@ def test_run_score_and_mode(spark):
 def scored(spark, data, told, mean=42.0):
     kind = "doc_id long, comercio string, fecha string, metodo_pago string, total double, productos array<struct<nombre:string,cantidad:double,precio_unitario:double,confianza:double>>"
     table = spark.createDataFrame([(0, *data)], kind)
-    rows = spark.createDataFrame([(0, t, float(c)) for t, c in told] or [(1, "x", 1.0)], "doc_id long, text string, conf double")
-    runs = spark.createDataFrame([(0, mean)], "doc_id long, mean_conf double")
-    return pipeline.score_fields(table, rows, runs).collect()[0]
+    rows = spark.createDataFrame([(0, t, float(c)) for t, c in told] or [(0, "~", mean)], "doc_id long, text string, conf double")
+    return pipeline.score_fields(table, rows).collect()[0]
 
 
 def test_confidence_and_perfect(spark):
