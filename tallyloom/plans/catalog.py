@@ -255,17 +255,20 @@ scored AS (SELECT *, {_round1('base')} AS general, CASE WHEN total IS NOT NULL T
 _FIRST = f"WITH {_ITEMS}, {_LINES_SQL}, {_SCORES_SQL}, s0 AS (SELECT * FROM scored WHERE attempt = 0)"
 
 
+def _lines_and_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    lines = render.receipt_lines(spark, sf_dir).repartition("doc_id")  # an exchange that all readers of the lines share
+    return lines, render.page_words(lines, render.word_confidence(F.lit(0)))
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = render.receipt_lines(spark, sf_dir)
-    told = render.page_words(lines, render.word_confidence(F.lit(0)))
+    lines, told = _lines_and_words(spark, sf_dir)
     return pipeline.score_fields(products.parse_receipts(lines), told)
 
 
 @query(f"{_FIRST} SELECT k AS doc_id, c_comercio, c_fecha, c_metodo_pago, c_total FROM s0")
 def conf_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confidence of merchant, date, method and total."""
-    lines = render.receipt_lines(spark, sf_dir)
-    told = render.page_words(lines, render.word_confidence(F.lit(0)))
+    lines, told = _lines_and_words(spark, sf_dir)
     return confidence.field_confidence(fields.parse_fields(lines), told)
 
 
@@ -275,8 +278,7 @@ FROM items i JOIN product_conf p ON p.k = i.k AND p.n = i.n AND p.attempt = 0"""
 )
 def conf_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confidence of products, weak ones renamed."""
-    lines = render.receipt_lines(spark, sf_dir)
-    told = render.page_words(lines, render.word_confidence(F.lit(0)))
+    lines, told = _lines_and_words(spark, sf_dir)
     found = confidence.product_confidence(products.parse_receipts(lines), told).select("doc_id", F.posexplode("productos").alias("i", "p"))
     return found.select("doc_id", (F.col("i") + 1).cast("long").alias("product_no"), "p.confianza", "p.nombre")
 
