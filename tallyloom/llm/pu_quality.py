@@ -4,11 +4,10 @@ Trusted positives are rows labelled 1; everything else a corpus holds is unlabel
 prior is estimated from the two by the best-bin rule: for any region the share of unlabelled
 rows in it is at least the prior times the share of positives, so the least upper bound of
 the ratio over the score's upper tails is taken. The model is an additive one over binned
-text statistics, trained on ``prior * R+ + max(0, Ru- - prior * R-)``, with the gradient of the
-negative part reversed where it falls below 0.
+text statistics, trained on ``prior * R+ + max(0, Ru- - prior * R-)`` and its gradient.
 
-Scores are posterior probabilities of label 1. Training rows are a bounded sample; scoring
-is one pass over every whole text without a shuffle.
+Scores are posterior probabilities of label 1. The rows of the gradient steps are a bounded
+sample; the prior's histogram and the scores are each one pass over every whole text.
 """
 
 from __future__ import annotations
@@ -110,12 +109,21 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(x), -30, 30)))
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.2) -> float:
-    """Best-bin estimate of the share of positives among the unlabelled from scores of both."""
-    cuts = np.quantile(positive, np.linspace(0.0, 1 - least, 200))
+def prior_cuts(positive: np.ndarray, least: float = 0.2) -> np.ndarray:
+    """Increasing scores, each the lower end of an upper tail that holds ``least`` of the positives at least."""
+    return np.quantile(positive, np.linspace(0.0, 1 - least, 200))
+
+
+def estimate_prior(positive: np.ndarray, cuts: np.ndarray, counts: np.ndarray) -> float:
+    """Best-bin estimate of the share of positives among the unlabelled.
+
+    ``positive`` are scores of trusted rows; ``counts[i]`` unlabelled rows score ``cuts[i - 1]`` or
+    more but less than ``cuts[i]`` (the first and last are open).
+    """
+    n = counts.sum()
     p = 1 - np.searchsorted(np.sort(positive), cuts, side="left") / len(positive)
-    u = 1 - np.searchsorted(np.sort(unlabelled), cuts, side="left") / len(unlabelled)
-    slack = np.sqrt(np.log(20) / 2 / len(positive)) + np.sqrt(np.log(20) / 2 / len(unlabelled))
+    u = np.cumsum(counts[::-1])[::-1][1:] / n
+    slack = np.sqrt(np.log(20) / 2 / len(positive)) + np.sqrt(np.log(20) / 2 / n)
     best = np.argmin((u + slack) / np.maximum(p, 1e-9))
     return float(np.clip(u[best] / p[best], 0.01, 0.99))
 
@@ -135,42 +143,49 @@ def _descend(edges: np.ndarray, gradient, steps: int, rate: float, bias: float,
     return w[:-1].reshape(edges.shape[0], -1), float(w[-1])
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, *, steps: int = 800, rate: float = 0.15, l2: float = 0.1) -> Model:
-    """Model from feature rows of trusted positives and of unlabelled texts.
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _back(b: np.ndarray, g: np.ndarray, size: int) -> np.ndarray:
+    return np.append(np.bincount(b.ravel(), weights=np.repeat(g, b.shape[1]), minlength=size), g.sum())
 
-    ``l2`` is divided by the number of rows. The prior comes from a first model that tells the two
-    apart, fitted on every other row and applied to the rest.
+
+def non_negative_risk(w: np.ndarray, bp: np.ndarray, bu: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """``prior * R+ + max(0, Ru- - prior * R-)`` under the logistic loss, and its gradient.
+
+    ``w`` has a weight for each bin, then the intercept; ``bp`` and ``bu`` the bins of positives and unlabelled.
     """
-    l2 /= len(positive) + len(unlabelled)
+    zp, zu = w[bp].sum(axis=1) + w[-1], w[bu].sum(axis=1) + w[-1]
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    gradient = _back(bp, prior * (_sigmoid(zp) - 1) / len(bp), len(w) - 1)
+    if negative > 0:
+        gradient += _back(bu, _sigmoid(zu) / len(bu), len(w) - 1) - _back(bp, prior * _sigmoid(zp) / len(bp), len(w) - 1)
+    return prior * np.logaddexp(0, -zp).mean() + max(0.0, negative), gradient
+
+
+def fit_rough(positive: np.ndarray, unlabelled: np.ndarray, *, steps: int = 400, rate: float = 0.15, l2: float = 1.0) -> Model:
+    """A model that tells trusted rows from unlabelled ones, of every other row of each; ``l2`` is divided by the number of rows."""
     edges = np.quantile(np.concatenate([positive, unlabelled]), np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
-    bp, bu = _bins(edges, positive), _bins(edges, unlabelled)
+    p, u = _bins(edges, positive)[::2], _bins(edges, unlabelled)[::2]
     size = edges.shape[0] * (edges.shape[1] + 1)
 
-    def logits(w: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return w[b].sum(axis=1) + w[-1]
-
-    def back(b: np.ndarray, g: np.ndarray) -> np.ndarray:
-        return np.append(np.bincount(b.ravel(), weights=np.repeat(g, b.shape[1]), minlength=size), g.sum())
+    def apart(w: np.ndarray) -> np.ndarray:
+        zp, zu = w[p].sum(axis=1) + w[-1], w[u].sum(axis=1) + w[-1]
+        return _back(p, (_sigmoid(zp) - 1) / len(p), size) + _back(u, _sigmoid(zu) / len(u), size)
 
-    def sigmoid(z: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    return Model(edges, *_descend(edges, apart, steps, rate, 0.0, l2 / (len(positive) + len(unlabelled))), prior=0.5)
 
-    def apart(w: np.ndarray) -> np.ndarray:
-        p, u = bp[::2], bu[::2]
-        return back(p, (sigmoid(logits(w, p)) - 1) / len(p)) + back(u, sigmoid(logits(w, u)) / len(u))
 
-    rough = Model(edges, *_descend(edges, apart, steps // 2, rate, 0.0, 10 * l2), prior=0.5)
-    prior = estimate_prior(rough.logits(positive[1::2]), rough.logits(unlabelled[1::2]))
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, steps: int = 800, rate: float = 0.15, l2: float = 0.1) -> Model:
+    """Model from feature rows of trusted positives and of unlabelled texts; ``l2`` is divided by the number of rows."""
+    edges = np.quantile(np.concatenate([positive, unlabelled]), np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
+    bp, bu = _bins(edges, positive), _bins(edges, unlabelled)
 
-    def risk(w: np.ndarray) -> np.ndarray:
-        zp, zu = logits(w, bp), logits(w, bu)
-        sp, su = sigmoid(zp), sigmoid(zu)
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        unbiased = back(bu, su / len(bu)) - back(bp, prior * sp / len(bp))
-        return back(bp, prior * (sp - 1) / len(bp)) + (unbiased if negative >= 0 else -unbiased)
+    def gradient(w: np.ndarray) -> np.ndarray:
+        return non_negative_risk(w, bp, bu, prior)[1]
 
-    weights, bias = _descend(edges, risk, steps, rate, 0.0, l2)
-    return Model(edges, weights, bias, prior)
+    return Model(edges, *_descend(edges, gradient, steps, rate, 0.0, l2 / (len(positive) + len(unlabelled))), prior)
 
 
 def _featurer():
@@ -185,6 +200,16 @@ def _featurer():
     return run
 
 
+def _histogram(model: Model, cuts: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(len(cuts) + 1, np.int64)
+        for _, data, offs in chunks(batches, "text"):
+            counts += np.bincount(np.searchsorted(cuts, model.logits(statistics(data, offs)), side="right"), minlength=len(counts))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(counts)), pa.int32()), pa.array(counts)], names=["bin", "n"])
+
+    return run
+
+
 def held_out(doc_id: str = "doc_id") -> F.Column:
     """Whether a row is never learned from: crc32 of the id as text leaves 0 by 5."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))
@@ -197,7 +222,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, wanted: int, v
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, label: str = "quality", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
-    """Model from at most ``positives`` labelled rows and ``unlabelled`` others, held-out rows left out."""
+    """Model from at most ``positives`` labelled rows and ``unlabelled`` others, held-out rows left out.
+
+    The prior is estimated over every text outside the held-out fold.
+    """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     trusted = training_rows(docs, labels, label, positives, 1)
     others = plain.filter(~held_out()).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit("u")), "doc_id").limit(unlabelled)
@@ -213,7 +241,14 @@ def learn(docs: DataFrame, labels: DataFrame, *, label: str = "quality", positiv
     if mark.sum() < 2 or (~mark).sum() < 2:
         none = np.zeros((len(FEATURES), BINS - 1))
         return Model(none, np.zeros((len(FEATURES), BINS)), 0.0, 0.5)
-    return fit(x[mark], x[~mark])
+    rough = fit_rough(x[mark], x[~mark])
+    told = rough.logits(x[mark][1::2])
+    cuts = prior_cuts(told)
+    every = plain.filter(~held_out()).select("text").mapInArrow(_histogram(rough, cuts), "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+    counts = np.zeros(len(cuts) + 1)
+    for r in every.collect():
+        counts[r["bin"]] = r["n"]
+    return fit(x[mark], x[~mark], estimate_prior(told, cuts, counts))
 
 
 def _scorer(model: Model, threshold: float):
