@@ -16,11 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.pu_quality import held_out, training_rows
-from tallyloom.llm.shared import chunks, list_column
+from tallyloom.llm.shared import chunks, cut, list_column
 from tallyloom.llm.words import U, Words, hashes, mix, scan
 
 #: Labelled rows of each label that training uses at most, of smallest id hash.
@@ -133,45 +133,71 @@ def _flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.concatenate(lists).astype(np.int32) if lists else np.zeros(0, np.int32)
 
 
-def fit(
-    rows: list[np.ndarray], labels: np.ndarray, twins: list[tuple[np.ndarray, np.ndarray]], *,
-    fairness: float = 1.0, l2: float = 2e-5, steps: int = 300, rate: float = 0.05,
-) -> Model:
-    """Model from feature lists, labels, and what twins lose and gain against each other."""
-    owner, code = _flat(rows)
-    yes, total = labels.sum(), len(labels)
-    n = np.bincount(code, minlength=1 << BITS)
-    n1 = np.bincount(code, weights=labels[owner], minlength=1 << BITS)
-    features = np.flatnonzero(n >= LEAST_ROWS)  # all else is done for these alone, which bounds the driver's memory
-    n, n1 = n[features].astype(float), n1[features]
+def apart(n: Column, n1: Column, total: int, yes: int) -> Column:
+    """How far, in standard errors, the log odds of a feature's rows with and without the label are apart."""
+
+    def odds(x: Column) -> Column:
+        return F.log(x / (1 - x))
+
     a, b = (n1 + 0.5) / (yes + 1), (n - n1 + 0.5) / (total - yes + 1)
-    apart = np.abs(np.log(a / (1 - a)) - np.log(b / (1 - b))) / np.sqrt(1 / (n1 + 0.5) + 1 / (n - n1 + 0.5))
-    features = features[apart > LEAST_Z]
-    place = np.full(1 << BITS, -1, np.int32)
-    place[features] = np.arange(len(features))
+    return F.abs(odds(a) - odds(b)) / F.sqrt(1 / (n1 + 0.5) + 1 / (n - n1 + 0.5))
 
-    def chosen(owner: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ok = place[code] >= 0
-        return owner[ok], place[code[ok]]
 
-    owner, column = chosen(owner, code)
-    lose, lose_column = chosen(*_flat([p for p, _ in twins]))
-    gain, gain_column = chosen(*_flat([m for _, m in twins]))
-    size = len(features)
+def _chooser(features: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for column in batch.columns[1:]:
+                flat = column.flatten().to_numpy(zero_copy_only=False)
+                at = np.searchsorted(features, flat)
+                ok = features[np.minimum(at, len(features) - 1)] == flat if len(features) else np.zeros(len(flat), bool)
+                ends = np.concatenate([[0], np.cumsum(ok)])[np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))])]
+                kept.append(list_column(at[ok].astype(np.int32), ends, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *kept], names=batch.schema.names)
+
+    return run
+
+
+def objective(
+    w: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, twins: list[tuple[np.ndarray, np.ndarray]], fairness: float, l2: float
+) -> tuple[float, np.ndarray]:
+    """Mean logistic loss, ``l2 / 2`` times the squared weights and ``fairness`` times the mean squared change of twins' scores; its gradient.
+
+    ``w`` has the weight of each feature, then the intercept; a twin is what it loses and what it gains.
+    """
+    return _objective(w, _flat(rows), labels, _flat([p for p, _ in twins]), _flat([m for _, m in twins]), len(twins), fairness, l2)
+
+
+def _objective(w, flat, labels, lose, gain, n_twins, fairness, l2) -> tuple[float, np.ndarray]:
+    size, total = len(w) - 1, max(len(labels), 1)
 
     def sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
         return np.bincount(at, weights=values, minlength=n).astype(float)  # of nothing, it counts in integers
 
-    w = np.append(np.zeros(size), np.log((yes + 1) / (total - yes + 1)))
+    owner, column = flat
+    z = w[-1] + sums(owner, w[column], len(labels))
+    value = (np.logaddexp(0, z) - labels * z).sum() / total + l2 / 2 * (w[:-1] ** 2).sum()
+    g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / total
+    grad = np.append(sums(column, g[owner], size) + l2 * w[:-1], g.sum())
+    if n_twins:
+        change = sums(lose[0], w[lose[1]], n_twins) - sums(gain[0], w[gain[1]], n_twins)
+        value += fairness * (change**2).sum() / n_twins
+        change = 2 * fairness / n_twins * change
+        grad[:-1] += sums(lose[1], change[lose[0]], size) - sums(gain[1], change[gain[0]], size)
+    return value, grad
+
+
+def fit(
+    features: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, twins: list[tuple[np.ndarray, np.ndarray]], *,
+    fairness: float = 1.0, l2: float = 2e-5, steps: int = 300, rate: float = 0.05,
+) -> Model:
+    """Model from numbers of chosen features in each row, labels, and what twins lose and gain against each other."""
+    flat, lose, gain = _flat(rows), _flat([p for p, _ in twins]), _flat([m for _, m in twins])
+    yes, size = labels.sum(), len(features)
+    w = np.append(np.zeros(size), np.log((yes + 1) / (len(labels) - yes + 1)))
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for i in range(1, steps + 1):
-        z = w[-1] + sums(owner, w[column], total)
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / max(total, 1)
-        grad = np.append(sums(column, g[owner], size) + l2 * w[:-1], g.sum())
-        if twins:
-            change = sums(lose, w[lose_column], len(twins)) - sums(gain, w[gain_column], len(twins))
-            change *= 2 * fairness / len(twins)
-            grad[:-1] += sums(lose_column, change[lose], size) - sums(gain_column, change[gain], size)
+        grad = _objective(w, flat, labels, lose, gain, len(twins), fairness, l2)[1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w = w - rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-9)
     return Model(features, w[:-1], float(w[-1]))
@@ -185,18 +211,30 @@ def learn(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int
     )
     given = plain.join(F.broadcast(wanted), "doc_id").select("label", "text")  # bounded by 2 * rows
     kinds = "label int, x array<int>, plus array<int>, minus array<int>"
-    table = given.mapInArrow(_featurer(), kinds).toArrow()
+    found = cut(given.mapInArrow(_featurer(), kinds), "features")
+    n = {r["label"]: r["count"] for r in found.groupBy("label").count().collect()}
+    yes, total = n.get(1, 0), sum(n.values())
+    if not yes or yes == total:
+        return Model(np.zeros(0, np.int64), np.zeros(0), 0.0 if not total else (5.0 if yes else -5.0))
+    met = found.select("label", F.explode("x").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("n1"))
+    good = met.filter((F.col("n") >= LEAST_ROWS) & (apart(F.col("n"), F.col("n1"), total, yes) > LEAST_Z))
+    features = np.array(sorted(r["code"] for r in good.select("code").collect()), np.int64)  # 2**BITS at most
+    table = found.mapInArrow(_chooser(features), kinds).toArrow()  # chosen features of 2 * rows texts
     x = [np.asarray(v, np.int32) for v in table.column("x").to_numpy()]
     y = table.column("label").to_numpy().astype(float)
     order = sorted(range(len(y)), key=lambda i: (y[i], x[i].tobytes()))  # the order of rows must not matter
     twins = [
-        (np.array(p), np.array(m)) for p, m in zip(table.column("plus").to_pylist(), table.column("minus").to_pylist(), strict=True) if p
+        (np.array(p, np.int32), np.array(m, np.int32)) for p, m in zip(table.column("plus").to_pylist(), table.column("minus").to_pylist(), strict=True) if p or m
     ]
     twins.sort(key=lambda t: (t[0].tobytes(), t[1].tobytes()))
-    twins += [(_term_features(a), _term_features(b)) for row in IDENTITY_TERMS for a, b in zip(row, (*row[1:], row[0]), strict=True)]
-    if not len(y) or y.min() == y.max():
-        return Model(np.zeros(0, np.int64), np.zeros(0), 0.0 if not len(y) else (5.0 if y[0] else -5.0))
-    return fit([x[i] for i in order], y[order], twins, fairness=fairness)
+
+    def chosen(term: str) -> np.ndarray:
+        code = _term_features(term)
+        at = np.minimum(np.searchsorted(features, code), max(len(features) - 1, 0))
+        return at[features[at] == code].astype(np.int32) if len(features) else np.zeros(0, np.int32)
+
+    twins += [(chosen(a), chosen(b)) for row in IDENTITY_TERMS for a, b in zip(row, (*row[1:], row[0]), strict=True)]
+    return fit(features, [x[i] for i in order], y[order], twins, fairness=fairness)
 
 
 def _scorer(model: Model, threshold: float):

@@ -555,24 +555,138 @@ def test_quality(spark):
     assert pu_quality.classify(docs.limit(0), labels).count() == 0
 
 
-def test_pipeline(spark, docs, rows, tmp_path):
+def brute_near_duplicates(rows):
+    sets = {}
+    for i, t in rows:
+        sets.setdefault(i, []).append(shingles(t, 5))
+    ids = sorted(sets)
+    links = [
+        (a, b) for a in ids for b in ids
+        if a < b and any(x and 100 * len(x & y) >= 80 * len(x | y) for x in sets[a] for y in sets[b])
+    ]
+    least = reach(ids, links)
+    return [r for r in dict.fromkeys(rows) if least[r[0]] == r[0]]
+
+
+def brute_passages(rows, width=20):
+    seen, out = set(), []
+    for i, t in sorted(rows):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        gone = set()
+        for s in range(len(w) - width + 1):
+            window = tuple(w[s : s + width])
+            if window in seen:
+                gone |= set(range(s, s + width))
+            seen.add(window)
+        if not w or len(gone) < len(w):
+            out.append((i, " ".join(x for j, x in enumerate(w) if j not in gone) if gone else t))
+    return out
+
+
+def brute_mix(rows, source_of):
+    lines = {}
+    for i, t in rows:
+        lines.setdefault(source_of[i], []).append((hashlib.md5(f"17/{i}".encode()).hexdigest(), i, t))
+    names = sorted(s for s in lines if s is not None) + [None] * (None in lines)
+    sizes = {s: sum(len(re.findall(r"[^\x20\x09-\x0D]+", t)) for _, _, t in lines[s]) for s in names}
+    total, goal, open_ = sum(sizes.values()), {}, {s: 1 + n % 3 for n, s in enumerate(names)}
+    while open_:
+        level = (total - sum(goal.values())) / sum(open_.values())
+        full = [s for s in open_ if open_[s] * level > 3 * sizes[s]]
+        for s in full or list(open_):
+            goal[s] = 3.0 * sizes[s] if full else open_[s] * level
+            del open_[s]
+    out = []
+    for s in names:
+        left = int(goal[s] + 0.5)
+        while left > 0:  # one lap of the source's line
+            for _, i, t in sorted(lines[s]):
+                w = re.findall(r"[^\x20\x09-\x0D]+", t)
+                if w and left > 0:
+                    out.append((i, t if len(w) <= left else " ".join(w[:left])))
+                    left -= len(w)
+    return out
+
+
+def test_pipeline_against_brute_force(spark, docs, rows, tmp_path):
+    from tokenizers import Tokenizer
+
     import corpus_pipeline
 
-    plain = docs.select(*corpus_pipeline.COLUMNS)
+    plain = docs.filter("doc_id is not null and text is not null").select(*corpus_pipeline.COLUMNS)
     plain.write.parquet(f"{tmp_path}/documents.parquet")
-    labels = [(i, 1, 0) for i, _ in rows if i is not None and i % 2]
-    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    kept = plain
-    for name, stage in corpus_pipeline.STAGES[1:-1]:
-        before, kept = kept, stage(spark, kept, str(tmp_path))
-        assert tuple(kept.columns) == corpus_pipeline.COLUMNS, name
-        gone = kept.join(before.select("doc_id").distinct(), "doc_id", "left_anti").filter("doc_id is not null").count()
-        assert gone == 0
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
-    groups = minhash.near_duplicates(plain).filter("doc_id is not null and not kept").select("doc_id").distinct().count()
-    assert plain.filter("doc_id is not null").select("doc_id").distinct().count() - groups == (
-        corpus_pipeline.drop_near_duplicates(spark, plain, "").filter("doc_id is not null").select("doc_id").distinct().count()
-    )
+    labels = spark.createDataFrame([(i, 1, 0) for i, _ in rows if i is not None and i % 2], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    good = {r["doc_id"] for r in pu_quality.classify(plain, labels).filter("predicted = 1").collect()}
+    source_of = {r["doc_id"]: r["source"] for r in plain.collect()}
+    kept = brute_passages(brute_near_duplicates([(i, t) for i, t in rows if i in good and t is not None]))
+    tokenizer, want = Tokenizer.from_file(tokenizer_path()), []
+    for i, t in brute_mix(kept, source_of):
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 2]
+        edges = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
+        want += [(i, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(tuple(r)[:5] for r in found) == sorted(want)
+    places = {}
+    for r in found:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for held in places.values():
+        ends = [a + n for a, n in sorted(held)]
+        assert [a for a, _ in sorted(held)] == [0, *ends[:-1]] and ends[-1] <= 1024
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    wide = docs.select("*", F.lit("z").alias("lap"), F.lit("z").alias("slot"))
+    spark.createDataFrame([(1, 1, 0), (3, 1, 0), (5, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        whole, none = stage(spark, wide, str(tmp_path)), stage(spark, wide.limit(0), str(tmp_path))
+        if name != "packing":
+            assert tuple(whole.columns) == corpus_pipeline.COLUMNS, name
+        assert whole.count() > 0 and none.count() == 0, name
+    twice = wide.filter("doc_id in (3, 5)").unionAll(wide.filter("doc_id = 3"))
+    assert corpus_pipeline.drop_near_duplicates(spark, twice, "").groupBy("doc_id", "text").count().filter("count > 1").count() == 0
+
+
+def slopes(value, w, at):
+    step = np.zeros(len(w))
+    step[at] = 1e-6
+    return (value(w + step) - value(w - step)) / 2e-6
+
+
+def test_gradients_against_finite_differences():
+    rng = np.random.default_rng(7)
+    bp, bu = rng.integers(0, 18, (40, 3)), rng.integers(12, 30, (60, 3))
+    signs = set()
+    for lean, prior in ((0.0, 0.3), (2.0, 0.9), (-2.0, 0.2)):
+        w = rng.normal(size=31) * 0.5 + lean * np.append(np.where(np.arange(30) < 15, 1, -1), 0)
+        zp, zu = w[bp].sum(axis=1) + w[-1], w[bu].sum(axis=1) + w[-1]
+        negative = sum(np.log1p(np.exp(z)) for z in zu) / 60 - prior * sum(np.log1p(np.exp(z)) for z in zp) / 40
+        signs.add(negative > 0)
+        value, grad = pu_quality.non_negative_risk(w, bp, bu, prior)
+        assert abs(value - prior * sum(np.log1p(np.exp(-z)) for z in zp) / 40 - max(0, negative)) < 1e-9
+        assert all(abs(slopes(lambda x: pu_quality.non_negative_risk(x, bp, bu, prior)[0], w, i) - grad[i]) < 1e-5 for i in range(31))
+    assert signs == {True, False}
+    rows = [np.unique(rng.integers(0, 20, rng.integers(0, 9))) for _ in range(50)]
+    twins = [(np.array([1, 2]), np.array([3])), (np.zeros(0, int), np.array([5])), (np.array([4, 4]), np.zeros(0, int))]
+    labels, w = rng.integers(0, 2, 50).astype(float), rng.normal(size=21)
+    value, grad = toxicity.objective(w, rows, labels, twins, 0.7, 0.01)
+    z = [w[r].sum() + w[-1] for r in rows]
+    loss = sum(np.log1p(np.exp(-a if y else a)) for a, y in zip(z, labels)) / 50 + 0.005 * (w[:-1] ** 2).sum()
+    assert abs(value - loss - 0.7 * sum((w[p].sum() - w[m].sum()) ** 2 for p, m in twins) / 3) < 1e-9
+    assert all(abs(slopes(lambda x: toxicity.objective(x, rows, labels, twins, 0.7, 0.01)[0], w, i) - grad[i]) < 1e-5 for i in range(21))
+
+
+def test_prior_by_the_best_bin():
+    rng = np.random.default_rng(8)
+    positive, others = rng.normal(2, 1, 4000), rng.normal(-2, 1, 14_000)
+    mixed = np.concatenate([rng.normal(2, 1, 6000), others])
+    cuts = pu_quality.prior_cuts(positive)
+    counts = np.array([sum((mixed >= a) & (mixed < b)) for a, b in zip([-np.inf, *cuts], [*cuts, np.inf])])
+    best = min(np.mean(mixed >= c) / np.mean(positive >= c) for c in cuts)
+    assert best <= pu_quality.estimate_prior(positive, cuts, counts) + 1e-9
+    assert abs(pu_quality.estimate_prior(positive, cuts, counts) - 0.3) < 0.03
 
 
 def test_quality_stage_keeps_clean_documents(spark, tmp_path):
