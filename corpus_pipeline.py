@@ -12,26 +12,47 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm import minhash, mixing, packing, pu_quality, superkmer
 from tallyloom.llm.queries import tokenizer_path
-from tallyloom.llm.shared import cut
+from tallyloom.llm.shared import cut, small_or_plain
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject (score of 0.3 or more), unchanged.
+
+    Null and empty texts are scored as texts without words; very long ones whole. Repeated rows
+    and rows of one id are judged each by its text; a null id is never learned from. Without
+    labels every score is 0.5, so all stay. An empty table gives an empty one. Columns other
+    than those of documents are dropped.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = pu_quality.classify(docs, labels, keep=COLUMNS[1:])
     return scored.filter("predicted = 1").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of smallest id, of each near-duplicate group."""
+    """One document, that of smallest id, of each near-duplicate group of five-word shingles at 0.8, unchanged.
+
+    Texts without words are no duplicates of each other and stay. Of rows that repeat both id and
+    text one stays; other texts of a kept id stay. Rows with a null id take no part and stay.
+    An empty table gives an empty one. Columns other than those of documents are dropped.
+    """
     groups = minhash.near_duplicates(docs, words=5, percent=80)
-    return docs.join(groups.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    gone = groups.filter("not kept").select("doc_id").distinct()
+    rest = docs.join(small_or_plain(gone), "doc_id", "left_anti").select(*COLUMNS)
+    repeated = small_or_plain(docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"))
+    once = rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return rest.join(repeated, "doc_id", "left_anti").unionByName(once)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that stand earlier; those with nothing left go."""
+    """Documents without the 20-word passages that stand earlier; those with nothing left go.
+
+    A text that loses words has those left, joined by single spaces, and ``n_chars`` counts them;
+    others are unchanged, also null, empty and very long ones. Rows that repeat id and text are
+    one document; null ids come last. An empty table gives an empty one. Columns other than
+    those of documents are dropped.
+    """
     cleaned = superkmer.remove_repeats(docs, width=20, keep=COLUMNS[2:], with_text=True)
     cleaned = cleaned.filter("n_words = 0 or n_removed < n_words")
     length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
@@ -52,7 +73,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces placed in sequences of 1024 tokens."""
+    """Token pieces placed in sequences of 1024 tokens: the columns of ``packing.pack``.
+
+    A null or empty text is its end token alone; very long texts become many pieces. Repeated rows
+    and null ids are packed each; an empty table gives no pieces. Other columns are dropped.
+    """
     return packing.pack(docs, tokenizer_path(), limit=1024, end=2)
 
 
