@@ -4,11 +4,13 @@ All rolling word k-gram hashes of all documents are joined to the positions of t
 k-grams in a fixed set of license templates. A match at word ``i`` of a document and word
 ``j`` of a template votes for the diagonal ``i - j``; votes are summed by document, template
 and diagonal. Neighbouring diagonals (words inserted or left out) are merged to spans, and
-the words of each span are then compared with the template's.
+the words of each span are then compared with the template's. The votes asked for are as
+many as stay when so many words are replaced, however scattered, that ``COVER`` just holds.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -126,9 +128,22 @@ _SCAN = "doc_id long, tag long, n_words long, n_base long, first_word long, last
 
 
 def verify(words: list[bytes], template: list[bytes]) -> float:
-    """Share of the template's words that stand, in order, in a span of words."""
-    blocks = SequenceMatcher(None, template, words, autojunk=False).get_matching_blocks()
-    return sum(b.size for b in blocks) / len(template)
+    """Share of the template's words that stand, in order, in a span of words.
+
+    Spans of over three times the template are gone over in windows of twice its length.
+    """
+    n = len(template)
+    starts = [0] if len(words) <= 3 * n else range(0, len(words), max(1, n // 2))
+    best = 0
+    for at in starts:
+        part = words if len(words) <= 3 * n else words[at : at + 2 * n]
+        best = max(best, sum(b.size for b in SequenceMatcher(None, template, part, autojunk=False).get_matching_blocks()))
+    return best / n
+
+
+def least_votes(length: int, k: int = K) -> int:
+    """k-grams that a template of ``length`` words shares at least with a text in which so many words are replaced that ``COVER`` just holds."""
+    return max(1, length - k + 1 - k * (length - math.ceil(COVER * length)))
 
 
 def _verifier(templates):
@@ -159,13 +174,13 @@ def _verifier(templates):
 
 
 def spans(scanned: DataFrame, templates=TEMPLATES, k: int = K) -> DataFrame:
-    """Merged diagonals: ``doc_id, tag, template, low, high, votes``."""
+    """Merged diagonals: ``doc_id, tag, template, low, high, votes``; repeated rows vote once."""
     known = F.broadcast(template_grams(scanned.sparkSession, templates, k))
-    lengths = F.array(*[F.lit(len(text.split())) for _, text in templates])
+    needed = F.array(*[F.lit(least_votes(len(text.split()), k)) for _, text in templates])
     rolling = scanned.select("doc_id", "tag", F.posexplode("grams").alias("i", "gram"))
     votes = (
         rolling.join(known, "gram").groupBy("doc_id", "tag", "template", (F.col("i") - F.col("at")).alias("diagonal"))
-        .agg(F.count(F.lit(1)).alias("votes"))
+        .agg(F.count_distinct("at").alias("votes"))
     )
     along = Window.partitionBy("doc_id", "tag", "template").orderBy("diagonal")
     opens = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > DRIFT, F.lit(True)).cast("int")
@@ -174,8 +189,7 @@ def spans(scanned: DataFrame, templates=TEMPLATES, k: int = K) -> DataFrame:
         .groupBy("doc_id", "tag", "template", "island")
         .agg(F.min("diagonal").alias("low"), F.max("diagonal").alias("high"), F.sum("votes").alias("votes"))
     )
-    enough = F.ceil((F.element_at(lengths, F.col("template") + 1) - k + 1) * F.lit(COVER / 2))
-    return merged.filter(F.col("votes") >= enough).drop("island")
+    return merged.filter(F.col("votes") >= F.element_at(needed, F.col("template") + 1)).drop("island")
 
 
 def scan_licenses(docs: DataFrame, *, templates=TEMPLATES, k: int = K) -> DataFrame:

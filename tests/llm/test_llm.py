@@ -399,6 +399,44 @@ def test_licenses(spark):
     assert by_id[5]["labels"] == "mit-grant" and by_id[6]["labels"] == "" and "cc-by-nc" in by_id[7]["labels"]
 
 
+def common_words(a, b):
+    """Longest common subsequence, by the plain table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_licenses_against_brute_force(spark):
+    rng = random.Random(11)
+    texts, planted = [], []
+    for n, (label, template) in enumerate(licenses.TEMPLATES * 3):
+        w = template.split()
+        for j in rng.sample(range(len(w)), int(len(w) * (0, 0.12, 0.25)[n // len(licenses.TEMPLATES)])):
+            w[j] = f"zz{j}"
+        texts.append(" ".join(words_of(rng, rng.randrange(0, 40)) + w + words_of(rng, rng.randrange(0, 40))))
+        planted.append(label)
+    for _ in range(30):  # words of templates in no order, and many notices in one text
+        texts.append(" ".join(rng.choice(rng.choice(licenses.TEMPLATES)[1].split()) for _ in range(80)))
+    texts.append(" ".join(f"{t} x y" for _, t in licenses.TEMPLATES[:3] * 40))
+    texts.append("the software is " * 300)
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[0]), (0, texts[0])], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in licenses.scan_licenses(docs).collect()}
+    for i, text in enumerate(texts):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)
+        own = set(found[i]["labels"].split(",")) - set(found[i]["base_labels"].split(",")) - {""}
+        for label in own:
+            share = max(common_words(t.split(), words) / len(t.split()) for name, t in licenses.TEMPLATES if name == label)
+            assert share >= licenses.COVER, (i, label, share)
+        if i < len(planted):
+            assert planted[i] in own and found[i]["score"] >= licenses.COVER, (i, planted[i])
+    assert found[None]["labels"] == found[0]["labels"]
+    assert licenses.scan_licenses(docs.limit(0)).count() == 0
+
+
 def vectors(spark, rows):
     return spark.createDataFrame([(*r, "z", "z") for r in rows], "vec_id long, embedding array<float>, label int, id string, x string")
 
