@@ -4,7 +4,8 @@ Trusted positives are rows labelled 1; everything else a corpus holds is unlabel
 prior is estimated from the two by the best-bin rule: for any region the share of unlabelled
 rows in it is at least the prior times the share of positives, so the least upper bound of
 the ratio over the score's upper tails is taken. The model is an additive one over binned
-text statistics, trained on ``prior * R+ + max(0, Ru- - prior * R-)`` and its gradient.
+text statistics that minimises ``prior * R+ + max(0, Ru- - prior * R-)`` by the estimator's own
+rule: along its gradient, and where the negative part is below 0, back along that part alone.
 
 Scores are posterior probabilities of label 1. The rows of the gradient steps are a bounded
 sample; the prior's histogram and the scores are each one pass over every whole text.
@@ -152,16 +153,17 @@ def _back(b: np.ndarray, g: np.ndarray, size: int) -> np.ndarray:
 
 
 def non_negative_risk(w: np.ndarray, bp: np.ndarray, bu: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
-    """``prior * R+ + max(0, Ru- - prior * R-)`` under the logistic loss, and its gradient.
+    """``prior * R+ + max(0, Ru- - prior * R-)`` under the logistic loss, and the gradient that a step follows.
 
-    ``w`` has a weight for each bin, then the intercept; ``bp`` and ``bu`` the bins of positives and unlabelled.
+    That is the gradient of ``prior * R+ + Ru- - prior * R-``; where the negative part is below 0,
+    the reversed gradient of this part alone, which leads back to where it is not. ``w`` has a
+    weight for each bin, then the intercept; ``bp`` and ``bu`` the bins of positives and unlabelled.
     """
     zp, zu = w[bp].sum(axis=1) + w[-1], w[bu].sum(axis=1) + w[-1]
     negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-    gradient = _back(bp, prior * (_sigmoid(zp) - 1) / len(bp), len(w) - 1)
-    if negative > 0:
-        gradient += _back(bu, _sigmoid(zu) / len(bu), len(w) - 1) - _back(bp, prior * _sigmoid(zp) / len(bp), len(w) - 1)
-    return prior * np.logaddexp(0, -zp).mean() + max(0.0, negative), gradient
+    value = prior * np.logaddexp(0, -zp).mean() + max(0.0, negative)
+    back = _back(bu, _sigmoid(zu) / len(bu), len(w) - 1) - _back(bp, prior * _sigmoid(zp) / len(bp), len(w) - 1)
+    return value, _back(bp, prior * (_sigmoid(zp) - 1) / len(bp), len(w) - 1) + back if negative >= 0 else -back
 
 
 def fit_rough(positive: np.ndarray, unlabelled: np.ndarray, *, steps: int = 400, rate: float = 0.15, l2: float = 1.0) -> Model:
