@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 from functools import reduce
+from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,8 +13,20 @@ from pyspark.sql import functions as F
 SPACE = r"\s\u0085   -     　\x1C-\x1F"
 #: All white space, for trimming.
 WHITE = "".join(map(chr, [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]))
-_ACCENTED = "ÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝáàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
-_PLAIN = "AAAAAAEEEEIIIIOOOOOUUUUNCYaaaaaaeeeeiiiiooooouuuuncyy"
+#: Blocks whose characters lose accents and compatibility forms: Latin, Greek, Cyrillic, marks, small digits, ligatures, full width.
+_BLOCKS = (range(0xA0, 0x250), range(0x300, 0x530), range(0x1E00, 0x2000), range(0x2070, 0x20A0), range(0xFB00, 0xFB07), range(0xFF01, 0xFF5F))
+
+
+def _plain_forms() -> dict[str, str]:
+    """Compatibility decomposition without combining characters, where it differs."""
+    forms = {c: "".join(d for d in unicodedata.normalize("NFKD", c) if not unicodedata.combining(d)) for c in map(chr, chain(*_BLOCKS))}
+    return {c: form for c, form in forms.items() if form != c}
+
+
+_FORMS = _plain_forms()
+_LONG = {c: form for c, form in _FORMS.items() if len(form) > 1}
+_ONE = sorted((c for c in _FORMS if c not in _LONG), key=lambda c: _FORMS[c] == "")  # those that vanish last
+_ACCENTED, _PLAIN = "".join(_ONE), "".join(_FORMS[c] for c in _ONE)
 
 
 def once(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -36,9 +50,13 @@ def first_contained(text: Column, words: tuple[str, ...]) -> Column:
 
 
 def normal_token(text: Column) -> Column:
-    """Upper case, without Latin accents and without ``.,:;-$()`` at the ends."""
-    plain = F.regexp_replace(F.translate(text, _ACCENTED, _PLAIN), r"\p{M}", "")
-    return F.upper(F.btrim(plain, F.lit(".,:;-$()")))
+    """Upper case in plain characters, without ``.,:;-$()`` at the ends.
+
+    Accents and compatibility forms of the blocks above are undone; other scripts stay as they are.
+    """
+    spelled = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(_LONG[c])), _LONG, text)
+    whole = F.when(text.rlike(f"[{''.join(_LONG)}]"), spelled).otherwise(text)
+    return F.upper(F.btrim(F.translate(whole, _ACCENTED, _PLAIN), F.lit(".,:;-$()")))
 
 
 def tokens(text: Column) -> Column:

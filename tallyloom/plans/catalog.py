@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.functions import images
 from tallyloom.functions.money import parse_clp
-from tallyloom.operators import attempts, checks, confidence, fields, pipeline, products, state, ted, validation, words
+from tallyloom.functions.text import normal_token
+from tallyloom.operators import attempts, checks, confidence, fields, pages, pipeline, products, state, ted, validation, words
 from tallyloom.sources import render
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,7 +171,9 @@ def _peso(x: str) -> str:
 # Every line of every receipt, its words with a confidence in each of three attempts, and the confidences of the values.
 _LINES_SQL = f"""
 lines AS (
-  SELECT k, 0 AS p, 0 AS n, 0 AS j, comercio AS line FROM truth
+  SELECT k, -1 AS p, 0 AS n, 0 AS j, CASE k % 8 WHEN 3 THEN 'R.U.T. EMISOR' WHEN 7 THEN '=====' ELSE 'CASA MATRIZ' END AS line FROM truth WHERE k % 8 IN (2, 3, 7)
+  UNION ALL SELECT k, 4, 1, 0, 'CANT    DESCRIPCION    PRECIO TOTAL' FROM truth WHERE k % 6 = 4
+  UNION ALL SELECT k, 0 AS p, 0 AS n, 0 AS j, comercio AS line FROM truth
   UNION ALL SELECT k, 1, 0, 0, 'RUT 76.543.210-5' FROM truth
   UNION ALL SELECT k, 2, 0, 0, 'BOLETA ELECTRONICA N ' || folio FROM truth
   UNION ALL SELECT k, 3, 0, 0, 'RESOLUC. EX. SII 80 DEL 22-08-2014' FROM truth WHERE k % 3 = 0
@@ -547,3 +551,84 @@ def response_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = ted.enrich(attempts.best_attempt(checks.evaluate(rows)), printed)
     source = F.when(F.col("doc_id") % 2 == 0, "camera").otherwise("file")
     return pipeline.to_json(state.respond(state.classify(best.withColumn("source", source))))
+
+
+_FIXED_SQL = _ATTEMPTS_SQL.replace("AS failed", "AS failed, o_orderkey % 5 IN (1, 3) AS lying", 1)
+
+
+@query(
+    f"""WITH {_FIXED_SQL},
+x AS (SELECT doc_id FROM a WHERE attempt = 0 AND lying AND NOT failed AND score < 13000 AND sharp >= 15),
+f AS (SELECT a.doc_id, attempt, x.doc_id IS NOT NULL AS fixed, CASE WHEN fixed THEN (general + 40) % 101 ELSE general END AS general, missing,
+  CASE WHEN fixed THEN a.doc_id % 7 = 0 ELSE failed END AS failed, CASE WHEN fixed THEN (score + 3000) % 15000 ELSE score END AS score, sharp FROM a LEFT JOIN x USING (doc_id) WHERE attempt < 3),
+s AS (SELECT *, min(CASE WHEN NOT failed AND ((general >= 70 AND NOT missing) OR score >= 13000) THEN attempt END) OVER (PARTITION BY doc_id) AS stop FROM f),
+m AS (SELECT *, CASE WHEN sharp < 15 THEN 0 ELSE coalesce(stop + 1, 3) END AS made FROM s)
+SELECT doc_id, CAST(arg_min(attempt, (101 - general) * 10 + attempt) FILTER (WHERE attempt < made AND NOT failed) AS INT) AS attempt,
+  max(general) FILTER (WHERE attempt < made AND NOT failed) AS confianza_general, CAST(made AS INT) AS attempts_made FROM m GROUP BY doc_id, made"""
+)
+def axis_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best attempts when documents that lie on their side are turned and read anew."""
+    tries = _attempts(spark, sf_dir).drop("elapsed_s")
+    turns = F.when(F.col("o_orderkey") % 5 == 4, None).otherwise(F.col("o_orderkey") % 5 * 90 % 360)
+    told = render.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), turns.alias("rotate"))
+    again = tries.withColumns(
+        {"confianza_general": (F.col("confianza_general") + 40) % 101, "score": (F.col("score") + 3000) % 15000, "failed": F.col("doc_id") % 7 == 0}
+    )
+    fixed = attempts.with_fixes(tries, again, attempts.axis_fixes(tries, told))
+    return attempts.best_attempt(fixed).select("doc_id", "attempt", "confianza_general", "attempts_made")
+
+
+_PIXELS_SQL = """
+v AS (SELECT c_custkey AS k, i, j, c_custkey * 7 + i * i * 31 + j * 13 * (c_custkey % 5) + i * j * 5 AS v FROM customer, range(12) a(i), range(8) b(j)),
+px AS (SELECT k, i, j, CASE WHEN k % 3 = 0 THEN (v % 256 * 1868 + (v + 40) % 256 * 9617 + (v + 80) % 256 * 4899 + 8192) // 16384 ELSE v % 256 END AS g FROM v),
+hist AS (SELECT k, g, count(*) AS n FROM px GROUP BY ALL),
+cuts AS (SELECT k, t, coalesce(sum(n) FILTER (WHERE g <= t), 0) AS w, coalesce(sum(n * g) FILTER (WHERE g <= t), 0) AS m, sum(n * g) AS mm FROM hist, range(256) r(t) GROUP BY ALL),
+otsu AS (SELECT k, t FROM cuts QUALIFY row_number() OVER (PARTITION BY k ORDER BY CASE WHEN w IN (0, 96) THEN 0.0::DOUBLE
+  ELSE CAST(mm * w - m * 96 AS DOUBLE) * CAST(mm * w - m * 96 AS DOUBLE) / CAST(w * (96 - w) AS DOUBLE) END DESC, t) = 1)
+"""
+
+
+@query(
+    f"""WITH {_PIXELS_SQL},
+grid AS (SELECT k, list(g ORDER BY i, j) AS a FROM px GROUP BY k),
+lap AS (SELECT k, a[abs(i - 1) * 8 + j + 1] + a[(11 - abs(10 - i)) * 8 + j + 1] + a[i * 8 + abs(j - 1) + 1] + a[i * 8 + 7 - abs(6 - j) + 1] - 4 * a[i * 8 + j + 1] AS d
+  FROM grid, range(12) y(i), range(8) x(j)),
+sharp AS (SELECT k, CAST(96 * sum(d * d) - sum(d) * sum(d) AS BIGINT) AS nitidez_9216 FROM lap GROUP BY k),
+ink AS (SELECT k, i, j, g <= t AS dark FROM px JOIN otsu USING (k)),
+r AS (SELECT k, sum(n) AS s, 12 * sum(n * n) - sum(n) * sum(n) AS q FROM (SELECT k, count(*) FILTER (WHERE dark) AS n FROM ink GROUP BY k, i) GROUP BY k),
+c AS (SELECT k, 8 * sum(n * n) - sum(n) * sum(n) AS q FROM (SELECT k, count(*) FILTER (WHERE dark) AS n FROM ink GROUP BY k, j) GROUP BY k)
+SELECT k AS doc_id, nitidez_9216, CAST(t AS INT) AS otsu, round(sqrt(CAST(r.q AS DOUBLE)) / s, 9) AS line_score, CAST(CASE WHEN c.q > r.q THEN 90 ELSE 0 END AS INT) AS rotation
+FROM sharp JOIN otsu USING (k) JOIN r USING (k) JOIN c USING (k)"""
+)
+def image_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sharpness, Otsu's threshold, evenness of rows and rotation of small images."""
+    return render.page_images(spark, sf_dir).select(
+        "doc_id", F.round(images.sharpness_of("image") * 9216).cast("long").alias("nitidez_9216"), images.otsu_of("image").alias("otsu"),
+        F.round(images.line_score_of("image"), 9).alias("line_score"), images.rotation_of("image").alias("rotation"),
+    )
+
+
+@query(
+    f"""WITH {_PIXELS_SQL},
+p AS (SELECT k, g, t, k % 4 IN (1, 3) AS lying, CASE k % 4 WHEN 1 THEN j * 12 + 11 - i WHEN 3 THEN (7 - j) * 12 + i ELSE i * 8 + j END AS spot FROM px JOIN otsu USING (k)),
+s AS (SELECT * FROM p, (VALUES (0, 'gris'), (1, 'gris_rotada_180'), (2, 'binaria')) w(attempt, strategy))
+SELECT k AS doc_id, CAST(attempt AS INT) AS attempt, strategy, CAST(CASE WHEN lying THEN 8 ELSE 12 END AS INT) AS h, CAST(CASE k % 4 WHEN 1 THEN 90 WHEN 3 THEN 270 ELSE 0 END AS INT) AS rotation,
+  string_agg(printf('%02X', CASE WHEN attempt < 2 THEN g WHEN g > t THEN 255 ELSE 0 END), '' ORDER BY CASE attempt WHEN 1 THEN 95 - spot ELSE spot END) AS pixels FROM s GROUP BY ALL"""
+)
+def attempt_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each attempt reads of small pages, some turned on their axis first."""
+    made = pages.prepare(render.page_images(spark, sf_dir))
+    degrees = F.when(F.col("doc_id") % 4 == 1, 90).when(F.col("doc_id") % 4 == 3, 270)
+    read = pages.readings(pages.turned(made, degrees))
+    return read.select("doc_id", "attempt", "strategy", "image.h", "rotation", F.hex("image.data").alias("pixels"))
+
+
+@query(
+    f"""WITH w AS (SELECT unnest(regexp_extract_all(text, '[^\\s]+')) AS t FROM documents)
+SELECT replace({_TOKEN.format("t")}, 'ẞ', 'SS') AS token, count(*) AS n FROM w GROUP BY ALL"""
+)
+def token_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normal forms of the words of documents, with their numbers."""
+    found = render.read(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\s]+"), F.lit(0))).alias("t"))
+    counted = found.groupBy("t").count().select(normal_token(F.col("t")).alias("token"), "count")
+    return counted.groupBy("token").agg(F.sum("count").alias("n"))

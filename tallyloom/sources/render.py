@@ -71,11 +71,13 @@ def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.substring("o_orderpriority", 1, 1).cast("int") - 1,
     )
     none = F.lit(None).cast("string")
+    above = F.when(key % 8 == 3, "R.U.T. EMISOR").when(key % 8 == 7, "=====").when(key % 8 == 2, "CASA MATRIZ")
     lines = F.concat(
         F.array(
-            F.concat(F.upper("s_name"), suffix), F.lit("RUT 76.543.210-5"), F.concat(F.lit("BOLETA ELECTRONICA N "), F.lpad(key.cast("string"), 6, "0")),
+            above, F.concat(F.upper("s_name"), suffix), F.lit("RUT 76.543.210-5"), F.concat(F.lit("BOLETA ELECTRONICA N "), F.lpad(key.cast("string"), 6, "0")),
             F.when(key % 3 == 0, F.lit("RESOLUC. EX. SII 80 DEL 22-08-2014")).otherwise(none),
             F.when(key % 11 != 0, F.concat(F.lit("FECHA: "), F.date_format("o_orderdate", "dd/MM/yyyy"))).otherwise(none),
+            F.when(key % 6 == 4, F.lit("CANT    DESCRIPCION    PRECIO TOTAL")).otherwise(none),
         ),
         F.flatten(F.transform("items", product)), totals, F.array(F.concat(F.lit("FORMA DE PAGO: "), method)), F.array(F.lit("GRACIAS POR SU COMPRA")),
     )
@@ -120,6 +122,20 @@ def receipt_words(spark: SparkSession, sf_dir: str, attempts: int = 3) -> DataFr
     )
 
 
+def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, image`` of every customer: 12 rows of 8 pixels, of three channels for every third."""
+    key = F.col("c_custkey")
+    channels = F.when(key % 3 == 0, 3).otherwise(1)
+
+    def pixel(p: Column) -> Column:
+        i, j, band = F.floor(p / (channels * 8)), F.floor(p / channels) % 8, p % channels
+        return F.lpad(F.hex((key * 7 + i * i * 31 + j * 13 * (key % 5) + i * j * 5 + band * 40) % 256), 2, "0")
+
+    data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), 96 * channels - 1), pixel), ""))
+    image = F.struct(F.lit(12).alias("h"), F.lit(8).alias("w"), channels.alias("c"), data.alias("data"))
+    return read(spark, sf_dir, "customer").select(key.alias("doc_id"), image.alias("image"))
+
+
 def stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, ted_text`` of every third order: a stamp's payload, cut off or empty for some."""
     key = F.col("o_orderkey")

@@ -1,12 +1,14 @@
 """Receipt operators on small hand-written cases."""
 
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
 from tallyloom import schemas
 from tallyloom.config import Settings
 from tallyloom.functions.money import parse_clp
-from tallyloom.functions.text import round1
+from tallyloom.functions.text import normal_token, round1
 from tallyloom.operators import attempts, checks, confidence, fields, pipeline, products, state, ted, validation, words
 
 
@@ -272,3 +274,31 @@ def test_field_confidence_none(spark):
 def test_penalty_cap(spark):
     r = scored(spark, (None, None, None, -1.0, [("a", -1.0, -1.0, None)] * 5), [])
     assert r["penalizacion"] == checks.MOST_PENALTY
+
+
+def test_axis_fix(spark):
+    rows = attempt_table(spark, [(1, 0, 10.0, 500.0, False), (1, 1, 20.0, 500.0, False), (2, 0, 30.0, 500.0, True), (3, 0, 40.0, 20000.0, False), (4, 0, 50.0, 1.0, False)])
+    told = spark.createDataFrame([(1, 90), (2, 270), (3, 90), (4, 180), (5, 90)], "doc_id long, rotate int")
+    fixes = attempts.axis_fixes(rows, told)
+    assert [tuple(r) for r in fixes.collect()] == [(1, 90)]
+    again = attempt_table(spark, [(1, 0, 90.0, 14000.0, False), (2, 0, 99.0, 1.0, False)])
+    out = attempts.with_fixes(rows, again, fixes)
+    assert sorted((r["doc_id"], r["attempt"], r["confianza_general"]) for r in out.collect()) == [(1, 0, 90.0), (2, 0, 30.0), (3, 0, 40.0), (4, 0, 50.0)]
+    best = {r["doc_id"]: r for r in attempts.best_attempt(out).collect()}
+    assert (best[1]["attempt"], best[1]["attempts_made"]) == (0, 1) and best[2]["attempt"] is None
+
+
+def attempt_table(spark, rows):
+    table = spark.createDataFrame(rows, "doc_id long, attempt int, confianza_general double, score double, failed boolean")
+    return table.withColumn("campos_faltantes", F.array().cast("array<string>"))
+
+
+def test_normal_tokens(spark):
+    raw = ["Ñandú.", "ﬁn", "½", "ＡＢＣ", "x²", "Łódź", "e\u0301te\u0301", "ệ", "Ǆ", "Ωμέγα", "--", "ªº", "ŉa", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in raw], "t string").select(normal_token(F.col("t"))).collect()]
+
+    def want(t):
+        plain = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+        return plain.strip(".,:;-$()").upper()
+
+    assert got == [None if t is None else want(t) for t in raw]
