@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.graph import components
+from tallyloom.llm.graph import stars
 from tallyloom.llm.shared import cut, spread_join
 
 #: Distinct vectors in a block at most, about.
@@ -179,9 +179,9 @@ def near_duplicates(
     links = tree.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(
         copies.filter("id <> node").select(F.col("id").alias("u"), F.col("node").alias("v"))
     )
-    reach = components(links)
+    reach = stars(links).toDF("id", "component")
     own = copies.select("id", "cls", "links").distinct().groupBy("id").agg(F.sum("links").alias("n"))
-    out = plain.select("id").join(own, "id", "left").join(reach.withColumnRenamed("node", "id"), "id", "left")
+    out = plain.select("id").join(own, "id", "left").join(reach, "id", "left")
     component = F.coalesce("component", "id")
     return out.select(
         F.col("id").alias("vec_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import cycle
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,23 +31,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``(node, component)`` of every node with a link; ``component`` is the smallest node reachable.
+def stars(links: DataFrame) -> DataFrame:
+    """``(u, v)`` of every node ``u`` but the smallest of its component, which is ``v``.
 
     ``links`` has long columns ``u`` and ``v`` in any order; self links and nulls are
     ignored, and an empty table gives an empty table. Large-star and small-star steps
     alternate until the graph is a forest of stars; each step ends in a written table, and the
     one before is removed. The neighbours of a node of very many links are dealt out over tasks.
+    Links found later may be added to the stars of those before: few steps are left then.
     """
     edges = (
         links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
     edges = cut(edges, "links")
+    steps = cycle((_large_star, _small_star))
     while not _is_star_forest(edges):
-        wide = cut(_large_star(edges), "stars")
+        moved = cut(next(steps)(edges), "stars")
         forget(edges)
-        edges = cut(_small_star(wide), "stars")
-        forget(wide)
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
-        edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
+        edges = moved
+    return edges

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.graph import components
+from tallyloom.llm.graph import stars
 from tallyloom.llm.shared import chunks, column_bytes, cut, forget, list_column, small_or_plain, spread_join
 from tallyloom.llm.words import U, mix, scan, shingle_sets
 
@@ -243,22 +243,20 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
         joined = spread_join(pairs.join(x, "u"), y, ["v"], F.col("u")).select("u", "v", "a", "b")
         return joined.mapInArrow(_verifier(words, percent), "u long, v long")
 
-    def labelled(links: DataFrame) -> DataFrame:
-        found = components(links)
-        return shared.join(found, "node", "left").select(
-            "h", "node", "low", "high", F.coalesce("component", "node").alias("component")
-        )
+    def labelled(reached: DataFrame) -> DataFrame:
+        found = shared.join(reached.toDF("node", "component"), "node", "left")
+        return found.select("h", "node", "low", "high", F.coalesce("component", "node").alias("component"))
 
     first = cut(shared.filter("node > low").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct(), "pairs")
-    links = cut(confirmed(first), "confirmed")
-    here = cut(labelled(links), "labelled")
+    reached = stars(confirmed(first))
+    here = cut(labelled(reached), "labelled")
     tops = here.filter("node = high").select("h", F.col("component").alias("top"))
     tops = tops.join(ends.select("h", "n"), "h")
     again = spread_join(here, tops, ["h"], F.col("node")).filter("node < high and node > low and component <> top")
     again = cut(again.select(F.col("node").alias("u"), F.col("high").alias("v")).distinct(), "pairs")
-    links = cut(links.unionAll(confirmed(again)), "confirmed")
-    forget(here)
-    here = cut(labelled(links), "labelled")
+    before, reached = reached, stars(reached.unionAll(confirmed(again)))
+    forget(before, here)
+    here = cut(labelled(reached), "labelled")
     # The largest component of each bucket that holds several; its own members need no more links.
     parts = here.groupBy("h", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("h").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"))
@@ -290,14 +288,12 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     same = (F.col("b") == F.col("c")) & ~F.col("in_main")
     tiles = pairs.join(right, ["h", "in_main", "c"]).select("h", "rows", F.when(~same, F.col("rows2")).alias("rows2"), "b", "c", "in_main")
     tiles = tiles.repartition(F.xxhash64("h", "in_main", "b", "c")).select("h", "rows", "rows2")
-    links = links.unionAll(cut(tiles.mapInArrow(_tiles(words, percent), "u long, v long"), "tiles", batch_rows=16))
+    links = reached.unionAll(cut(tiles.mapInArrow(_tiles(words, percent), "u long, v long"), "tiles", batch_rows=16))
     ids = classes.select("node", "doc_id")
     linked = links.join(ids.toDF("u", "a"), "u").join(ids.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    found = components(linked.unionAll(copies))
+    found = stars(linked.unionAll(copies)).toDF("doc_id", "component")
     forget(shared, blocks)
-    return sketched.select("doc_id", "n_shingles").join(
-        found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left"
-    ).select(
+    return sketched.select("doc_id", "n_shingles").join(found, "doc_id", "left").select(
         "doc_id",
         "n_shingles",
         F.coalesce("component", "doc_id").alias("component_id"),
