@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from tallyloom.llm.graph import stars
 from tallyloom.llm.shared import cut, spread_join
 
-#: Distinct vectors in a block at most, about.
-BLOCK = 2048
+#: Distinct vectors in a block at most, about, and their bytes as doubles (64 vectors may exceed that).
+BLOCK, BLOCK_BYTES = 2048, 2 << 20
 #: Columns whose int8 products sum exactly in float32: 127 * 127 * 1024 < 2**24.
 EXACT_DIMS = 1024
 #: Above the rounding error of double sums.
@@ -158,7 +158,8 @@ def near_duplicates(
     )
     classes = cut(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     per_label = classes.groupBy("label", F.size("x").alias("dims")).agg(F.count(F.lit(1)).alias("n"))
-    per_label = per_label.withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int"))
+    rows = F.least(F.lit(block), F.greatest(F.lit(64), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("dims")))))
+    per_label = cut(per_label.withColumn("blocks", F.ceil(F.col("n") / rows).cast("int")), "labels")
     tagged = spread_join(classes.withColumn("dims", F.size("x")), per_label, ["label", "dims"], F.col("cls")).drop("n")
     tagged = tagged.withColumn("b", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     packed = cut(
@@ -168,11 +169,12 @@ def near_duplicates(
     right = packed.select("label", "dims", F.col("b").alias("c"), F.col("rows").alias("rows2"))
     pairs = left.join(right, ["label", "dims", "c"]).select("b", "c", "rows", F.when(F.col("b") != F.col("c"), F.col("rows2")).alias("rows2"))
     pairs = pairs.repartition(F.xxhash64("b", "c", F.element_at("rows", 1)["cls"]))
-    found = cut(pairs.mapInArrow(_tiles(threshold), "u long, v long, n long"), "tiles", batch_rows=16)
+    found = cut(pairs.mapInArrow(_tiles(threshold), "u long, v long, n long"), "tiles", batch_rows=8)
     counts = found.filter("v is null").groupBy(F.col("u").alias("cls")).agg(F.sum("n").alias("links"))
     known = classes.join(counts, "cls", "left").select(
         "k1", "k2", "cls", "node", F.col("size").alias("n"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links")
     )
+    known = cut(known, "known")
     copies = cut(spread_join(keyed.select("id", "k1", "k2"), known, ["k1", "k2"], F.col("id")).select("id", "cls", "node", "links"), "copies")
     ends = classes.select("cls", "node")
     tree = found.filter("v is not null").select("u", "v").join(ends.toDF("u", "a"), "u").join(ends.toDF("v", "b"), "v")

@@ -20,15 +20,19 @@ def _is_star_forest(edges: DataFrame) -> bool:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
+    least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m")), "least")
     near = spread_join(both.filter("v > u"), least, ["u"], F.col("v"))
-    return near.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    moved = cut(near.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
+    forget(edges, least)
+    return moved
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    moved = spread_join(edges, least, ["u"], F.col("v")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
+    least = cut(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+    near = spread_join(edges, least, ["u"], F.col("v")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = cut(near.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+    forget(edges, least)
+    return moved
 
 
 def stars(links: DataFrame) -> DataFrame:
@@ -46,7 +50,5 @@ def stars(links: DataFrame) -> DataFrame:
     edges = cut(edges, "links")
     steps = cycle((_large_star, _small_star))
     while not _is_star_forest(edges):
-        moved = cut(next(steps)(edges), "stars")
-        forget(edges)
-        edges = moved
+        edges = next(steps)(edges)
     return edges

@@ -238,9 +238,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         x = texts.toDF("u", "a")
-        per_v = pairs.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        per_v = cut(pairs.groupBy("v").agg(F.count(F.lit(1)).alias("n")), "per_v")
         y = per_v.join(texts.toDF("v", "b"), "v")
-        joined = spread_join(pairs.join(x, "u"), y, ["v"], F.col("u")).select("u", "v", "a", "b")
+        joined = spread_join(pairs.join(x, "u"), y, ["v"], F.col("u"), counts=per_v).select("u", "v", "a", "b")
         return joined.mapInArrow(_verifier(words, percent), "u long, v long")
 
     def labelled(reached: DataFrame) -> DataFrame:
@@ -251,7 +251,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     reached = stars(confirmed(first))
     here = cut(labelled(reached), "labelled")
     tops = here.filter("node = high").select("h", F.col("component").alias("top"))
-    tops = tops.join(ends.select("h", "n"), "h")
+    tops = cut(tops.join(ends.select("h", "n"), "h"), "tops")
     again = spread_join(here, tops, ["h"], F.col("node")).filter("node < high and node > low and component <> top")
     again = cut(again.select(F.col("node").alias("u"), F.col("high").alias("v")).distinct(), "pairs")
     before, reached = reached, stars(reached.unionAll(confirmed(again)))
@@ -260,7 +260,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     # The largest component of each bucket that holds several; its own members need no more links.
     parts = here.groupBy("h", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("h").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"))
-    mixed = mixed.filter("parts > 1").select("h", "main", "n")
+    mixed = cut(mixed.filter("parts > 1").select("h", "main", "n"), "mixed")
     apart = spread_join(here, mixed, ["h"], F.col("node"))
     apart = (
         apart.select("h", "node", "component", (F.col("component") == F.col("main")).alias("in_main"))
@@ -272,7 +272,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
         F.ceil(F.sum(F.when(F.col("in_main"), size)) / TILE_BYTES).cast("int").alias("mains"),
         F.ceil(F.sum(F.when(~F.col("in_main"), size)) / TILE_BYTES).cast("int").alias("others"), F.count(F.lit(1)).alias("n"),
     )
-    dealt = spread_join(apart, sizes, ["h"], F.col("node")).withColumn(
+    dealt = spread_join(apart, cut(sizes, "sizes"), ["h"], F.col("node")).withColumn(
         "b", F.pmod(F.xxhash64("node"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
     )
     row = F.struct("node", "component", "bands", "text")
@@ -288,11 +288,11 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     same = (F.col("b") == F.col("c")) & ~F.col("in_main")
     tiles = pairs.join(right, ["h", "in_main", "c"]).select("h", "rows", F.when(~same, F.col("rows2")).alias("rows2"), "b", "c", "in_main")
     tiles = tiles.repartition(F.xxhash64("h", "in_main", "b", "c")).select("h", "rows", "rows2")
-    links = reached.unionAll(cut(tiles.mapInArrow(_tiles(words, percent), "u long, v long"), "tiles", batch_rows=16))
+    links = reached.unionAll(cut(tiles.mapInArrow(_tiles(words, percent), "u long, v long"), "tiles", batch_rows=8))
     ids = classes.select("node", "doc_id")
     linked = links.join(ids.toDF("u", "a"), "u").join(ids.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
     found = stars(linked.unionAll(copies)).toDF("doc_id", "component")
-    forget(shared, blocks)
+    forget(shared, blocks, texts, here)
     return sketched.select("doc_id", "n_shingles").join(found, "doc_id", "left").select(
         "doc_id",
         "n_shingles",

@@ -69,17 +69,23 @@ def cut(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     return table
 
 
-def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], salt: Column, how: str = "inner") -> DataFrame:
+def spread_join(
+    rows: DataFrame, facts: DataFrame, keys: list[str], salt: Column, how: str = "inner", counts: DataFrame | None = None
+) -> DataFrame:
     """Join of ``rows`` with ``facts``, which has one row a key and in ``n`` the rows of that key, on ``keys``.
 
+    ``facts`` is read three times, so it should be a written table or a projection of one;
+    ``counts``, if given, has its keys and ``n`` and is read for the two lighter passes.
+
     A key is hot if it has more than ``HOT_ROWS`` rows and more than one in ``HOT_KEYS`` of all.
     So there are fewer than ``HOT_KEYS`` of them, whatever the input, and their list is broadcast;
     their rows are dealt out by the hash of ``salt`` over tasks of about that many rows each.
     """
-    total = facts.agg(F.sum("n")).head()[0] or 0
+    counted = facts if counts is None else counts
+    total = counted.agg(F.sum("n")).head()[0] or 0
     share = max(HOT_ROWS, -(-total // HOT_KEYS))
     salts = F.ceil(F.col("n") / share).cast("int")
-    hot = facts.filter(F.col("n") > share).select(*keys, salts.alias("_salts"))
+    hot = counted.filter(F.col("n") > share).select(*keys, salts.alias("_salts"))
     dealt = F.pmod(F.xxhash64(salt), F.coalesce("_salts", F.lit(1))).cast("int")
     left = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", dealt).drop("_salts")
     right = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
