@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import embedding_dedup, licenses, minhash, mixing, packing, permutation_index, pu_quality, superkmer, toxicity, warc
+from tallyloom.llm import (
+    conversations, dual_tree, embedding_dedup, licenses, minhash, mixing, packing, permutation_index, pu_quality, sharding, superkmer, toxicity, warc,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +73,21 @@ def op10_min_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), limit=1024, end=2)
 
 
+def op11_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards by rendezvous hashing of their ids."""
+    return sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=40)
+
+
+def op12_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return dual_tree.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op13_four_russians_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and least repairs of all conversations, damaged."""
+    return conversations.repair_damaged(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_counterfactual_toxicity": op2_counterfactual_toxicity,
@@ -82,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_superkmer_substring_dedup": op7_superkmer_substring_dedup,
     "op8_license_diagonals": op8_license_diagonals,
     "op9_int8_embedding_dedup": op9_int8_embedding_dedup,
+    "op11_rendezvous_sharding": op11_rendezvous_sharding,
+    "op12_dual_tree_search": op12_dual_tree_search,
+    "op13_four_russians_repair": op13_four_russians_repair,
 }
 
 ORACLES: dict[str, str] = {}
@@ -179,3 +199,28 @@ SELECT d.doc_id, d.size, t.ss AS source_size, t.target,
        (t.words // greatest(t.ss, 1) * d.size + greatest(0, least(d.size, t.words % greatest(t.ss, 1) - d.ahead)))::BIGINT AS taken
 FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 """
+
+ORACLES["op12_dual_tree_search"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+i AS (
+  SELECT row_number() OVER () AS q, item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+wanted AS (SELECT DISTINCT q, item_id, unnest(w) AS t FROM i),
+tfs AS (SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY r, t),
+corpus AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_words FROM d WHERE len(w) > 0),
+weights AS (
+  SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS weight
+  FROM (SELECT t, count(*)::BIGINT AS df FROM tfs GROUP BY t), corpus),
+lengths AS (SELECT r, doc_id, 100 - 50 + (50 * len(w)::BIGINT * n_docs) // n_words AS m FROM d, corpus WHERE len(w) > 0),
+scores AS (
+  SELECT q, item_id, r, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM wanted JOIN tfs USING (t) JOIN weights USING (t) JOIN lengths USING (r) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
