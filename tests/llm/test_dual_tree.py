@@ -73,7 +73,7 @@ def test_empty_tables(spark, tables):
     assert dual_tree.search(spark.createDataFrame([(1, None)], "doc_id long, text string"), i).count() == 0
 
 
-@pytest.mark.parametrize("weight", [1, 1 << 40])  # the second is beyond exact products in doubles
+@pytest.mark.parametrize("weight", [1, 1 << 24])  # the second is beyond exact products in doubles
 def test_bounds_prune_and_lose_nothing(weight):
     rng = np.random.default_rng(2)
     n, width = 3000, 120
