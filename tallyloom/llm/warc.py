@@ -13,12 +13,11 @@ from __future__ import annotations
 import hashlib
 import struct
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.shared import cut, fresh_path, spread_join
@@ -32,6 +31,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 SAMPLE_RECORDS, SAMPLE_BYTES = 400, 32_768
 SOFTWARE = "tallyloom"
 DICTIONARY_BYTES = 65_536
+#: Numbers of equal rows that one task writes at once.
+PART_ROWS = 8192
 #: Shorter payloads are never revisits.
 LEAST_REVISIT = 100
 
@@ -54,6 +55,32 @@ def roles(digests: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     return spread_join(each.drop("url", "payload_bytes"), firsts, ["payload_digest"], F.col("page_id")).drop("n")
 
 
+def _repeats(plain: DataFrame, digests: DataFrame, facts: DataFrame) -> DataFrame:
+    """Numbered rows of pages that stand several times with one payload; ``facts`` has these pages' roles.
+
+    Rows that agree in page, url and payload are one group, numbered after those of other urls of the
+    page, so a number never depends on the task that meets a row. A group is dealt out by ranges
+    of numbers, without its html, which only its responses hold.
+    """
+    key = F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.col("payload_digest")).alias("key")
+    facts = facts.select(key, "first_id", "first_url")
+    groups = digests.select(key, "page_id", "url", "payload_bytes", "payload_digest").groupBy("key", "page_id", "url", "payload_bytes", "payload_digest").count()
+    order = Window.partitionBy("key").orderBy(F.desc(F.col("url").eqNullSafe(F.col("first_url"))), "url")
+    ahead = F.coalesce(F.sum("count").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bodies = plain.select(key, "html").join(facts.select("key"), "key", "left_semi").groupBy("key").agg(F.min("html").alias("html"))
+    groups = groups.join(facts, "key").withColumn("ahead", ahead).join(bodies, "key")
+    shared = F.col("first_id").isNotNull()
+    heads = groups.filter("ahead = 0").withColumn("nth", F.lit(0).cast("long"))
+    heads = heads.withColumn("response", ~shared | (F.col("page_id") == F.col("first_id")))
+    begin, end = F.greatest(F.col("ahead"), F.lit(1)), F.col("ahead") + F.col("count")
+    tails = groups.withColumn("html", F.when(~shared, F.col("html"))).withColumn("response", ~shared).filter(begin < end)
+    parts = tails.withColumn("part", F.explode(F.sequence(F.floor(begin / PART_ROWS), F.floor((end - 1) / PART_ROWS))))
+    low, high = F.col("part") * PART_ROWS, (F.col("part") + 1) * PART_ROWS - 1
+    parts = parts.repartition("key", "part").withColumn("nth", F.explode(F.sequence(F.greatest(begin, low), F.least(end - 1, high))))
+    columns = ["page_id", "url", "html", "payload_bytes", "payload_digest", "first_id", "first_url", "nth", "response"]
+    return heads.select(*columns).unionAll(parts.select(*columns))
+
+
 def build_dictionary(plain: DataFrame, digests: DataFrame, date: str, records: int = SAMPLE_RECORDS) -> bytes:
     """Zstandard dictionary from response records: those of the ``records`` smallest digests of pages of ``SAMPLE_BYTES`` at most.
 
@@ -116,23 +143,14 @@ def _framer(dictionary: bytes, date: str, level: int):
         data = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         pack = zstandard.ZstdCompressor(level=level, dict_data=data, write_checksum=True)
         opened = False
-        met: Counter[tuple[int | None, str]] = Counter()  # rows that repeat a page, of which there are few
-        first_row: set[tuple[int, str]] = set()
         for batch in batches:
             frames = []
-            for page_id, url, html, size, digest, rows, first, first_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, url, html, size, digest, first, first_url, nth, response in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not opened:  # one task writes one file
                     if dictionary:
                         frames.append(struct.pack("<II", DICTIONARY_FRAME, len(dictionary)) + dictionary)
-                    frames.append(pack.compress(_info(date, (page_id, digest))))
+                    frames.append(pack.compress(_info(date, (page_id, digest, nth))))
                     opened = True
-                response = first is None or first == page_id and (rows == 1 or url == first_url and (page_id, digest) not in first_row)
-                nth = 0
-                if rows > 1:
-                    if first is not None and response:
-                        first_row.add((page_id, digest))
-                    else:
-                        nth = met[page_id, digest] = met[page_id, digest] + 1
                 payload = html.encode() if response else b""
                 about = (page_id, url, payload, digest, date, nth, size)
                 frames.append(pack.compress(_record("response", *about) if response else _record("revisit", *about, first, first_url)))
@@ -162,19 +180,23 @@ def write_archives(pages: DataFrame, path: str, *, date: str = "2024-01-01T00:00
     hold no block; their headers have the length and digest of the full payload.
 
     A null html is an empty payload, a null url leaves the target out. Rows that repeat a page
-    with the same payload of that size revisit it, from the second on. A null ``page_id`` comes
+    with the same payload of that size revisit it, from the second on, however joins are split. A null ``page_id`` comes
     after all others: it is a response only if no other page has its payload. An empty
     table writes no records. With fewer than 8 pages to build it from there is no dictionary.
     """
     plain = _plain(pages)
     digests = cut(plain.select("page_id", "url", "payload_bytes", "payload_digest"), "digests")
     dictionary = build_dictionary(plain, digests, date)
-    whole = plain.hint("merge").join(
-        roles(digests, least).withColumnsRenamed({"page_id": "of", "payload_digest": "of_digest"}),
-        F.col("page_id").eqNullSafe(F.col("of")) & (F.col("payload_digest") == F.col("of_digest")),
-    )
-    columns = ["page_id", "url", "html", "payload_bytes", "payload_digest", "rows", "first_id", "first_url"]
-    frames = whole.select(*columns).mapInArrow(_framer(dictionary, date, level), "frame binary")
+    facts = cut(roles(digests, least), "roles")
+    once = facts.filter("rows = 1").withColumnsRenamed({"page_id": "of", "payload_digest": "of_digest"})
+    whole = plain.hint("merge").join(once, F.col("page_id").eqNullSafe(F.col("of")) & (F.col("payload_digest") == F.col("of_digest")))
+    whole = whole.withColumns({"nth": F.lit(0).cast("long"), "response": F.col("first_id").isNull() | (F.col("page_id") == F.col("first_id"))})
+    columns = ["page_id", "url", "html", "payload_bytes", "payload_digest", "first_id", "first_url", "nth", "response"]
+    whole = whole.select(*columns)
+    many = facts.filter("rows > 1")
+    if not many.isEmpty():
+        whole = whole.unionAll(_repeats(plain, digests, many))
+    frames = whole.mapInArrow(_framer(dictionary, date, level), "frame binary")
     writer = frames.select(F.col("frame").cast("string").alias("frame")).write.option("lineSep", SEPARATOR)
     writer.option("maxRecordsPerFile", 0).text(path)  # each file needs its dictionary
     _name_files(pages.sparkSession, path)
