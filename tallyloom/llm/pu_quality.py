@@ -217,24 +217,32 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, wanted: int, value: int) -> DataFrame:
-    """``doc_id`` of at most ``wanted`` rows with that label outside the held-out fold; a bounded table."""
-    some = labels.filter((F.col(label) == value) & ~held_out()).select("doc_id").distinct()
+def training_rows(labels: DataFrame, label: str, wanted: int, value: int) -> DataFrame:
+    """``doc_id`` of at most ``wanted`` ids with that label, and no other, outside the held-out fold; a bounded table."""
+    given = labels.filter(F.col(label).isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min(label).alias("low"), F.max(label).alias("high"))
+    some = given.filter((F.col("low") == value) & (F.col("high") == value)).select("doc_id")
     return some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(wanted)
 
 
+def training_texts(plain: DataFrame, wanted: DataFrame, mark: str) -> DataFrame:
+    """``mark, text``: one text for each row of ``wanted`` (``doc_id`` and ``mark``, bounded), of rows that share an id that of smallest hash."""
+    met = plain.join(F.broadcast(wanted), "doc_id").groupBy("doc_id", mark)
+    return met.agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select(mark, "text")
+
+
 def learn(docs: DataFrame, labels: DataFrame, *, label: str = "quality", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
     """Model from at most ``positives`` labelled rows and ``unlabelled`` others, held-out rows left out.
 
-    The prior is estimated over every text outside the held-out fold.
+    The prior is estimated over every text outside the held-out fold. Of rows that share an id one
+    text is learned from, so repeated rows don't enlarge the sample; an id labelled both ways is not trusted.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    trusted = training_rows(docs, labels, label, positives, 1)
-    others = plain.filter(~held_out()).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit("u")), "doc_id").limit(unlabelled)
-    wanted = F.broadcast(
-        trusted.select("doc_id", F.lit(1).alias("positive")).unionAll(others.select("doc_id", F.lit(0).alias("positive")))
-    )  # bounded by positives + unlabelled
-    rows = plain.join(wanted, "doc_id").select("positive", "text").mapInArrow(_featurer(), "positive int, x array<double>").toArrow()
+    trusted = training_rows(labels, label, positives, 1)
+    ids = plain.filter(~held_out()).select("doc_id").distinct()
+    others = ids.orderBy(F.xxhash64("doc_id", F.lit("u")), "doc_id").limit(unlabelled)
+    wanted = trusted.select("doc_id", F.lit(1).alias("positive")).unionAll(others.select("doc_id", F.lit(0).alias("positive")))
+    given = training_texts(plain, wanted, "positive")  # positives + unlabelled rows at most
+    rows = given.mapInArrow(_featurer(), "positive int, x array<double>").toArrow()
     mark = rows.column("positive").to_numpy() == 1
     x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(len(mark), len(FEATURES))
     order = np.lexsort((*x.T, mark))  # the order in which rows arrive must not matter

@@ -4,7 +4,7 @@ A text is the set of its distinct lower-cased words, each with its first 4, 5 an
 further features, hashed; features that hardly tell the labels apart are left out. The
 logistic model is trained on labelled texts and, beside each text that names a group of
 people, on its counterfactual twin: the text with every identity term swapped for another
-of its kind and language. The squared change of the score (before the logistic function)
+of its kind and language, again a set of features. The squared change of the score (before the logistic function)
 between twins is a penalty, as is the change between any two terms of a kind, so neutral
 mentions of a group don't move the score.
 """
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.pu_quality import held_out, training_rows
+from tallyloom.llm.pu_quality import held_out, training_rows, training_texts
 from tallyloom.llm.shared import chunks, cut, list_column
 from tallyloom.llm.words import U, Words, hashes, mix, scan
 
@@ -81,19 +81,20 @@ def _distinct(rows: int, doc: np.ndarray, code: np.ndarray) -> tuple[np.ndarray,
 def _featurer():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         swaps = _swaps()
-        terms = np.array(sorted(swaps), np.uint64)
+        terms, none = np.array(sorted(swaps), np.uint64), np.zeros(0, np.int32)
         for batch, data, offs in chunks(batches, "text"):
             words = scan(data, offs, lower=True, letters=True)
             doc = np.repeat(np.arange(batch.num_rows), words.count())
             owner, code = word_features(data, words)
             flat, at = _distinct(batch.num_rows, doc[owner], code)
-            # Features that a text's counterfactual twin loses and gains.
-            plus: list[list[int]] = [[] for _ in range(batch.num_rows)]
-            minus: list[list[int]] = [[] for _ in range(batch.num_rows)]
-            for w in np.flatnonzero(np.isin(words.hash, terms)).tolist():
-                old, new = swaps[int(words.hash[w])]
-                plus[doc[w]] += _term_features(old).tolist()
-                minus[doc[w]] += _term_features(new).tolist()
+            swapped = np.isin(words.hash, terms)
+            rest, edge = _distinct(batch.num_rows, doc[owner[~swapped[owner]]], code[~swapped[owner]])
+            plus, minus = [none] * batch.num_rows, [none] * batch.num_rows
+            for i in np.unique(doc[swapped]).tolist():
+                a, b = words.first[i], words.first[i + 1]
+                new = [_term_features(swaps[h][1]).astype(np.int32) for h in words.hash[a:b][swapped[a:b]].tolist()]
+                own, twin = flat[at[i] : at[i + 1]], np.concatenate([rest[edge[i] : edge[i + 1]], *new])
+                plus[i], minus[i] = np.setdiff1d(own, twin), np.setdiff1d(twin, own)
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), list_column(flat, at, pa.int32()), pa.array(plus, kind), pa.array(minus, kind)],
@@ -204,12 +205,15 @@ def fit(
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int = ROWS_A_LABEL, fairness: float = 1.0) -> Model:
-    """Model from at most ``rows`` labelled texts of each label, held-out rows left out."""
+    """Model from at most ``rows`` labelled texts of each label, held-out rows left out.
+
+    Of rows that share an id one text is learned from; an id labelled both ways is not learned from.
+    """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    wanted = training_rows(docs, labels, label, rows, 1).withColumn("label", F.lit(1)).unionAll(
-        training_rows(docs, labels, label, rows, 0).withColumn("label", F.lit(0))
+    wanted = training_rows(labels, label, rows, 1).withColumn("label", F.lit(1)).unionAll(
+        training_rows(labels, label, rows, 0).withColumn("label", F.lit(0))
     )
-    given = plain.join(F.broadcast(wanted), "doc_id").select("label", "text")  # bounded by 2 * rows
+    given = training_texts(plain, wanted, "label")  # 2 * rows at most
     kinds = "label int, x array<int>, plus array<int>, minus array<int>"
     found = cut(given.mapInArrow(_featurer(), kinds), "features")
     n = {r["label"]: r["count"] for r in found.groupBy("label").count().collect()}

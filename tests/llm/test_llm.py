@@ -6,11 +6,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.llm import embedding_dedup, licenses, minhash, mixing, packing, permutation_index, pu_quality, superkmer, toxicity, warc
 from tallyloom.llm.queries import tokenizer_path
+from tallyloom.llm.shared import column_bytes
 
 # Columns whose names the operators use inside; they must neither matter nor clash.
 EXTRA = ("node", "h", "size", "key", "part", "bands", "u", "v", "tag", "cuts", "score", "rows", "b", "of", "text_", "rank")
@@ -369,6 +371,34 @@ def test_warc_is_standard(spark):
     assert sorted((r["page_id"] or 0, r["record_type"]) for r in few) == [(0, "revisit"), (1, "response"), (3, "revisit")]
 
 
+def test_warc_roles_hold_when_a_skewed_join_is_split(spark, monkeypatch):
+    monkeypatch.setattr(warc, "PART_ROWS", 64)
+    long = "<p>" + "página " * 40
+    pages = [(1, "http://a", long)] * 390 + [(1, "http://b", long)] * 3 + [(1, None, long)] * 2 + [(2, "u", long)] * 5 + [(3, "v", "tiny")] * 200
+    pages += [(10 + i, f"http://p/{i}", f"<html>{i} " + "texto " * 50) for i in range(300)]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(16)
+    split = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k) for k in split}
+    path = warc.fresh_path(spark, "skewed")
+    try:
+        for k, v in split.items():
+            spark.conf.set(k, v)
+        warc.write_archives(table, path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    content = [bytes(r["content"]) for r in spark.read.format("binaryFile").load(path).collect() if r["length"] > 20]
+    headers = [h for c in content for h, _ in warc.parse_archive(c) if h["WARC-Type"] != "warcinfo"]
+    assert len(headers) == len(pages) and len({h["WARC-Record-ID"] for h in headers}) == len(pages)
+    first = [h for h in headers if h["X-Page-Id"] == "1" and h["WARC-Type"] == "response"]
+    assert len(first) == 1 and first[0]["WARC-Target-URI"] == "http://a"
+    revisits = [h for h in headers if h["WARC-Type"] == "revisit"]
+    assert len(revisits) == 399 and {h["WARC-Refers-To"] for h in revisits} == {first[0]["WARC-Record-ID"]}
+
+
 def test_dictionary_is_of_records(spark):
     pages = [(i, f"http://host/{i}", f"<html>{i} " + f"texto {i} " * 50) for i in range(60)]
     plain = warc._plain(spark.createDataFrame(pages, "page_id long, url string, html string"))
@@ -744,3 +774,40 @@ def test_quality_stage_keeps_clean_documents(spark, tmp_path):
     assert sum(i in kept for i in good) / len(good) > 0.97
     bad = [i for i, (q, _) in truth.items() if not q]
     assert sum(i in kept for i in bad) / len(bad) < 0.2
+
+
+def test_training_samples_are_bounded_by_rows(spark):
+    """Rows that repeat an id, however many, are learned from once; ids labelled both ways not at all."""
+    docs = [(1, f"good text {i % 3}") for i in range(3000)] + [(2, "junk")] * 3000 + [(i, f"text number {i}") for i in range(3, 400)]
+    plain = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(1, 1)] * 3000 + [(2, 0)] * 3000 + [(3, 1), (3, 0), (6, None), (7, 1)], "doc_id long, toxic int")
+    free = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    for value, want in ((1, [i for i in (1, 7) if i in free]), (0, [i for i in (2,) if i in free])):
+        ids = pu_quality.training_rows(labels, "toxic", 10, value)
+        assert sorted(r["doc_id"] for r in ids.collect()) == want
+        found = pu_quality.training_texts(plain, ids.withColumn("label", F.lit(value)), "label").collect()
+        assert len(found) == len(want)
+    everyone = plain.select("doc_id").distinct().withColumn("positive", F.lit(0))
+    assert pu_quality.training_texts(plain, everyone, "positive").count() == 399
+
+
+def test_toxicity_features_and_twins_equal_those_of_single_texts():
+    texts = ["The Muslim man and the muslim woman met", "christian muslim jewish", "no terms here", "", None, "Frauen, Frauen! und frau", "men mental menace women"] * 3
+    swaps = {a: b for row in toxicity.IDENTITY_TERMS for a, b in zip(row, (*row[1:], row[0]), strict=True)}
+
+    def features(words):
+        return {int(c) for w in words for c in toxicity._term_features(w)}
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * len(texts)), pa.array(texts)], names=["label", "text"])
+    (found,) = toxicity._featurer()(iter([batch]))
+    for text, x, plus, minus in zip(texts, *(found.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
+        words = re.findall(r"[0-9a-z\x80-\U0010FFFF]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+        own, twin = features(words), features([swaps.get(w, w) for w in words])
+        assert set(x) == own and len(x) == len(own)
+        assert (set(plus), set(minus)) == (own - twin, twin - own)
+    model = toxicity.Model(*(lambda f: (f, np.linspace(-1, 1, len(f)), 0.2))(np.array(sorted(features(["muslim", "woman", "man", "frau"])))))
+    data, offs = column_bytes(pa.array(texts))
+    weight = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    for text, score in zip(texts, model.scores(data, offs), strict=True):
+        words = re.findall(r"[0-9a-z\x80-\U0010FFFF]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+        assert abs(score - 1 / (1 + np.exp(-0.2 - sum(weight.get(c, 0.0) for c in features(words))))) < 1e-12
