@@ -11,7 +11,9 @@ from tallyloom.functions import images
 from tallyloom.functions.money import parse_clp
 from tallyloom.functions.text import normal_token
 from tallyloom.operators import attempts, checks, confidence, fields, pages, pipeline, products, state, ted, validation, words
-from tallyloom.sources import render
+from tallyloom.sources import folders, render
+from tallyloom.streaming import attempts as arriving
+from tallyloom.streaming import stamps as rating
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -315,8 +317,12 @@ a AS (SELECT o_orderkey AS doc_id, attempt, CAST((o_orderkey * 31 + attempt * 53
 
 
 def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _attempts_of(render.read(spark, sf_dir, "orders"))
+
+
+def _attempts_of(orders: DataFrame) -> DataFrame:
     k, a = F.col("o_orderkey"), F.col("attempt")
-    rows = render.read(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("attempt"))
+    rows = orders.select("o_orderkey", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("attempt"))
     gone = F.when((k + a) % 3 == 0, F.array(F.lit("total"))).otherwise(F.array().cast("array<string>"))
     return rows.select(
         k.alias("doc_id"), "attempt", ((k * 31 + a * 53) % 101).cast("double").alias("confianza_general"), gone.alias("campos_faltantes"),
@@ -330,10 +336,10 @@ def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 s AS (SELECT *, min(CASE WHEN NOT failed AND ((general >= 70 AND NOT missing) OR score >= 13000) THEN attempt END) OVER (PARTITION BY doc_id) AS stop,
        min(CASE WHEN elapsed >= 300 THEN attempt END) OVER (PARTITION BY doc_id) AS late FROM a WHERE attempt < 3),
 m AS (SELECT *, CASE WHEN sharp < 15 THEN 0 ELSE least(coalesce(stop + 1, 3), coalesce(late, 3)) END AS made FROM s),
-b AS (SELECT doc_id, made, sharp, late, arg_min(attempt, (100 - general) * 10 + attempt) FILTER (WHERE attempt < made AND NOT failed) AS best,
+b AS (SELECT doc_id, made, sharp, late, stop, arg_min(attempt, (100 - general) * 10 + attempt) FILTER (WHERE attempt < made AND NOT failed) AS best,
        max(general) FILTER (WHERE attempt < made AND NOT failed) AS general FROM m GROUP BY ALL)
 SELECT doc_id, CAST(best AS INT) AS attempt, general AS confianza_general, CAST(made AS INT) AS attempts_made,
-       CASE WHEN sharp < 15 THEN 'calidad' WHEN made >= 3 THEN 'intentos' WHEN late IS NOT NULL AND made = late THEN 'tiempo' END AS limit_reached
+       CASE WHEN sharp < 15 THEN 'calidad' WHEN made >= 3 THEN 'intentos' WHEN late IS NOT NULL AND (stop IS NULL OR late <= stop) THEN 'tiempo' END AS limit_reached
 FROM b"""
 )
 def best_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -531,14 +537,13 @@ SELECT k AS doc_id, CAST(to_json(struct_pack(
 FROM e"""
 
 
-@query("WITH " + _BODIES_SQL)
-def response_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole responses as JSON text: blurred, late, failed, unreadable, empty, incomplete, weak, partial and whole documents, some with stamps."""
+def _readings(orders):
+    """One attempt of each order: blurred, late, failed, unreadable, empty, incomplete, weak, partial and whole ones."""
     k = F.col("o_orderkey")
     kind = k % 7
     c = F.when(kind == 3, 30.0).otherwise(90.0)
     goods = F.array(_product("Pan", F.lit(2.0), F.lit(500.0), c))
-    rows = render.read(spark, sf_dir, "orders").select(
+    return orders.select(
         k.alias("doc_id"), F.lit(0).alias("attempt"), F.when(kind != 0, "TIENDA").alias("comercio"), F.when(kind != 0, "2024-01-02").alias("fecha"),
         F.when(~kind.isin(0, 4), "Efectivo").alias("metodo_pago"), F.when(~kind.isin(0, 1), 1000.0).alias("total"),
         F.when(kind.isin(0, 2), F.slice(goods, 1, 0)).otherwise(goods).alias("productos"), F.when(kind != 0, c).alias("c_comercio"), F.when(kind != 0, c).alias("c_fecha"),
@@ -546,13 +551,24 @@ def response_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == 6, 30.0).otherwise(80.0).alias("mean_conf"), F.lit(0.0).alias("score"), (k % 40).cast("double").alias("nitidez"),
         F.when(k % 9 == 0, 300.0).otherwise(0.0).alias("elapsed_s"), (k % 11 == 0).alias("failed"),
     )
-    text = "<FE>2024-05-06</FE><MNT>1200</MNT>"
-    printed = rows.filter("doc_id % 5 = 0").select("doc_id", F.lit(text).alias("ted_text")).withColumn("ted_text", F.explode(F.array("ted_text", F.lit("sin datos"))))
-    best = ted.enrich(attempts.best_attempt(checks.evaluate(rows)), printed)
+
+
+def _bodies(best):
     source = F.when(F.col("doc_id") % 2 == 0, "camera").otherwise("file")
     return pipeline.to_json(state.respond(state.classify(best.withColumn("source", source))))
 
 
+_STAMP_TEXT = "<FE>2024-05-06</FE><MNT>1200</MNT>"
+
+
+@query("WITH " + _BODIES_SQL)
+def response_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole responses as JSON text: blurred, late, failed, unreadable, empty, incomplete, weak, partial and whole documents, some with stamps."""
+    rows = _readings(render.read(spark, sf_dir, "orders"))
+    printed = rows.filter("doc_id % 5 = 0").select("doc_id", F.explode(F.array(F.lit(_STAMP_TEXT), F.lit("sin datos"))).alias("ted_text"))
+    return _bodies(ted.enrich(attempts.best_attempt(checks.evaluate(rows)), printed))
+
+
 _FIXED_SQL = _ATTEMPTS_SQL.replace("AS failed", "AS failed, o_orderkey % 5 IN (1, 3) AS lying", 1)
 
 
@@ -632,3 +648,54 @@ def token_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = render.read(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\s]+"), F.lit(0))).alias("t"))
     counted = found.groupBy("t").count().select(normal_token(F.col("t")).alias("token"), "count")
     return counted.groupBy("token").agg(F.sum("count").alias("n"))
+
+
+def _received(key):
+    return F.timestamp_seconds(F.lit(1_700_000_000) + key)
+
+
+def _heartbeat(spark: SparkSession, sf_dir: str, *times: str):
+    """A row without document, long after all others, so that a stream that ends has told the time."""
+    beat = folders.stream_table(spark, sf_dir, "region").filter("r_regionkey = 0")
+    return beat.select(F.lit(None).cast("long").alias("doc_id"), *[F.lit("2100-01-01").cast("timestamp").alias(t) for t in times])
+
+
+def _closed(spark: SparkSession, rows) -> str:
+    """Folder of the best attempts of a stream of attempts that ends."""
+    folder = folders.work_folder(spark, "attempts")
+    arriving.choose_stream(rows, f"{folder}/best", f"{folder}/state", once=True).awaitTermination()
+    return f"{folder}/best"
+
+
+@query(ORACLES["best_attempt"])
+def attempts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best attempts of documents whose attempts arrive one by one, latest first; time closes those that none finishes."""
+    key = F.col("doc_id")
+    rows = _attempts_of(folders.stream_table(spark, sf_dir, "orders")).filter("attempt < 3")
+    rows = rows.withColumns({"received": _received(key), "at": F.timestamp_seconds(F.lit(1_700_000_000) + key + F.col("elapsed_s"))}).drop("elapsed_s")
+    beat = _heartbeat(spark, sf_dir, "received", "at")
+    best = _closed(spark, rows.unionByName(beat, allowMissingColumns=True))
+    return spark.read.parquet(best).select("doc_id", "attempt", "confianza_general", "attempts_made", "limit_reached")
+
+
+@query("WITH " + _BODIES_SQL.replace("k % 5 = 0 AS stamped", "k % 5 = 0 AND k % 50 <= 30 AND k % 91 <> 52 AS stamped", 1))
+def late_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole responses where attempts and stamps arrive as streams: some stamps too late, some documents read but stopped by time."""
+    orders = folders.stream_table(spark, sf_dir, "orders")
+    first = checks.evaluate(_readings(orders))
+    # Two more attempts give nothing; of every 91st document they never come, so time stops it.
+    more = F.when(F.col("doc_id") % 91 == 52, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1), F.lit(2)))
+    rows = first.withColumn("attempt", F.explode(more)).withColumn("failed", F.col("failed") | (F.col("attempt") > 0))
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") + F.col("elapsed_s") + F.col("attempt") * 10)
+    rows = rows.withColumns({"received": _received(F.col("doc_id")), "at": at}).drop("elapsed_s")
+    best = _closed(spark, rows.unionByName(_heartbeat(spark, sf_dir, "received", "at"), allowMissingColumns=True))
+    schema = spark.read.parquet(best).drop("batch").schema
+    closed = spark.readStream.schema(schema).parquet(f"{best}/batch=*").unionByName(_heartbeat(spark, sf_dir, "received"), allowMissingColumns=True)
+    k = F.col("o_orderkey")
+    stamped_at = F.timestamp_seconds(F.lit(1_700_000_000) + k + k % 50 * 10)
+    texts = F.explode(F.array(F.lit(_STAMP_TEXT), F.lit("sin datos")))
+    stamps = orders.filter(k % 5 == 0).select(k.alias("doc_id"), texts.alias("ted_text"), stamped_at.alias("stamped_at"))
+    stamps = stamps.unionByName(_heartbeat(spark, sf_dir, "stamped_at"), allowMissingColumns=True)
+    folder = folders.work_folder(spark, "ratings")
+    rating.rate_stream(closed, stamps, f"{folder}/out", f"{folder}/state", once=True).awaitTermination()
+    return _bodies(rating.current_ratings(spark.read.parquet(f"{folder}/out")))
