@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import images
 from tallyloom.functions.money import parse_clp
 from tallyloom.functions.text import normal_token
-from tallyloom.operators import attempts, checks, confidence, fields, pages, pipeline, products, state, ted, validation, words
+from tallyloom.operators import attempts, checks, confidence, fields, pages, pipeline, products, reading, state, ted, validation, words
 from tallyloom.sources import folders, render
 from tallyloom.streaming import attempts as arriving
 from tallyloom.streaming import stamps as rating
@@ -383,6 +383,30 @@ def scan_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "attempt", "attempts_made", "folio", "confianza_general", "estado")
 
 
+@query(ORACLES["scan_receipts"])
+def scan_lazily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole dataflow from pages, read only for the attempts that are made; every 17th lies on its side and is turned first."""
+    from tallyloom.config import Settings
+
+    lines = render.receipt_lines(spark, sf_dir)
+
+    def engine(shown: DataFrame) -> DataFrame:
+        on_side = (F.col("doc_id") % 17 == 3) & (F.col("rotation") % 180 == 0)
+        asked = shown.select("doc_id", "attempt", on_side.alias("on_side"))
+        seen = lines.join(asked, "doc_id")
+        # A page that lies on its side gives strokes instead of letters.
+        seen = seen.withColumn("line", F.when(F.col("on_side"), F.lit("|| - ll")).otherwise(F.col("line")))
+        return render.words_of_attempt(seen)
+
+    def orient(shown: DataFrame) -> DataFrame:
+        return shown.select("doc_id", F.when(F.col("doc_id") % 17 == 3, 90).otherwise(180).alias("rotate"))
+
+    pages = render.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"))
+    pages = pages.join(render.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id")), "doc_id", "left_semi")
+    out = reading.scan_pages(pages, engine, orient=orient, settings=Settings(good_score=1e12), audit=True)
+    return out.select("doc_id", "attempt", "attempts_made", "folio", "confianza_general", "estado")
+
+
 _STAMP_SQL = """t AS (SELECT o_orderkey AS k, o_orderkey % 4 AS r, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders WHERE o_orderkey % 3 = 0)"""
 
 

@@ -89,7 +89,7 @@ def receipt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return receipts(spark, sf_dir).select("doc_id", F.posexplode("lines").alias("line_no", "line"))
 
 
-def page_words(lines: DataFrame, confidence: Column) -> DataFrame:
+def page_words(lines: DataFrame, confidence: Column, *keep: str) -> DataFrame:
     """Words with boxes from lines: 12 pixels a character, rows 40 apart; ``confidence`` is of ``doc_id, line_no, word_no``."""
     parts = F.split("line", " ")
 
@@ -97,9 +97,9 @@ def page_words(lines: DataFrame, confidence: Column) -> DataFrame:
         ahead = F.when(i > 0, F.length(F.array_join(F.slice(parts, F.lit(1), i), " ")) + 1).otherwise(0)
         return F.struct(t.alias("text"), ahead.alias("at"), i.alias("i"))
 
-    words = lines.select("doc_id", "line_no", F.explode(F.filter(F.transform(parts, placed), lambda s: s["text"] != "")).alias("s"))
+    words = lines.select("doc_id", *keep, "line_no", F.explode(F.filter(F.transform(parts, placed), lambda s: s["text"] != "")).alias("s"))
     words = words.select(
-        "doc_id", (F.col("line_no") * 1000 + F.col("s.i")).cast("int").alias("word_no"), F.col("s.text").alias("text"),
+        "doc_id", *keep, (F.col("line_no") * 1000 + F.col("s.i")).cast("int").alias("word_no"), F.col("s.text").alias("text"),
         (F.col("s.at") * 12).cast("int").alias("x"), (F.col("line_no") * 40 + F.col("s.i") % 5).cast("int").alias("y"),
         (F.length("s.text") * 12).cast("int").alias("w"), F.lit(20).alias("h"), "line_no",
     )
@@ -122,6 +122,15 @@ def receipt_words(spark: SparkSession, sf_dir: str, attempts: int = 3) -> DataFr
     )
 
 
+def words_of_attempt(lines: DataFrame) -> DataFrame:
+    """Recognised words of lines ``doc_id, attempt, line_no, line``, in two segmentation modes."""
+    base = page_words(lines, F.lit(0.0), "attempt").drop("conf").withColumn("psm", F.explode(F.array(F.lit(6), F.lit(4))))
+    conf = word_confidence(F.col("attempt")) - F.when(F.col("psm") == 4, 5).otherwise(0)
+    return base.select(
+        "doc_id", "attempt", "psm", "word_no", "text", conf.cast("double").alias("conf"), "x", "y", "w", "h", "line_num", "block_num"
+    )
+
+
 def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, image`` of every customer: 12 rows of 8 pixels, of three channels for every third."""
     key = F.col("c_custkey")
