@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import vocabulary as V
 from tallyloom.functions.money import parse_clp
-from tallyloom.functions.text import SPACE, contains_any, first_contained, once, strip
+from tallyloom.functions.text import SPACE, once, strip
+from tallyloom.operators.keywords import Marked, Tested, mark
 
 
 def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -43,50 +44,46 @@ def _after(line: Column, upper: Column, label: Column) -> Column:
     return F.when(label.isNotNull(), total_line_amount(rest))
 
 
-def is_table_header(upper: Column) -> Column:
-    """Whether a line names two columns of a table at least."""
-    return sum((F.contains(upper, F.lit(w)).cast("int") for w in V.TABLE_HEADER), F.lit(0)) >= 2
-
-
-def is_header_or_footer(upper: Column) -> Column:
-    """Whether a line is a heading or footing rather than a merchant."""
-    return upper.rlike(V.RUT_LABEL) | contains_any(upper, V.NOT_PRODUCT)
-
-
 def has_company_suffix(upper: Column) -> Column:
     """Whether a token of the line, without dots and outer commas, is a legal form."""
     forms = "|".join(r"\.*".join(word) for word in V.COMPANY_SUFFIXES)
     return upper.rlike(rf"(?:^|[{SPACE}]),*\.*(?:{forms})\.*,*(?:[{SPACE}]|$)")
 
 
-def parse_fields(lines: DataFrame) -> DataFrame:
+def parse_fields(lines: DataFrame, keywords: DataFrame | None = None) -> DataFrame:
     """``doc_id, comercio, fecha, metodo_pago, total, folio`` of each document with a line.
 
     ``lines`` has ``doc_id, line_no, line``. Everything is one exchange on ``doc_id``: line
     expressions, look-ahead by ``lead``, then one aggregation that picks first lines by number.
     Null lines count as empty; a null ``doc_id`` is a document of its own.
+
+    ``keywords`` (``list, place, keyword, value``; see :mod:`tallyloom.operators.keywords`) replaces the built-in
+    lists, in upper case; lists that it lacks are empty. All of them are found in one pass over each line.
     """
     by_doc = Window.partitionBy("doc_id").orderBy("line_no")
     line = F.coalesce("line", F.lit(""))
     upper = F.col("upper")
+    lists = Tested(upper) if keywords is None else Marked(F.col("marks"))
     base = lines.select("doc_id", "line_no", line.alias("line")).withColumn("upper", F.upper("line")).withColumn("trimmed", strip(F.col("line")))
-    base = base.withColumn("own", F.when(~contains_any(upper, V.OTHER_LABELS), total_line_amount(F.col("line"))))
+    if keywords is not None:
+        base = mark(base, keywords, "upper")
+    base = base.withColumn("own", F.when(~lists.any("other_label"), total_line_amount(F.col("line"))))
     base = base.withColumns(
         {
             "ahead": F.coalesce(F.lead("own", 1).over(by_doc), F.lead("own", 2).over(by_doc)),
             "nth": F.sum((F.length("trimmed") >= 3).cast("int")).over(by_doc.rowsBetween(Window.unboundedPreceding, 0)),
         }
     )
-    first, label = first_contained(upper, V.TOTAL_FIRST), first_contained(upper, V.TOTAL_LABELS)
-    plain = label.isNotNull() & ~contains_any(upper, V.TOTAL_EXCLUDED) & ~is_table_header(upper)
-    known = F.coalesce(*[F.when(F.contains(upper, F.lit(key)), F.lit(i)) for i, (key, _) in enumerate(V.PAYMENT_METHODS)])
+    first, label = lists.first("total_first"), lists.first("total")
+    plain = label.isNotNull() & ~lists.any("total_excluded") & (lists.count("table_header") < 2)
     base = base.withColumns(
         {
             "priority": F.when(first.isNotNull(), F.coalesce(_after(F.col("line"), upper, first), F.col("ahead"))),
             "plain": F.when(plain, F.coalesce(_after(F.col("line"), upper, label), F.col("ahead"))),
             "is_sub": F.contains(upper, F.lit("SUBTOTAL")),
             "date": first_date(F.col("line")),
-            "method": known,
+            "method": lists.value("method"),
+            "heading": upper.rlike(V.RUT_LABEL) | lists.any("not_product"),
             "candidate": (F.length("trimmed") >= 3) & (F.col("nth") <= 10),
         }
     )
@@ -95,7 +92,7 @@ def parse_fields(lines: DataFrame) -> DataFrame:
         return F.min_by(value, F.when(condition, F.col("line_no")))
 
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n")
-    plausible = ~F.col("trimmed").rlike(V.ONLY_NUMBERS) & ~F.col("trimmed").rlike(V.ONLY_SEPARATORS) & ~is_header_or_footer(upper)
+    plausible = ~F.col("trimmed").rlike(V.ONLY_NUMBERS) & ~F.col("trimmed").rlike(V.ONLY_SEPARATORS) & ~F.col("heading")
     found = base.groupBy("doc_id").agg(
         F.coalesce(
             first_where("trimmed", F.col("candidate") & has_company_suffix(upper)),
@@ -110,5 +107,4 @@ def parse_fields(lines: DataFrame) -> DataFrame:
         ).alias("total"),
         F.nullif(F.regexp_extract(text, V.FOLIO, 1), F.lit("")).alias("folio"),
     )
-    names = F.array(*[F.lit(value) for _, value in V.PAYMENT_METHODS])
-    return found.select("doc_id", "comercio", "fecha", F.get(names, F.col("method")).alias("metodo_pago"), "total", "folio")
+    return found.select("doc_id", "comercio", "fecha", F.col("method.value").alias("metodo_pago"), "total", "folio")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import images
 from tallyloom.functions.money import parse_clp
 from tallyloom.functions.text import normal_token
-from tallyloom.operators import attempts, checks, confidence, fields, pages, pipeline, products, reading, state, ted, validation, words
+from tallyloom.operators import asof, attempts, checks, confidence, fields, keywords, pages, pipeline, products, reading, state, ted, validation, words
 from tallyloom.sources import folders, render
 from tallyloom.streaming import attempts as arriving
 from tallyloom.streaming import stamps as rating
@@ -723,3 +724,63 @@ def late_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = folders.work_folder(spark, "ratings")
     rating.rate_stream(closed, stamps, f"{folder}/out", f"{folder}/state", once=True).awaitTermination()
     return _bodies(rating.current_ratings(spark.read.parquet(f"{folder}/out")))
+
+
+@query(
+    f"""WITH {_ITEMS}, goods AS (SELECT DISTINCT upper(p_name) AS g FROM part),
+named AS (SELECT k, count(DISTINCT g) AS n, min(g) AS first FROM (SELECT DISTINCT k, name FROM items) JOIN goods ON contains(name, g) GROUP BY k)
+SELECT t.k AS doc_id, comercio, fecha, metodo_pago, total, folio, named.n AS n_partes, named.first AS primera_parte FROM truth t JOIN named ON named.k = t.k"""
+)
+def keyword_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields by a keyword table, and the goods that a receipt names, of a list of all goods and customers found in one pass."""
+    lines = render.receipt_lines(spark, sf_dir)
+    table = keywords.built_in(spark)
+    goods = render.read(spark, sf_dir, "part").select(F.upper("p_name").alias("keyword")).distinct()
+    people = render.read(spark, sf_dir, "customer").select(F.upper("c_name").alias("keyword")).distinct()
+    for name, rows in (("parte", goods), ("cliente", people)):
+        rows = rows.select(F.lit(name).alias("list"), F.lit(0).alias("place"), "keyword", F.col("keyword").alias("value"))
+        table = table.unionByName(rows)
+    named = keywords.mark(lines.select("doc_id", F.upper("line").alias("line")), table.filter("list = 'parte'"), "line", every=True)
+    named = named.select("doc_id", F.explode(F.col("marks")["parte"]).alias("parte")).groupBy("doc_id")
+    named = named.agg(F.count_distinct("parte").alias("n_partes"), F.min("parte").alias("primera_parte"))
+    return fields.parse_fields(lines, table).join(named, "doc_id")
+
+
+def _moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    moment = F.timestamp_seconds(F.lit(1_704_067_200) + key * 977 % 2_592_000)
+    user = F.when(key % 19 != 0, F.col("o_custkey") % 200)
+    return render.read(spark, sf_dir, "orders").select(key.alias("doc_id"), user.alias("customer"), moment.alias("moment"))
+
+
+_MOMENTS_SQL = """m AS (SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 19 <> 0 THEN o_custkey % 200 END AS customer,
+  TIMESTAMP '2024-01-01' + to_seconds(o_orderkey * 977 % 2592000) AS moment FROM orders)"""
+
+
+@query(
+    f"""WITH {_MOMENTS_SQL}
+SELECT doc_id, CASE WHEN moment - ts <= INTERVAL 6 HOURS THEN event_id END AS event_id, CASE WHEN moment - ts <= INTERVAL 6 HOURS THEN event_type END AS event_type,
+  CASE WHEN moment - ts <= INTERVAL 6 HOURS THEN value END AS value FROM m ASOF LEFT JOIN events ON m.customer = events.user_id AND m.moment >= events.ts"""
+)
+def asof_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customer's last event at or before each receipt's moment, six hours before at most."""
+    events = render.read(spark, sf_dir, "events").drop("props")
+    found = asof.asof_join(
+        _moments(spark, sf_dir), events, on={"customer": "user_id"}, left_time="moment", right_time="ts", tolerance=timedelta(hours=6)
+    )
+    return found.select("doc_id", "event_id", "event_type", "value")
+
+
+@query(
+    f"""WITH {_MOMENTS_SQL}
+SELECT doc_id, count(*) AS n_events, min(event_id) AS first_event, max(event_id) AS last_event FROM m JOIN events ON m.customer = events.user_id
+  AND events.ts >= moment - INTERVAL 1 DAY AND events.ts <= moment + INTERVAL 1 HOUR GROUP BY doc_id"""
+)
+def interval_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customer's events from a day before each receipt's moment to an hour after it."""
+    events = render.read(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    pairs = asof.interval_join(
+        _moments(spark, sf_dir), events, on={"customer": "user_id"}, left_time="moment", right_time="ts", before=timedelta(days=1), after=timedelta(hours=1)
+    )
+    found = pairs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_events"), F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"))
+    return found.select("doc_id", "n_events", "first_event", "last_event")
