@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import images
 from tallyloom.functions.money import parse_clp
 from tallyloom.functions.text import normal_token
-from tallyloom.operators import asof, attempts, checks, confidence, fields, keywords, pages, pipeline, products, reading, state, ted, validation, words
+from tallyloom.operators import asof, attempts, checks, confidence, fields, incremental, keywords, pages, pipeline, products, reading, state, summary, ted, validation, words
 from tallyloom.sources import folders, render
 from tallyloom.streaming import attempts as arriving
 from tallyloom.streaming import stamps as rating
@@ -784,3 +784,111 @@ def interval_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = pairs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_events"), F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"))
     return found.select("doc_id", "n_events", "first_event", "last_event")
+
+
+_SEPARATORS = ("\n", "\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029")
+
+
+@query(
+    """SELECT o_orderkey AS doc_id, CAST(generate_series - 1 AS INT) AS line_no, CASE generate_series WHEN 1 THEN 'uno ' || o_orderkey WHEN 2 THEN '' ELSE 'dos' END AS line
+FROM orders, generate_series(1, 3) WHERE o_orderkey % 13 <> 0"""
+)
+def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of texts that break them in every way there is, some with a break at the end; texts without anything have none."""
+    key = F.col("o_orderkey")
+    mark = F.get(F.array(*[F.lit(s) for s in _SEPARATORS]), (key % len(_SEPARATORS)).cast("int"))
+    text = F.concat(F.lit("uno "), key.cast("string"), mark, mark, F.lit("dos"), F.when(key % 3 == 0, mark).otherwise(""))
+    docs = render.read(spark, sf_dir, "orders").select(key.alias("doc_id"), F.when(key % 13 != 0, text).otherwise("").alias("text"))
+    return fields.lines_of(docs)
+
+
+@query(
+    """SELECT o_orderkey AS doc_id, CASE o_orderkey % 6 WHEN 4 THEN NULL ELSE strftime(CASE WHEN o_orderkey % 6 = 2 THEN o_orderdate + INTERVAL 30 YEAR ELSE o_orderdate END, '%Y-%m-%d') END AS fecha
+FROM orders WHERE o_orderkey % 6 <> 2 OR year(o_orderdate) < 2000"""
+)
+def date_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First dates of lines in several forms: two-digit years, impossible days, the resolution's date and line first."""
+    key, day = F.col("o_orderkey"), F.col("o_orderdate")
+    form = key % 6
+    dated = F.date_format(day, "dd/MM/yyyy")
+    # Two digits are years from 2000 on, here thirty years later than the order's.
+    short = F.date_format(F.add_months(day, 360), "d-M-yy")
+    line = (
+        F.when(form == 0, F.concat(F.lit("FECHA "), dated)).when(form == 1, F.concat(F.lit("99/99/2020 31.02.2021 "), F.date_format(day, "d.M.yyyy")))
+        .when(form == 2, F.concat(F.lit("EL "), short, F.lit(" A LAS 10:30"))).when(form == 3, F.concat(F.lit("22/08/2014 y "), dated))
+        .when(form == 4, F.concat(F.lit("RESOLUC. 80 DEL "), dated)).otherwise(F.concat(F.lit("x"), F.date_format(day, "dd-MM-yyyy"), F.lit("x 01/01/2001")))
+    )
+    orders = render.read(spark, sf_dir, "orders").filter((form != 2) | (F.year(day) < 2000))
+    return orders.select(key.alias("doc_id"), fields.first_date(line).alias("fecha"))
+
+
+@query(
+    f"""WITH {_ITEMS} SELECT k AS doc_id, total, fecha, CAST(CASE WHEN k % 10 = 3 OR k % 50 = 7 THEN 2 ELSE 1 END AS INT) AS version FROM truth"""
+)
+def refreshed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of receipts kept up to date: every tenth was misread before, some are new and some gone, and only these are parsed again."""
+    lines = render.receipt_lines(spark, sf_dir)
+    key = F.col("doc_id")
+    earlier = lines.filter(key % 50 != 7).withColumn("line", F.when(key % 10 == 3, F.concat("line", F.lit(" 1"))).otherwise(F.col("line")))
+    gone = lines.filter(key % 100 == 1).withColumn("doc_id", -1 - key)
+    folder = folders.work_folder(spark, "fields")
+
+    def parsed(version: int):
+        return lambda some: fields.parse_fields(some).select("doc_id", "total", "fecha").withColumn("version", F.lit(version))
+
+    incremental.refresh(earlier.unionByName(gone), folder, parsed(1), parts=16)
+    incremental.refresh(lines, folder, parsed(2))
+    return incremental.read(spark, folder)
+
+
+def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = attempts.best_attempt(_attempts(spark, sf_dir)).select("doc_id", "attempt", "confianza_general", "limit_reached")
+    orders = render.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_orderdate", F.when(F.col("o_custkey") % 17 != 0, F.col("o_custkey")).alias("customer"))
+    state_of = F.when(F.col("attempt").isNull(), "IMAGE_UNREADABLE").when(F.col("confianza_general") < 70, "LOW_CONFIDENCE").otherwise("SUCCESS")
+    strategy = F.get(F.array(*[F.lit(s[1]) for s in attempts.STRATEGIES]), F.col("attempt"))
+    return best.join(orders, "doc_id").select(
+        "customer", "o_orderdate", state_of.alias("estado"), strategy.alias("estrategia"), F.col("limit_reached").alias("limite"),
+        F.when(F.col("doc_id") % 2 == 0, "camera").otherwise("file").alias("source"), "confianza_general",
+    )
+
+
+_AUDIT_SQL = f"""b0 AS ({ORACLES["best_attempt"]}),
+audit AS (SELECT CASE WHEN o_custkey % 17 <> 0 THEN o_custkey END AS customer, o_orderdate, confianza_general, limit_reached AS limite,
+  CASE WHEN attempt IS NULL THEN 'IMAGE_UNREADABLE' WHEN confianza_general < 70 THEN 'LOW_CONFIDENCE' ELSE 'SUCCESS' END AS estado,
+  ['gris', 'gris_rotada_180', 'binaria'][attempt + 1] AS estrategia, CASE WHEN doc_id % 2 = 0 THEN 'camera' ELSE 'file' END AS source
+  FROM b0 JOIN orders ON o_orderkey = doc_id)"""
+
+
+@query(
+    f"""WITH {_AUDIT_SQL} SELECT estado, estrategia, limite, source, CAST(grouping_id(estado, estrategia, limite, source) AS BIGINT) AS grouping,
+count(DISTINCT customer) AS n_documents, count(*) AS n_scans, round(avg(confianza_general), 9) AS mean FROM audit GROUP BY CUBE (estado, estrategia, limite, source)"""
+)
+def state_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scans, distinct customers and mean confidence over every grouping of state, strategy, limit and source."""
+    found = summary.state_cube(_audit(spark, sf_dir), document="customer")
+    return found.withColumn("mean", F.round("mean", 9))
+
+
+@query(
+    f"""WITH {_AUDIT_SQL} SELECT CAST(year(o_orderdate) AS INT) AS period, source, count(*) AS n_scans, round(avg(confianza_general), 9) AS mean,
+count(DISTINCT customer) AS n_exact, true AS documents_near, true AS median_near FROM audit GROUP BY ALL"""
+)
+def sketch_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yearly figures out of daily sketches that were stored: exact counts and means, and whether the estimates keep their bounds."""
+    rows = _audit(spark, sf_dir)
+    folder = folders.work_folder(spark, "sketches")
+    summary.period_sketches(rows, F.to_date("o_orderdate"), "source", document="customer").write.parquet(folder)
+    year = F.year("period").alias("period")
+    made = summary.merged(spark.read.parquet(folder), year, "source")
+    by_year = rows.groupBy(F.year("o_orderdate").alias("period"), "source")
+    exact = by_year.agg(F.count_distinct("customer").alias("n_exact"), F.count("confianza_general").alias("known"))
+    ranks = rows.select(F.year("o_orderdate").alias("period"), "source", "confianza_general").join(made.select("period", "source", "q50"), ["period", "source"])
+    below = F.sum((F.col("confianza_general") < F.col("q50")).cast("int")).alias("below")
+    upto = F.sum((F.col("confianza_general") <= F.col("q50")).cast("int")).alias("upto")
+    both = made.join(exact, ["period", "source"]).join(ranks.groupBy("period", "source").agg(below, upto), ["period", "source"])
+    off = 0.0165 * 2 * F.col("known") + 1  # twice the sketch's rank error at 99 %
+    return both.select(
+        "period", "source", "n_scans", F.round("mean", 9).alias("mean"), "n_exact",
+        (F.abs(F.col("n_documents") - F.col("n_exact")) <= 1 + 0.03 * F.col("n_exact")).alias("documents_near"),
+        ((F.col("below") <= F.col("known") / 2 + off) & (F.col("upto") >= F.col("known") / 2 - off)).alias("median_near"),
+    )
