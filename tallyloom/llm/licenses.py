@@ -1,18 +1,22 @@
 """License scanning by diagonal voting.
 
 All rolling word k-gram hashes of all documents are joined to the positions of those
-k-grams in a fixed set of license templates. A match at word ``i`` of a document and word
+k-grams in license templates: sentences of notices, and whole license texts in parts. A match at word ``i`` of a document and word
 ``j`` of a template votes for the diagonal ``i - j``; votes are summed by document, template
 and diagonal. Neighbouring diagonals (words inserted or left out) are merged to spans, and
 the words of each span are then compared with the template's. The votes asked for are as
 many as stay when so many words are replaced, however scattered, that ``COVER`` just holds.
+The matched words of a whole text's parts add up to the share of that text.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
-from difflib import SequenceMatcher
+from functools import cache
+from importlib import resources
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +62,35 @@ K = 3
 DRIFT = 3
 #: Share of a template's words that a verified span matches.
 COVER = 0.75
+#: Words of a part of a whole license text; its last part has the rest too, up to twice as many.
+PART = 60
+
+
+class Template(NamedTuple):
+    """Words to be found, the label that they speak for, and their share of all its words (null: they speak alone)."""
+
+    label: str
+    text: str
+    weight: float | None = None
+
+
+@cache
+def whole_texts() -> tuple[tuple[str, str], ...]:
+    """``label, text`` of the license texts that come with the package; a label is the name of its file."""
+    files = sorted((f for f in resources.files(__package__).joinpath("license_texts").iterdir() if f.name.endswith(".txt")), key=lambda f: f.name)
+    return tuple((f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in files)
+
+
+def templates_of(sentences=TEMPLATES, wholes=None, part: int = PART) -> list[Template]:
+    """All templates to be found: ``sentences`` as they are, ``wholes`` (null: those of the package) in parts of ``part`` words."""
+    found = [Template(label, text) for label, text in sentences]
+    for label, text in whole_texts() if wholes is None else wholes:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text))
+        starts = range(0, max(len(words) - part, 0) + 1, part) if words else ()
+        for at in starts:
+            own = words[at:] if at == starts[-1] else words[at : at + part]
+            found.append(Template(label, " ".join(own), len(own) / len(words)))
+    return found
 
 
 def _hash_words(words: list[str]) -> np.ndarray:
@@ -65,14 +98,20 @@ def _hash_words(words: list[str]) -> np.ndarray:
     return scan(raw, np.array([0, len(raw)]), lower=True, letters=True).hash
 
 
-def template_grams(spark: SparkSession, templates=TEMPLATES, k: int = K) -> DataFrame:
+def template_grams(spark: SparkSession, templates: list[Template], k: int = K) -> DataFrame:
     """``gram, template, at``: where each k-gram stands in the templates; as many rows as they have words at most."""
     rows = []
-    for t, (_, text) in enumerate(templates):
-        rows += [(int(g), t, j) for j, g in enumerate(grams(_hash_words(text.split()), k).view(np.int64))]
+    for t, one in enumerate(templates):
+        rows += [(int(g), t, j) for j, g in enumerate(grams(_hash_words(one.text.split()), k).view(np.int64))]
     return spark.createDataFrame(rows, "gram long, template int, at int")
 
 
+def template_facts(spark: SparkSession, templates: list[Template], k: int = K) -> DataFrame:
+    """``template, label, weight, needed``: one row a template."""
+    rows = [(t, one.label, one.weight, least_votes(len(one.text.split()), k)) for t, one in enumerate(templates)]
+    return spark.createDataFrame(rows, "template int, label string, weight double, needed int")
+
+
 def _scanner(k: int, rolling: bool):
     """Base columns of each text or, with ``rolling``, its k-gram hashes."""
     wanted = [(label, _hash_words(phrase.split())) for phrase, label in PHRASES]
@@ -127,18 +166,28 @@ def _scanner(k: int, rolling: bool):
 _SCAN = "doc_id long, tag long, n_words long, n_base long, first_word long, last_word long, base array<string>"
 
 
+def in_order(template: list[bytes], words: list[bytes]) -> int:
+    """Words of the longest common subsequence; a bit of ``row`` that is 0 is a step of the usual table's row."""
+    places: dict[bytes, int] = {}
+    for j, w in enumerate(template):
+        places[w] = places.get(w, 0) | 1 << j
+    full = (1 << len(template)) - 1
+    row = full
+    for w in words:
+        met = row & places.get(w, 0)
+        row = ((row + met) | (row - met)) & full
+    return len(template) - row.bit_count()
+
+
 def verify(words: list[bytes], template: list[bytes]) -> float:
     """Share of the template's words that stand, in order, in a span of words.
 
     Spans of over three times the template are gone over in windows of twice its length.
     """
     n = len(template)
-    starts = [0] if len(words) <= 3 * n else range(0, len(words), max(1, n // 2))
-    best = 0
-    for at in starts:
-        part = words if len(words) <= 3 * n else words[at : at + 2 * n]
-        best = max(best, sum(b.size for b in SequenceMatcher(None, template, part, autojunk=False).get_matching_blocks()))
-    return best / n
+    if len(words) <= 3 * n:
+        return in_order(template, words) / n
+    return max(in_order(template, words[at : at + 2 * n]) for at in range(0, len(words), max(1, n // 2))) / n
 
 
 def least_votes(length: int, k: int = K) -> int:
@@ -146,8 +195,8 @@ def least_votes(length: int, k: int = K) -> int:
     return max(1, length - k + 1 - k * (length - math.ceil(COVER * length)))
 
 
-def _verifier(templates):
-    texts = [[w.encode() for w in text.split()] for _, text in templates]
+def _verifier(templates: list[Template]):
+    texts = [[w.encode() for w in one.text.split()] for one in templates]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs in chunks(batches, "text"):
@@ -173,10 +222,10 @@ def _verifier(templates):
     return run
 
 
-def spans(scanned: DataFrame, templates=TEMPLATES, k: int = K) -> DataFrame:
+def spans(scanned: DataFrame, templates: list[Template], k: int = K) -> DataFrame:
     """Merged diagonals: ``doc_id, tag, template, low, high, votes``; repeated rows vote once."""
     known = F.broadcast(template_grams(scanned.sparkSession, templates, k))
-    needed = F.array(*[F.lit(least_votes(len(text.split()), k)) for _, text in templates])
+    needed = F.broadcast(template_facts(scanned.sparkSession, templates, k).select("template", "needed"))
     rolling = scanned.select("doc_id", "tag", F.posexplode("grams").alias("i", "gram"))
     votes = (
         rolling.join(known, "gram").groupBy("doc_id", "tag", "template", (F.col("i") - F.col("at")).alias("diagonal"))
@@ -189,23 +238,26 @@ def spans(scanned: DataFrame, templates=TEMPLATES, k: int = K) -> DataFrame:
         .groupBy("doc_id", "tag", "template", "island")
         .agg(F.min("diagonal").alias("low"), F.max("diagonal").alias("high"), F.sum("votes").alias("votes"))
     )
-    return merged.filter(F.col("votes") >= F.element_at(needed, F.col("template") + 1)).drop("island")
+    return merged.join(needed, "template").filter(F.col("votes") >= F.col("needed")).drop("island", "needed")
 
 
-def scan_licenses(docs: DataFrame, *, templates=TEMPLATES, k: int = K) -> DataFrame:
+def scan_licenses(docs: DataFrame, *, sentences=TEMPLATES, wholes=None, k: int = K) -> DataFrame:
     """License phrases and notices of each text.
 
     Gives ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``, one row
     per input row. ``docs`` needs ``doc_id`` and ``text``; other columns are ignored. Words are
     runs of ASCII letters and digits and non-ASCII characters, A-Z lower-cased. ``n_base``
     counts the places of all phrases of ``PHRASES``; ``labels`` has their labels and those of
-    templates of which a span matches ``COVER`` of the words; ``score`` is the best share
-    matched, 1 where a phrase stands. Labels are distinct, sorted and comma-joined.
+    templates of which a span matches ``COVER`` of the words, and those of whole license texts
+    (``wholes``, pairs of label and text) whose parts' spans match ``COVER`` of all words
+    together; ``score`` is the best such share, 1 where a phrase stands. Labels are
+    distinct, sorted and comma-joined.
 
     Null and empty texts have no words, empty labels and score 0. A null ``doc_id`` is scanned
     like any other; rows with equal ``doc_id`` and text get the same result. An empty table
     gives no rows.
     """
+    templates = templates_of(sentences, wholes)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), F.col("text").cast("string").alias("text"))
     scanned = plain.mapInArrow(_scanner(k, True), "doc_id long, tag long, grams array<long>")
     voted = cut(spans(scanned, templates, k), "spans")
@@ -213,9 +265,13 @@ def scan_licenses(docs: DataFrame, *, templates=TEMPLATES, k: int = K) -> DataFr
     listed = listed.withColumnsRenamed({"doc_id": "of", "tag": "of_tag"})
     found = plain.join(listed, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tag") == F.col("of_tag")))
     checked = found.select("text", "spans", "doc_id", "tag").mapInArrow(_verifier(templates), "doc_id long, tag long, template int, share double")
-    names = F.array(*[F.lit(label) for label, _ in templates])
-    best = checked.filter(F.col("share") >= COVER).groupBy("doc_id", "tag").agg(
-        F.max("share").alias("share"), F.collect_set(F.element_at(names, F.col("template") + 1)).alias("own")
+    facts = F.broadcast(template_facts(docs.sparkSession, templates, k).drop("needed"))
+    shares = checked.groupBy("doc_id", "tag", "template").agg(F.max("share").alias("share")).join(facts, "template")
+    by_label = shares.groupBy("doc_id", "tag", "label").agg(
+        F.greatest(F.max(F.when(F.col("weight").isNull(), F.col("share"))), F.sum(F.col("share") * F.col("weight"))).alias("share")
+    )
+    best = by_label.filter(F.col("share") >= COVER).groupBy("doc_id", "tag").agg(
+        F.max("share").alias("share"), F.collect_set("label").alias("own")
     )
     best = best.withColumnsRenamed({"doc_id": "of", "tag": "of_tag"})
     base = plain.mapInArrow(_scanner(k, False), _SCAN)
