@@ -5,6 +5,8 @@ each pivot, an inverted file of the vectors that have it among their ``listed``
 pivots, with its place there. A query opens the files of its own nearest pivots and sums
 ``listed - |place - own place|`` over the postings met, which orders a block's vectors by
 footrule distance between truncated permutations (absent pivots count as place ``listed``).
+Many pivots and short permutations keep the files short: with 2048 pivots of which 64 are
+listed, a query meets about 2 postings for each vector of a block.
 The nearest ``rerank`` share of the block, and all within a footrule radius, are ranked again
 by the exact inner product. So that pivots are ordered by inner product also where lengths
 differ, indexed vectors get one more component that makes them equally long; queries get 0.
@@ -26,14 +28,16 @@ from tallyloom.llm.embedding_dedup import _valid
 from tallyloom.llm.shared import cut
 
 #: Pivots at most, and sampled rows (of smallest id hash) among which they are chosen.
-PIVOTS, SAMPLE = 512, 4096
+PIVOTS, SAMPLE = 2048, 4096
 #: Sampled rows of a larger cosine with a pivot are none themselves: near copies would stand in each other's lists.
 ALIKE = 0.7
 #: Pivots that a permutation keeps.
-LISTED = 128
+LISTED = 64
 #: Share of a block that is ranked again exactly, rows that are at least (times the neighbours asked for),
 #: and the share of the largest footrule sum from which on every row is.
-RERANK, LEAST, RADIUS = 0.05, 16, 0.6
+RERANK, LEAST, RADIUS = 0.1, 16, 0.6
+#: Vectors whose products with all pivots are held at once.
+STRIDE = 1024
 #: Rows of an index block and of a pack of queries, and packs that a task compares with a block, about.
 BLOCK, QUERIES, PACKS = 16_384, 512, 64
 
@@ -46,16 +50,25 @@ def lifted(vectors: np.ndarray, longest: float) -> np.ndarray:
 
 def choose_pivots(sample: np.ndarray, wanted: int) -> np.ndarray:
     """The first ``wanted`` rows (of length 1) that are not ``ALIKE`` an earlier one; which may be fewer."""
-    kept = np.zeros((0, sample.shape[1]))
+    kept, n = np.zeros((wanted, sample.shape[1])), 0
     for row in sample:
-        if len(kept) < wanted and not (kept @ row > ALIKE).any():
-            kept = np.vstack([kept, row])
-    return kept
+        if n < wanted and not (kept[:n] @ row > ALIKE).any():
+            kept[n], n = row, n + 1
+    return kept[:n]
 
 
 def permutations(vectors: np.ndarray, pivots: np.ndarray, listed: int) -> np.ndarray:
     """Numbers of the ``listed`` nearest pivots of each vector, nearest first, by inner product."""
-    return np.argsort(-(vectors @ pivots.T), axis=1, kind="stable")[:, :listed]
+    orders = [np.zeros((0, min(listed, len(pivots))), np.int64)]
+    for at in range(0, len(vectors), STRIDE):
+        far = -(vectors[at : at + STRIDE] @ pivots.T)
+        if listed < len(pivots):
+            near = np.sort(np.argpartition(far, listed - 1, axis=1)[:, :listed], axis=1)
+        else:
+            near = np.broadcast_to(np.arange(len(pivots)), far.shape)
+        own = np.argsort(np.take_along_axis(far, near, axis=1), axis=1, kind="stable")
+        orders.append(np.take_along_axis(near, own, axis=1))
+    return np.concatenate(orders)
 
 
 class Block:
