@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 SPACE = r"\s\u0085   -     　\x1C-\x1F"
 #: All white space, for trimming.
 WHITE = "".join(map(chr, [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]))
+#: What ends a line.
+LINE_BREAK = r"\r\n|[\n\x0B\f\r\x1C-\x1E\u0085  ]"
 #: Blocks whose characters lose accents and compatibility forms: Latin, Greek, Cyrillic, marks, small digits, ligatures, full width.
 _BLOCKS = (range(0xA0, 0x250), range(0x300, 0x530), range(0x1E00, 0x2000), range(0x2070, 0x20A0), range(0xFB00, 0xFB07), range(0xFF01, 0xFF5F))
 
@@ -85,6 +87,6 @@ def clp(x: Column) -> Column:
 
 def split_lines(text: Column) -> Column:
     """Lines of a text as an array: no trailing empty line, no lines for an empty text."""
-    parts = F.split(text, r"\r\n|[\n\x0B\f\r\x1C-\x1E\u0085  ]", -1)
+    parts = F.split(text, LINE_BREAK, -1)
     trimmed = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
     return F.when(text != "", trimmed).otherwise(F.array().cast("array<string>"))
