@@ -13,6 +13,7 @@ from tallyloom.functions.money import parse_clp
 from tallyloom.functions.text import normal_token
 from tallyloom.operators import asof, attempts, checks, confidence, fields, incremental, keywords, pages, pipeline, products, reading, state, summary, ted, validation, words
 from tallyloom.sources import folders, render
+from tallyloom.sources import sql as receipt_sql
 from tallyloom.streaming import attempts as arriving
 from tallyloom.streaming import stamps as rating
 
@@ -789,17 +790,41 @@ def interval_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SEPARATORS = ("\n", "\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029")
 
 
-@query(
-    """SELECT o_orderkey AS doc_id, CAST(generate_series - 1 AS INT) AS line_no, CASE generate_series WHEN 1 THEN 'uno ' || o_orderkey WHEN 2 THEN '' ELSE 'dos' END AS line
+_TEXT_LINES = """SELECT o_orderkey AS doc_id, CAST(generate_series - 1 AS INT) AS line_no, CASE generate_series WHEN 1 THEN 'uno ' || o_orderkey WHEN 2 THEN '' ELSE 'dos' END AS line
 FROM orders, generate_series(1, 3) WHERE o_orderkey % 13 <> 0"""
-)
-def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of texts that break them in every way there is, some with a break at the end; texts without anything have none."""
+
+
+def _broken_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     mark = F.get(F.array(*[F.lit(s) for s in _SEPARATORS]), (key % len(_SEPARATORS)).cast("int"))
     text = F.concat(F.lit("uno "), key.cast("string"), mark, mark, F.lit("dos"), F.when(key % 3 == 0, mark).otherwise(""))
-    docs = render.read(spark, sf_dir, "orders").select(key.alias("doc_id"), F.when(key % 13 != 0, text).otherwise("").alias("text"))
-    return fields.lines_of(docs)
+    return render.read(spark, sf_dir, "orders").select(key.alias("doc_id"), F.when(key % 13 != 0, text).otherwise("").alias("text"))
+
+
+@query(_TEXT_LINES)
+def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of texts that break them in every way there is, some with a break at the end; texts without anything have none."""
+    return fields.lines_of(_broken_texts(spark, sf_dir))
+
+
+@query(_TEXT_LINES)
+def sql_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the table function, behind ``LATERAL``."""
+    receipt_sql.register_functions(spark)
+    return spark.sql("SELECT d.doc_id, l.line_no, l.line FROM {texts} AS d, LATERAL receipt_lines(d.text) AS l", texts=_broken_texts(spark, sf_dir))
+
+
+@query(f"WITH {_ITEMS} SELECT k AS doc_id, comercio, fecha, metodo_pago, total, folio, n AS n_products, CAST(sum AS DOUBLE) AS paid FROM truth")
+def sql_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of whole texts, and the number and sum of their products, in SQL over the views."""
+    docs = render.receipts(spark, sf_dir).select("doc_id", F.array_join("lines", "\n").alias("text"))
+    receipt_sql.register_views(docs, prefix="sql_")
+    return spark.sql(
+        """SELECT r.doc_id, r.comercio, r.fecha, r.metodo_pago, r.total, r.folio, p.n_products, p.paid
+        FROM sql_receipts AS r LEFT JOIN (
+          SELECT doc_id, count(*) AS n_products, sum(cantidad * precio_unitario) AS paid FROM sql_receipt_products GROUP BY doc_id
+        ) AS p ON p.doc_id = r.doc_id"""
+    )
 
 
 @query(
