@@ -140,7 +140,9 @@ def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), 96 * channels - 1), pixel), ""))
     image = F.struct(F.lit(12).alias("h"), F.lit(8).alias("w"), channels.alias("c"), data.alias("data"))
-    return read(spark, sf_dir, "customer").select(key.alias("doc_id"), image.alias("image"))
+    # A customer is few bytes and an image much work, so splits of the file would leave most cores idle.
+    customers = read(spark, sf_dir, "customer").select("c_custkey").repartition(4 * spark.sparkContext.defaultParallelism, "c_custkey")
+    return customers.select(key.alias("doc_id"), image.alias("image"))
 
 
 def stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
