@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import vocabulary as V
 from tallyloom.functions.money import parse_clp
-from tallyloom.functions.text import SPACE, once, strip
+from tallyloom.functions.text import SPACE, contains_any, once, strip
 from tallyloom.operators.keywords import Marked, Tested, mark
 
 
@@ -30,7 +30,7 @@ def first_date(line: Column) -> Column:
 
     dates = F.transform(F.regexp_extract_all(line, F.lit(V.DATE), F.lit(0)), dated)
     good = F.filter(dates, lambda d: d.isNotNull() & (d != F.lit(V.RESOLUTION_DATE).cast("date")))
-    likely = line.rlike(r"\d[/\-.]\d") & ~F.contains(F.upper(line), F.lit(V.RESOLUTION_WORD))
+    likely = contains_any(line, ("/", "-", ".")) & line.rlike(V.DATE) & ~F.contains(F.upper(line), F.lit(V.RESOLUTION_WORD))
     return F.when(likely, F.get(good, 0).cast("string"))
 
 
@@ -47,7 +47,9 @@ def _after(line: Column, upper: Column, label: Column) -> Column:
 def has_company_suffix(upper: Column) -> Column:
     """Whether a token of the line, without dots and outer commas, is a legal form."""
     forms = "|".join(r"\.*".join(word) for word in V.COMPANY_SUFFIXES)
-    return upper.rlike(rf"(?:^|[{SPACE}]),*\.*(?:{forms})\.*,*(?:[{SPACE}]|$)")
+    # Most lines have no such letters side by side and no dot between any, which is cheaper to see.
+    likely = contains_any(upper, (*V.COMPANY_SUFFIXES, "."))
+    return likely & upper.rlike(rf"(?:^|[{SPACE}]),*\.*(?:{forms})\.*,*(?:[{SPACE}]|$)")
 
 
 def parse_fields(lines: DataFrame, keywords: DataFrame | None = None) -> DataFrame:
@@ -67,31 +69,33 @@ def parse_fields(lines: DataFrame, keywords: DataFrame | None = None) -> DataFra
     base = lines.select("doc_id", "line_no", line.alias("line")).withColumn("upper", F.upper("line")).withColumn("trimmed", strip(F.col("line")))
     if keywords is not None:
         base = mark(base, keywords, "upper")
-    base = base.withColumn("own", F.when(~lists.any("other_label"), total_line_amount(F.col("line"))))
+    base = base.withColumn("other", lists.any("other_label"))
+    # Lines ahead are carried, not their amounts: only few lines ask for the amount of the next ones.
     base = base.withColumns(
         {
-            "ahead": F.coalesce(F.lead("own", 1).over(by_doc), F.lead("own", 2).over(by_doc)),
+            **{f"next{k}": F.lead(F.when(~F.col("other"), F.col("line")), k).over(by_doc) for k in (1, 2)},
             "nth": F.sum((F.length("trimmed") >= 3).cast("int")).over(by_doc.rowsBetween(Window.unboundedPreceding, 0)),
         }
     )
+    ahead = F.coalesce(total_line_amount(F.col("next1")), total_line_amount(F.col("next2")))
     first, label = lists.first("total_first"), lists.first("total")
     plain = label.isNotNull() & ~lists.any("total_excluded") & (lists.count("table_header") < 2)
     base = base.withColumns(
         {
-            "priority": F.when(first.isNotNull(), F.coalesce(_after(F.col("line"), upper, first), F.col("ahead"))),
-            "plain": F.when(plain, F.coalesce(_after(F.col("line"), upper, label), F.col("ahead"))),
+            "priority": F.when(first.isNotNull(), F.coalesce(_after(F.col("line"), upper, first), ahead)),
+            "plain": F.when(plain, F.coalesce(_after(F.col("line"), upper, label), ahead)),
             "is_sub": F.contains(upper, F.lit("SUBTOTAL")),
             "date": first_date(F.col("line")),
             "method": lists.value("method"),
-            "heading": upper.rlike(V.RUT_LABEL) | lists.any("not_product"),
             "candidate": (F.length("trimmed") >= 3) & (F.col("nth") <= 10),
         }
     )
+    base = base.withColumn("heading", F.when(F.col("candidate"), lists.any("not_product") | (F.contains(upper, F.lit("U")) & F.contains(upper, F.lit("T")) & upper.rlike(V.RUT_LABEL))))
 
     def first_where(value: str, condition: Column) -> Column:
         return F.min_by(value, F.when(condition, F.col("line_no")))
 
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n")
+    text = F.array_join(F.sort_array(F.collect_list(F.struct("line_no", "line")))["line"], "\n")
     plausible = ~F.col("trimmed").rlike(V.ONLY_NUMBERS) & ~F.col("trimmed").rlike(V.ONLY_SEPARATORS) & ~F.col("heading")
     found = base.groupBy("doc_id").agg(
         F.coalesce(

@@ -83,8 +83,14 @@ def read(spark: SparkSession, folder: str, version: int | None = None) -> DataFr
 
 def digests(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """``key, digest`` of the rows of each document, whatever their order: sums of two hashes, and their number."""
-    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != key]), {"ignoreNullFields": "false"})
-    sums = [F.sum(F.xxhash64(text, F.lit(i)).cast("decimal(20,0)")).cast("string") for i in (1, 2)]
+    told = []
+    for f in rows.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+            told.append(F.to_json(F.struct(c), {"ignoreNullFields": "false"}))
+        elif f.name != key:  # a hash passes over nulls, and takes both zeros for one
+            told += [c.isNull(), c.cast("string") if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else c]
+    sums = [F.sum(F.xxhash64(F.lit(i), *told).cast("decimal(20,0)")).cast("string") for i in (1, 2)]
     return rows.groupBy(key).agg(F.concat_ws("/", *sums, F.count(F.lit(1)).cast("string")).alias("digest"))
 
 
@@ -115,7 +121,7 @@ def refresh(rows: DataFrame, folder: str, compute: Callable[[DataFrame], DataFra
     touched = sorted(r["part"] for r in counts)
     if not touched and old.version:
         return Refreshed(old.version, 0, 0, 0)
-    made = compute(_without(rows, moved.filter("not gone"), key, "left_semi"))
+    made = compute(_without(rows, moved.filter("not gone"), key, "left_semi") if old.version else rows)  # at first all are new
     schema = T.StructType.fromJson(old.schema) if old.version else made.schema
     kept = _without(_read(spark, old.rows, schema, touched), moved, key, "left_anti")
     whole = kept.unionByName(made.select(*schema.names)).withColumn("part", part)

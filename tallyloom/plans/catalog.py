@@ -854,14 +854,16 @@ def refreshed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of receipts kept up to date: every tenth was misread before, some are new and some gone, and only these are parsed again."""
     lines = render.receipt_lines(spark, sf_dir)
     key = F.col("doc_id")
-    earlier = lines.filter(key % 50 != 7).withColumn("line", F.when(key % 10 == 3, F.concat("line", F.lit(" 1"))).otherwise(F.col("line")))
-    gone = lines.filter(key % 100 == 1).withColumn("doc_id", -1 - key)
+    misread = F.when(key % 10 == 3, F.concat("line", F.lit(" 1"))).otherwise(F.col("line"))
+    before = F.when(key % 50 != 7, F.struct("doc_id", "line_no", misread.alias("line")))
+    gone = F.when(key % 100 == 1, F.struct((-1 - key).alias("doc_id"), "line_no", "line"))
+    earlier = lines.select(F.explode(F.array(before, gone)).alias("r")).filter("r is not null").select("r.*")  # one reading of the lines for both
     folder = folders.work_folder(spark, "fields")
 
     def parsed(version: int):
         return lambda some: fields.parse_fields(some).select("doc_id", "total", "fecha").withColumn("version", F.lit(version))
 
-    incremental.refresh(earlier.unionByName(gone), folder, parsed(1), parts=16)
+    incremental.refresh(earlier, folder, parsed(1), parts=16)
     incremental.refresh(lines, folder, parsed(2))
     return incremental.read(spark, folder)
 

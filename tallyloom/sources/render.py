@@ -23,12 +23,23 @@ def thousands(x: Column) -> Column:
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id``, the first line's supplier and the ordered items ``name, qty, unit`` of each order."""
+    """``doc_id``, the ordered ``items`` of each order with the ``texts`` that a receipt prints of each, and their ``total``."""
     items = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
     qty = F.col("l_quantity").cast("long")
     unit = F.expr("cast(l_extendedprice as bigint) div cast(l_quantity as bigint)")
-    item = F.struct(*_ORDER, F.upper("p_name").alias("name"), qty.alias("qty"), unit.alias("unit"))
-    return items.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    key, name = F.col("l_orderkey"), F.upper("p_name")
+    # Texts are made of rows, before these are gathered, as Spark compiles what it does with columns but not with elements.
+    price = thousands(unit)
+    columns = F.array(F.concat(name, F.lit("    "), qty.cast("string"), F.lit("    "), price))
+    leading = F.array(F.concat(qty.cast("string"), F.lit(" "), name, F.lit("    $"), price))
+    coded = F.array(
+        F.concat(qty.cast("string"), F.lit("    "), price, F.lit("    "), thousands(qty * unit)),
+        F.concat(F.lit("780"), F.lpad(F.col("l_partkey").cast("string"), 6, "0"), F.lit(" "), name),
+    )
+    split = F.array(name, qty.cast("string"), price)
+    texts = F.when(key % 5 == 1, leading).when(key % 5 == 2, coded).when(key % 5 == 3, split).otherwise(columns)
+    rows = items.select(key.alias("doc_id"), F.struct(*_ORDER, texts.alias("texts")).alias("item"), (qty * unit).alias("amount"))
+    return rows.groupBy("doc_id").agg(F.sort_array(F.collect_list("item")).alias("items"), F.sum("amount").alias("total"))
 
 
 def stated_off(key: Column) -> Column:
@@ -46,18 +57,7 @@ def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     folio = F.lpad(number, F.greatest(F.lit(6), F.length(number)), F.lit("0"))  # ``lpad`` would cut longer numbers
     suffix = F.get(F.array(F.lit(" LTDA"), F.lit(" SPA"), F.lit(" S.A."), F.lit("")), (key % 4).cast("int"))
 
-    def product(p: Column) -> Column:
-        price = thousands(p["unit"])
-        columns = F.array(F.concat(p["name"], F.lit("    "), p["qty"].cast("string"), F.lit("    "), price))
-        leading = F.array(F.concat(p["qty"].cast("string"), F.lit(" "), p["name"], F.lit("    $"), price))
-        coded = F.array(
-            F.concat(p["qty"].cast("string"), F.lit("    "), price, F.lit("    "), thousands(p["qty"] * p["unit"])),
-            F.concat(F.lit("780"), F.lpad(p["l_partkey"].cast("string"), 6, "0"), F.lit(" "), p["name"]),
-        )
-        split = F.array(p["name"], p["qty"].cast("string"), price)
-        return F.when(key % 5 == 0, columns).when(key % 5 == 1, leading).when(key % 5 == 2, coded).when(key % 5 == 3, split).otherwise(columns)
-
-    total = F.aggregate("items", F.lit(0).cast("long"), lambda a, p: a + p["qty"] * p["unit"])
+    total = F.col("total")
     shown = thousands(total + stated_off(key))
     totals = (
         F.when(key % 7 == 0, F.array(F.concat(F.lit("TOTAL    $ "), shown)))
@@ -81,7 +81,7 @@ def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(key % 11 != 0, F.concat(F.lit("FECHA: "), F.date_format("o_orderdate", "dd/MM/yyyy"))).otherwise(none),
             F.when(key % 6 == 4, F.lit("CANT    DESCRIPCION    PRECIO TOTAL")).otherwise(none),
         ),
-        F.flatten(F.transform("items", product)), totals, F.array(F.concat(F.lit("FORMA DE PAGO: "), method)), F.array(F.lit("GRACIAS POR SU COMPRA")),
+        F.flatten(F.col("items")["texts"]), totals, F.array(F.concat(F.lit("FORMA DE PAGO: "), method)), F.array(F.lit("GRACIAS POR SU COMPRA")),
     )
     return rows.select("doc_id", F.array_compact(lines).alias("lines"))
 
