@@ -50,3 +50,15 @@ def test_digests_tell_nulls_places_and_zeros_apart(spark):
     found = incremental.digests(spark.createDataFrame(table, "doc_id long, x string, y string, z double, a array<int>"))
     told = {r["doc_id"]: r["digest"] for r in found.collect()}
     assert told[1] == told[5] and len(set(told.values())) == 4 and "to_json(struct(x" not in plan(found)
+
+
+def test_words_cross_the_network_once(spark):
+    from tallyloom.operators.pipeline import read_attempts
+
+    words = render.receipt_words(spark, SMALLEST, 1).filter("doc_id < 40")
+    one = words.limit(1).withColumn("doc_id", F.lit(None).cast("long"))
+    found = read_attempts(words.unionByName(one))
+    text = plan(found)
+    assert "LeftSemi" not in text and {p.split("RepartitionByExpression")[1] for p in text.splitlines() if "RepartitionByExpression [doc_id" in p and "attempt" in p}
+    rows = found.select("doc_id", "attempt", "score").collect()
+    assert len(rows) > 5 and all(r["doc_id"] is not None and r["score"] > 0 for r in rows)
