@@ -697,7 +697,7 @@ def _closed(spark: SparkSession, rows) -> str:
 def attempts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best attempts of documents whose attempts arrive one by one, latest first; time closes those that none finishes."""
     key = F.col("doc_id")
-    rows = _attempts_of(folders.stream_table(spark, sf_dir, "orders")).filter("attempt < 3")
+    rows = _attempts_of(folders.stream_table(spark, sf_dir, "orders").repartition("o_orderkey")).filter("attempt < 3")
     rows = rows.withColumns({"received": _received(key), "at": F.timestamp_seconds(F.lit(1_700_000_000) + key + F.col("elapsed_s"))}).drop("elapsed_s")
     beat = _heartbeat(spark, sf_dir, "received", "at")
     best = _closed(spark, rows.unionByName(beat, allowMissingColumns=True))
@@ -708,7 +708,8 @@ def attempts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def late_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole responses where attempts and stamps arrive as streams: some stamps too late, some documents read but stopped by time."""
     orders = folders.stream_table(spark, sf_dir, "orders")
-    first = checks.evaluate(_readings(orders))
+    # Rows of orders are small and what is made of each is much work, so splits of the file would leave most cores idle.
+    first = checks.evaluate(_readings(orders.repartition("o_orderkey")))
     # Two more attempts give nothing; of every 91st document they never come, so time stops it.
     more = F.when(F.col("doc_id") % 91 == 52, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1), F.lit(2)))
     rows = first.withColumn("attempt", F.explode(more)).withColumn("failed", F.col("failed") | (F.col("attempt") > 0))
