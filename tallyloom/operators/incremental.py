@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyloom.sources.folders import drop_table, shuffles_removed, written_table
+
 PARTS = 64
 
 
@@ -103,30 +105,32 @@ def refresh(rows: DataFrame, folder: str, compute: Callable[[DataFrame], DataFra
 
     ``rows`` may have several rows a document, in any order. ``compute`` treats documents apart from each other and gives
     rows that have ``key``, none or several a document, always in the same columns. A null ``key`` is a document.
-    ``parts`` is fixed by the first version. Files of earlier versions stay, so their readers are not disturbed.
+    ``parts`` is fixed by the first version. Shuffle files and working tables go as soon as they are used. Files of earlier versions stay, so their readers are not disturbed.
     """
     spark, old = rows.sparkSession, manifest(rows.sparkSession, folder)
     parts = old.parts if old.version else parts
     work = f"{folder}/data/v{old.version + 1:09d}-{uuid.uuid4().hex[:8]}"
     part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
-    digests(rows, key).withColumn("part", part).write.parquet(f"{work}/digests")
-    new = spark.read.parquet(f"{work}/digests")
+    new = written_table(digests(rows, key).withColumn("part", part), f"{work}/digests")
     before = _read(spark, old.seen, new.drop("part").schema).select(F.col(key).alias("_key"), F.col("digest").alias("_digest"))
     both = new.join(before, F.col(key).eqNullSafe(F.col("_key")), "full").filter(~F.col("digest").eqNullSafe(F.col("_digest")))
     gone = F.col("digest").isNull()
     moved = both.select(F.when(gone, F.col("_key")).otherwise(F.col(key)).alias(key), gone.alias("gone")).withColumn("part", part)
-    moved.write.parquet(f"{work}/moved")
-    moved = spark.read.parquet(f"{work}/moved")
+    moved = written_table(moved, f"{work}/moved")
     counts = moved.groupBy("part").agg(F.sum(F.col("gone").cast("long")).alias("gone"), F.count(F.lit(1)).alias("n")).collect()  # ``parts`` rows at most
     touched = sorted(r["part"] for r in counts)
     if not touched and old.version:
+        drop_table(spark, work)
         return Refreshed(old.version, 0, 0, 0)
     made = compute(_without(rows, moved.filter("not gone"), key, "left_semi") if old.version else rows)  # at first all are new
     schema = T.StructType.fromJson(old.schema) if old.version else made.schema
     kept = _without(_read(spark, old.rows, schema, touched), moved, key, "left_anti")
     whole = kept.unionByName(made.select(*schema.names)).withColumn("part", part)
-    whole.repartition("part").write.partitionBy("part").parquet(f"{work}/rows")
-    new.filter(F.col("part").isin(touched)).repartition("part").write.partitionBy("part").parquet(f"{work}/seen")
+    with shuffles_removed(spark):
+        whole.repartition("part").write.partitionBy("part").parquet(f"{work}/rows")
+        new.filter(F.col("part").isin(touched)).repartition("part").write.partitionBy("part").parquet(f"{work}/seen")
+    for name in ("digests", "moved"):  # no version names these
+        drop_table(spark, f"{work}/{name}")
     path = spark._jvm.org.apache.hadoop.fs.Path
     store = path(work).getFileSystem(spark._jsc.hadoopConfiguration())
     now = Manifest(old.version + 1, parts, json.loads(schema.json()))
